@@ -4,7 +4,7 @@ A text is a bag of lower-cased words (divided by blanks and line breaks) with th
 and word, hashes give r and c from Gamma(2, 1) and b uniform on (0, 1); with t = floor(ln w / r + b), the word with the
 least ln c - r (t - b + 1) is the sample, together with t. Two texts agree in a sample with a probability equal to
 their generalised Jaccard similarity (sum of least weights over sum of largest), so the share of equal samples
-estimates it. A sample is kept as 16 bits, a fingerprint as their hexadecimal digits.
+estimates it. r and c take the 4096 quantiles of that distribution. A sample is kept as 16 bits, a fingerprint as their hexadecimal digits.
 
 Null and empty texts hold one empty word: alike to each other, unlike (but by chance) any other text. Repeated rows
 get a row each; a doc_id that repeats is followed by itself. A null doc_id counts as smaller than all others. Extra
@@ -17,14 +17,17 @@ thus texts are shuffled once, and all later steps work inside a bucket's task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SAMPLES = 64
 #: Documents in a bucket, at least; buckets, at most (the table of their first ids is broadcast).
 BUCKET_DOCS, MOST_BUCKETS, QUANTILES = 500, 1 << 16, 256
 _DIGITS = 16
+#: Levels of Gamma(2, 1) that r and c take; parts of the vocabulary; samples in each.
+LEVELS, STRATA, PER_STRATUM = 4096, 8, 8
 
 
 def _numbers(values: list) -> Column:
@@ -32,6 +35,10 @@ def _numbers(values: list) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
+def _doubles(values: list[float]) -> Column:
+    return F.split(F.lit(",".join(f"{x:.9g}" for x in values)), ",").cast("array<double>")
+
+
 def bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
     """``docs`` with a column ``bucket`` that does not fall as doc_id rises, and the number of documents."""
     got = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
@@ -71,30 +78,42 @@ def words_of(text: Column) -> Column:
     return F.when(F.size(got) == 0, F.array(F.lit(""))).otherwise(got)
 
 
-def _sample(i: int, weight: str) -> str:
-    """SQL of sample i: the order of ln a in the upper bits, 16 bits of (word, t) in the lowest."""
-    t = f"floor(ln({weight}) / r{i} + b{i})"
-    a = f"c{i} - r{i} * ({t} - b{i} + 1)"
-    return f"min(case when {weight} > 0 then shiftleft(cast(({a} + 128) * 1073741824 as bigint), {_DIGITS}) | ((h{i} ^ {t}) & 65535) end)"
+def gamma_quantiles(n: int = LEVELS) -> list[float]:
+    """Quantiles of Gamma(2, 1) at the middles of n equal shares, by Newton's method on 1 - (1 + x) e^-x."""
+    out, x = [], 1e-3
+    for k in range(n):
+        p = (k + 0.5) / n
+        for _ in range(60):
+            step = (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
+            x = max(x / 2, x - step)
+            if abs(step) < 1e-12 * x:
+                break
+        out.append(x)
+    return out
 
 
-def _draws(i: int) -> list[str]:
-    h, g = f"xxhash64(term, {2 * i})", f"xxhash64(term, {2 * i + 1})"
-    u = lambda x, shift, bits: f"((shiftrightunsigned({x}, {shift}) & {(1 << bits) - 1}) + 0.5D) / {float(1 << bits)}D"
+def _draws(j: int) -> list[str]:
+    """r, ln c and b of a row's sample j for its word, from one hash."""
     return [
-        f"{h} as h{i}",
-        f"-ln(({u(h, 32, 32)}) * ({u(h, 0, 32)})) as r{i}",
-        f"ln(-ln(({u(g, 40, 24)}) * ({u(g, 16, 24)}))) as c{i}",
-        f"{u(g, 0, 16)} as b{i}",
+        f"shiftrightunsigned(h{j}, 48) as h{j}",
+        f"get(rs, cast(h{j} & {LEVELS - 1} as int)) as r{j}",
+        f"get(cs, cast(shiftrightunsigned(h{j}, 12) & {LEVELS - 1} as int)) as c{j}",
+        f"((shiftrightunsigned(h{j}, 24) & 16777215) + 0.5D) / 16777216D as b{j}",
     ]
 
 
-def _digits(kind: str, samples: int) -> Column:
-    four = [F.expr(" | ".join(f"shiftleft({kind}{i + k} & 65535L, {48 - 16 * k})" for k in range(4))) for i in range(0, samples, 4)]
-    return F.lower(F.concat(*[F.lpad(F.hex(x), 16, "0") for x in four]))
+def _sample(j: int, log_weight: str) -> str:
+    """Least ln a over the words: its order in the upper bits, 16 bits of (word, t) in the lowest; no word, no value."""
+    t = f"floor({log_weight} / r{j} + b{j})"
+    return f"min(if({log_weight} is null, null, shiftleft(cast((c{j} - r{j} * ({t} - b{j} + 1) + 128) * 1073741824 as bigint), {_DIGITS}) | ((h{j} ^ {t}) & 65535)))"
 
 
-def edited_fingerprints(docs: DataFrame, spark: SparkSession, samples: int = SAMPLES) -> DataFrame:
+def _packed(kind: str, k: int) -> str:
+    """Four samples' digits in a long."""
+    return " | ".join(f"shiftleft({kind}{4 * k + x} & 65535L, {48 - 16 * x})" for x in range(4))
+
+
+def edited_fingerprints(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """Fingerprints of every text, of an edited text (its last half replaced by the start of the next document's), and
     the likeness of the fingerprint to the edited text's and to the next document's."""
     rows = with_next(docs, spark)
@@ -110,22 +129,50 @@ def edited_fingerprints(docs: DataFrame, spark: SparkSession, samples: int = SAM
     counted = words.groupBy("bucket", "rid", (F.col("kind") == 2).alias("note"), "word").agg(
         F.sum(F.expr("if(kind = 0, 1D, 0D)")).alias("w"), F.sum(F.expr("if(kind = 1, 1D, 0D)")).alias("v")
     )
+    told_names = ["doc_id", "n_chars", "ghost", *(f"s{k}" for k in range(5))]
     part = lambda k: f"split_part(word, ',', {k})"
     told = [f"if(note, try_cast({part(1)} as bigint), null) as doc_id", f"if(note, cast({part(2)} as bigint), null) as n_chars", f"if(note, cast({part(4)} as int), null) as ghost"]
     told += [f"if(note, cast(conv(substring({part(3)}, {1 + 13 * k}, {min(13, 64 - 13 * k)}), 16, 10) as bigint), null) as s{k}" for k in range(5)]
-    plain = counted.selectExpr("bucket", "rid", "if(note, 0D, w) as w", "if(note, 0D, v) as v", "xxhash64(word) as term", *told)
-    drawn = plain.selectExpr(*plain.columns, *[x for i in range(samples) for x in _draws(i)])
-    kept = [f"max({c}) as {c}" for c in ("doc_id", "n_chars", "ghost", *(f"s{k}" for k in range(5)))]
-    marks = drawn.groupBy("bucket", "rid").agg(
-        *[F.expr(x) for x in kept], *[F.expr(f"{_sample(i, 'w')} as p{i}") for i in range(samples)], *[F.expr(f"{_sample(i, 'v')} as q{i}") for i in range(samples)]
+    same_row = ["bucket", "rid", "g", "w", "v", "lw", "lv", *told_names]
+    plain = counted.selectExpr("bucket", "rid", "if(note, 0D, w) as w", "if(note, 0D, v) as v", "if(note or w = 0, null, ln(w)) as lw", "if(note or v = 0, null, ln(v)) as lv", "if(note, 0L, xxhash64(word)) as term", *told)
+    hashed = plain.withColumn("g", F.expr(f"cast(term & {STRATA - 1} as int)")).selectExpr(*same_row, *[f"xxhash64(term, {j}) as h{j}" for j in range(PER_STRATUM)])
+    quantiles = gamma_quantiles()
+    tables = {"rs": _doubles(quantiles), "cs": _doubles([math.log(x) for x in quantiles])}
+    drawn = hashed.withColumns(tables).selectExpr(*same_row, *[x for j in range(PER_STRATUM) for x in _draws(j)])
+    least = drawn.groupBy("bucket", "rid", "g").agg(
+        *[F.expr(f"max({c}) as {c}") for c in told_names], F.expr("sum(w) as w"), F.expr("sum(v) as v"),
+        *[F.expr(f"{_sample(j, 'lw')} as p{j}") for j in range(PER_STRATUM)], *[F.expr(f"{_sample(j, 'lv')} as q{j}") for j in range(PER_STRATUM)],
+    )
+    longs = range(PER_STRATUM // 4)
+    alike = " + ".join(f"if((p{j} & 65535L) = (q{j} & 65535L), 1D, 0D)" for j in range(PER_STRATUM))
+    packed = least.selectExpr(
+        "bucket", "rid", "g", *told_names, f"({alike}) / {float(PER_STRATUM)}D as alike", "w + v as total",
+        *[f"coalesce({_packed(x, k)}, 0L) as {x}{k}" for x in "pq" for k in longs], "cast(w as bigint) as pw", "cast(v as bigint) as qw",
+    ).selectExpr("*", "total / (1 + alike) as most")
+    parts = [f"max(if(g = {g}, {x}{k}, null)) as {x}{g}_{k}" for x in "pq" for g in range(STRATA) for k in (*longs, "w")]
+    marks = packed.groupBy("bucket", "rid").agg(
+        *[F.expr(f"max({c}) as {c}") for c in told_names], F.expr("sum(alike * most) / sum(most) as near_edited"), *[F.expr(x) for x in parts]
     )
+    hexed = lambda x, n: F.lpad(F.hex(F.coalesce(F.col(x), F.lit(0))), n, "0")
+    digits = lambda x: F.lower(F.concat(*[y for g in range(STRATA) for y in (*(hexed(f"{x}{g}_{k}", 16) for k in longs), hexed(f"{x}{g}_w", 8))]))
     sha = F.lower(F.concat(*[F.lpad(F.hex(f"s{k}"), min(13, 64 - 13 * k), "0") for k in range(5)]))
-    same = lambda a, b: F.expr(" + ".join(f"if(({a(i)} & 65535L) = ({b(i)} & 65535L), 1, 0)" for i in range(samples))) / F.lit(float(samples))
     out = marks.select(
-        "bucket", "rid", "doc_id", "n_chars", "ghost", sha.alias("edited_sha256"), _digits("p", samples).alias("fingerprint"),
-        F.when(F.col("ghost") == 0, _digits("q", samples)).alias("edited_fingerprint"), same(lambda i: f"p{i}", lambda i: f"q{i}").alias("near_edited"),
+        "bucket", "rid", "doc_id", "n_chars", "ghost", sha.alias("edited_sha256"), digits("p").alias("fingerprint"),
+        F.when(F.col("ghost") == 0, digits("q")).alias("edited_fingerprint"), "near_edited",
     )
     along = Window.partitionBy("bucket").orderBy("rid")
     out = out.withColumn("next_fingerprint", F.lead("fingerprint").over(along)).where("ghost = 0")
-    alike = " + ".join(f"if(substring(fingerprint, {1 + 4 * i}, 4) = substring(next_fingerprint, {1 + 4 * i}, 4), 1, 0)" for i in range(samples))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", (F.expr(alike) / F.lit(float(samples))).alias("near_next"))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", likeness("fingerprint", "next_fingerprint").alias("near_next"))
+
+
+def likeness(a: str, b: str) -> Column:
+    """Estimate of generalised Jaccard similarity from two columns of fingerprints."""
+    width = 4 * PER_STRATUM + 8
+    above, below = [], []
+    for g in range(STRATA):
+        same = " + ".join(f"if(substring({a}, {1 + g * width + 4 * j}, 4) = substring({b}, {1 + g * width + 4 * j}, 4), 1D, 0D)" for j in range(PER_STRATUM))
+        total = " + ".join(f"cast(conv(substring({x}, {1 + g * width + 4 * PER_STRATUM}, 8), 16, 10) as double)" for x in (a, b))
+        share = f"(({same}) / {float(PER_STRATUM)}D)"
+        above.append(f"({share} * ({total}) / (1 + {share}))")
+        below.append(f"(({total}) / (1 + {share}))")
+    return F.expr(f"({' + '.join(above)}) / ({' + '.join(below)})")

@@ -184,18 +184,18 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000) -> Compressi
     return model.fit(x[held], y[held], weight)
 
 
-def score(docs: DataFrame, model: CompressionModel | None, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (doc_id) and score, 0 to 1, of each whole text."""
+def score(docs: DataFrame, model: CompressionModel | None, columns: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``columns`` of ``docs`` (doc_id) and the score, 0 to 1, of each whole text."""
     columns = columns or ["doc_id"]
 
     def run(batches):
         for batch in batches:
             text = batch.column(len(columns))
             s = np.zeros(len(batch)) if model is None else model.scores(text)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(s, pa.float64())], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(s, pa.float64())], names=[*columns, name])
 
     kept = docs.select(*columns, F.col("text").alias("__text"))
-    schema = kept.drop("__text").schema.add("score", "double")
+    schema = kept.drop("__text").schema.add(name, "double")
     return kept.mapInArrow(run, schema)
 
 
@@ -209,4 +209,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, spark: SparkSession, at: fl
     """``docs`` without documents whose score is ``at`` or more, learnt from ``training`` (or ``docs``) and ``labels``;
     all columns stay as they are."""
     small_batches(spark)
-    return score(docs, train(docs if training is None else training, labels), docs.columns).where(F.col("score") < at).drop("score")
+    return score(docs, train(docs if training is None else training, labels), docs.columns, "__toxic").where(F.col("__toxic") < at).drop("__toxic")
