@@ -108,3 +108,5 @@ QUERIES = {
         op9_language_id, op10_chat_format, pipeline,
     )
 }
+
+ORACLES: dict[str, str] = {}
