@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -28,7 +29,12 @@ def stored(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it: cuts lineage, survives lost executors."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    # Shuffle files of finished steps go when the driver finds their plans unused; long jobs should not wait for that.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:

@@ -23,21 +23,19 @@ from pyspark.sql import functions as F
 from orrery.llm._store import stored
 
 LINE_BITS = 20
+#: xxhash64('') under Spark's seed: what blanks next to each other leave.
+_EMPTY = -7444071767201028348
 #: A side of a join is broadcast only when it was counted and has no more rows than this.
 BROADCAST_ROWS = 200_000
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), " ")), "")
-
-
 def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "rank", "th", F.posexplode(F.split("text", "\n")).alias("no", "line"))
 
 
 def cell_levels(docs: DataFrame) -> Column:
     """Array literal: level 0 to 15 of each of 2**16 counter cells by how many words fell into it."""
-    words = docs.select(F.explode(F.split(F.lower("text"), "[ \\n]")).alias("w"))
+    words = docs.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("w"))
     cells = words.select(F.shiftrightunsigned(F.xxhash64("w"), 48).cast("int").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
     got = {r["cell"]: r["n"] for r in cells.collect()}
     counts = [got.get(k, 0) for k in range(1 << 16)]
@@ -48,10 +46,9 @@ def cell_levels(docs: DataFrame) -> Column:
 
 def _keys(line: Column, levels: Column) -> Column:
     """The set as sorted longs: rarity first."""
-    key = lambda w: F.shiftleft(F.element_at(levels, F.shiftrightunsigned(F.xxhash64(w), 48).cast("int") + 1), 58).bitwiseOR(
-        F.xxhash64(w).bitwiseAND((1 << 58) - 1)
-    )
-    return F.sort_array(F.transform(_words(line), key))
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w))), _EMPTY)
+    level = lambda h: F.coalesce(F.get(levels, F.shiftrightunsigned(h, 48).cast("int")), F.lit(0).cast("long"))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 58).bitwiseOR(h.bitwiseAND((1 << 58) - 1))))
 
 
 def ranked(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -92,7 +89,8 @@ def removed_lines(docs: DataFrame, spark: SparkSession, threshold: tuple[int, in
         "lines",
     )
     firsts = stored(index.groupBy("h1", "h2", "n").agg(F.min("key").alias("first")), spark, "sets")
-    sets = index.join(firsts.select(F.col("first").alias("key")), "key", "left_semi").dropDuplicates(["key"])
+    # A document that repeats whole gives its sets again, under the same keys; that adds no pair of different keys.
+    sets = stored(index.select("key", "n", "prefix").join(firsts.select(F.col("first").alias("key")), "key", "left_semi"), spark, "firsts")
     entries = sets.select("key", "n", F.posexplode("prefix").alias("pos", "word"))
     heads = entries.groupBy("word").agg(F.min("key").alias("head"), F.count("*").alias("met")).where("met > 1")
     met = stored(entries.join(heads, "word"), spark, "met")
@@ -102,7 +100,7 @@ def removed_lines(docs: DataFrame, spark: SparkSession, threshold: tuple[int, in
         needed = stored(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct(), spark, "needed")
         held = stored(index.join(needed, "key", "left_semi").select("doc_id", "th").distinct(), spark, "held")
         texts = docs.join(_sized(held), ["doc_id", "th"], "left_semi")
-        whole = _lines(texts).select(key.alias("key"), "line").join(_sized(needed), "key", "left_semi").dropDuplicates(["key"])
+        whole = _lines(texts).select(key.alias("key"), "line").join(_sized(needed), "key", "left_semi")
         whole = stored(whole.select("key", _keys(F.col("line"), levels).alias("w")), spark, "whole")
         a, b = whole.select(F.col("key").alias("a"), F.col("w").alias("wa")), whole.select(F.col("key").alias("b"), F.col("w").alias("wb"))
         both = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("wa", "wb")))
