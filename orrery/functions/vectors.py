@@ -30,11 +30,20 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def normalised(v: Column) -> Column:
     """Unit vector; a zero vector is an error."""
-    n = norm(v)
-    checked = F.when(n > 0, n).otherwise(F.raise_error(F.lit("zero vector")).cast("double"))
-    return F.transform(doubles(v), lambda x: x / checked)
+
+    def over(d: Column) -> Column:
+        n = norm(d)
+        checked = F.when(n > 0, n).otherwise(F.raise_error(F.lit("zero vector")).cast("double"))
+        return let(checked, lambda m: F.transform(d, lambda x: x / m))
+
+    return let(doubles(v), over)
 
 
 def fused(a: Column, b: Column, weight: float = 0.5) -> Column:
@@ -45,5 +54,9 @@ def fused(a: Column, b: Column, weight: float = 0.5) -> Column:
 
 def quantised(v: Column) -> Column:
     """int8 codes and their scale: value = code * scale; halves go to even."""
-    scale = F.array_max(F.transform(doubles(v), F.abs)) / 127.0
-    return F.struct(F.transform(doubles(v), lambda x: F.bround(x / scale, 0).cast("tinyint")).alias("codes"), scale.alias("scale"))
+
+    def over(d: Column) -> Column:
+        scale = F.array_max(F.transform(d, F.abs)) / 127.0
+        return let(scale, lambda s: F.struct(F.transform(d, lambda x: F.bround(x / s, 0).cast("tinyint")).alias("codes"), s.alias("scale")))
+
+    return let(doubles(v), over)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """New Parquet files of a folder, with the schema of those there now."""
-    return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_scores(events: DataFrame, calibration: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
