@@ -8,7 +8,7 @@ are far more frequent in toxic documents (a two-proportion test). Thus text that
 toxic passages differ.
 
 A document's score is a logistic model of how many of its windows reach each distance, of the largest distance and of
-the length, fitted on labelled documents that the dictionaries did not see, with the classes weighted back to their
+the length, fitted on labelled documents by halves, each under dictionaries made from the other half, with the classes weighted back to their
 shares, so scores are calibrated. Labels are sampled by hash: at most about ``max_docs`` documents, half of them of each
 class where there are so many. The sample is the only bound; all other text is read whole.
 
@@ -54,7 +54,7 @@ def _ngrams(word: str) -> list[tuple[str, int]]:
     return [(word[i : i + n], i) for n in (5, 6) for i in range(len(word) - n + 1)]
 
 
-def telling_passages(toxic: Counter, ordinary: Counter, n_toxic: int, n_ordinary: int, least: float = 8.0) -> list[str]:
+def telling_passages(toxic: Counter, ordinary: Counter, n_toxic: int, n_ordinary: int, least: float = 5.0, docs: int = 4) -> list[str]:
     """Parts of toxic documents' words by how often they tell, most often first."""
     in_toxic, in_ordinary = Counter(), Counter()
     for counts, into in ((toxic, in_toxic), (ordinary, in_ordinary)):
@@ -63,9 +63,9 @@ def telling_passages(toxic: Counter, ordinary: Counter, n_toxic: int, n_ordinary
                 into[g] += k
     z = {}
     for g, k in in_toxic.items():
-        if k >= 5:
+        if k >= docs:
             p, q = k / n_toxic, in_ordinary[g] / n_ordinary
-            if q < 0.1 * p:
+            if q < 0.35 * p:
                 z[g] = (p - q) / np.sqrt((k + in_ordinary[g] + 1) / (n_toxic + n_ordinary) * (1 / n_toxic + 1 / n_ordinary))
     parts: Counter = Counter()
     for word, k in toxic.items():
@@ -161,27 +161,31 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000) -> Compressi
     own = labels.where(part < F.when(F.col("toxic") == 1, int(share[1] * (1 << 20))).otherwise(int(share[0] * (1 << 20))))
     # The sample has about max_docs rows whatever the table's size.
     rows = docs.select("doc_id", "text").join(F.broadcast(own.dropDuplicates(["doc_id"])), "doc_id").orderBy("doc_id").select("text", "toxic").toPandas()
-    text, y = rows["text"].fillna("").tolist(), rows["toxic"].to_numpy()
+    # Copies say nothing new; each text counts once.
+    rows = rows.assign(text=rows["text"].fillna("")).drop_duplicates("text")
+    text, y = rows["text"].tolist(), rows["toxic"].to_numpy()
     if len(set(y.tolist())) < 2:
         return None
-    first = np.arange(len(y)) % 2 == 0
-    dfs = (Counter(), Counter())
-    for t, label in ((t, k) for t, k, f in zip(text, y, first, strict=True) if f):
-        dfs[label].update(_document_words(t))
-    n = [int((first & (y == k)).sum()) for k in (0, 1)]
-    told = telling_passages(dfs[1], dfs[0], max(n[1], 1), max(n[0], 1))
-    common = [w for w, _ in dfs[0].most_common(4000)]
-    # What is likeliest to be met stands last, nearest to the window.
-    model = CompressionModel((" ".join(reversed(common)) + " ").encode(), " ".join(reversed(told)).encode())
-    x = model.features(pa.array(text))
-    held = ~first
-    if len(set(y[held].tolist())) < 2:
-        held = np.ones(len(y), dtype=bool)
+
+    def built(use: np.ndarray) -> CompressionModel:
+        dfs, n = (Counter(), Counter()), [max(1, int((use & (y == k)).sum())) for k in (0, 1)]
+        for i in np.flatnonzero(use):
+            dfs[y[i]].update(_document_words(text[i]))
+        # What is likeliest to be met stands last, nearest to the window.
+        common = " ".join(w for w, _ in reversed(dfs[0].most_common(4000))) + " "
+        return CompressionModel(common.encode(), " ".join(reversed(telling_passages(dfs[1], dfs[0], n[1], n[0]))).encode())
+
+    # The logistic model sees each document under dictionaries made without it.
+    half, column = np.arange(len(y)) % 2 == 0, pa.array(text)
+    x = np.zeros((len(y), 3 * len(STEPS) + 1))
+    for use in (half, ~half):
+        x[~use] = built(use).features(column.filter(pa.array(~use)))
+    model = built(np.ones(len(y), dtype=bool))
     total = have[0] + have[1]
     prior = {k: have[k] / total for k in (0, 1)}
-    size = {k: max(1, int((y[held] == k).sum())) for k in (0, 1)}
-    weight = np.array([prior[int(k)] * held.sum() / size[int(k)] for k in y[held]])
-    return model.fit(x[held], y[held], weight)
+    size = {k: int((y == k).sum()) for k in (0, 1)}
+    weight = np.array([prior[int(k)] * len(y) / size[int(k)] for k in y])
+    return model.fit(x, y, weight)
 
 
 def score(docs: DataFrame, model: CompressionModel | None, columns: list[str] | None = None, name: str = "score") -> DataFrame:
