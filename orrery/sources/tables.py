@@ -57,3 +57,35 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", True).schema(schema).csv(path)
+
+
+def read_runs(spark: SparkSession, path: str, schema: str, pattern: str = r"/([^/]+)_seed_(\d+)_shot_(\d+)/") -> DataFrame:
+    """CSV reports of many runs in one scan; method, seed and shot come from the folder's name. Files elsewhere are left
+    out."""
+    rows = spark.read.option("header", True).option("recursiveFileLookup", True).schema(schema).csv(path).withColumn("file", F.col("_metadata.file_path"))
+    keys = [F.regexp_extract("file", pattern, k + 1).cast(kind).alias(name) for k, (name, kind) in enumerate((("method", "string"), ("seed", "int"), ("shot", "int")))]
+    return rows.where(F.col("file").rlike(pattern)).select(*keys, *[c for c in rows.columns if c != "file"])
+
+
+def macro_rows(runs: DataFrame) -> DataFrame:
+    """The rows that hold a run's macro mean."""
+    return runs.where(F.col("category") == "macro_mean")
+
+
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines; blank ones are skipped, one that does not parse fails the query and is named in the error."""
+    raw = spark.read.text(path).where(F.trim("value") != "")
+    row = raw.select("value", F.from_json("value", schema).alias("row"))
+    bad = F.raise_error(F.concat(F.lit("not JSON: "), F.substring("value", 1, 80)))
+    return row.select(F.when(F.try_parse_json("value").isNotNull(), F.col("row")).otherwise(bad).alias("row")).select("row.*")
+
+
+def write_partial(df: DataFrame, path: str, unit: str) -> None:
+    """Results unit by unit as JSON lines; a unit that is written again replaces its own part only."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(unit).json(path)
+
+
+def index_images(spark: SparkSession, path: str, pattern: str = r"/([^/]+)/test/([^/]+)/([^/]+)\.png$") -> DataFrame:
+    """category, defect, stem and path of every test image by its folders; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(path).select("path")
+    return files.where(F.col("path").rlike(pattern)).select(*[F.regexp_extract("path", pattern, k + 1).alias(c) for k, c in enumerate(("category", "defect", "stem"))], "path")

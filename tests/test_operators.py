@@ -137,3 +137,27 @@ def test_stream(spark, sf, tmp_path):
     got, last = spark.read.parquet(str(tmp_path / "out")), rows.agg(F.max("ts")).first()[0]
     want = rows.groupBy(F.window("ts", "1 day").alias("w"), "event_type").count().where(F.col("w.end") <= F.lit(last) - F.expr("interval 1 hour"))
     assert got.count() == want.count() and got.agg(F.sum("n")).first()[0] == want.agg(F.sum("count")).first()[0]
+
+
+def test_more_sources(spark, tmp_path):
+    for seed in (0, 1):
+        d = tmp_path / "runs" / f"main_seed_{seed}_shot_2"
+        d.mkdir(parents=True)
+        (d / "r.csv").write_text("category,ap\nbolt,0.5\nmacro_mean,0.25\n")
+    runs = src.read_runs(spark, str(tmp_path / "runs"), "category string, ap double")
+    got = src.macro_rows(runs).collect()
+    assert sorted((r["method"], r["seed"], r["shot"], r["ap"]) for r in got) == [("main", 0, 2, 0.25), ("main", 1, 2, 0.25)]
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
+    assert sorted(r["a"] for r in src.read_lines(spark, str(tmp_path / "a.jsonl"), "a int").collect()) == [1, 2]
+    (tmp_path / "b.jsonl").write_text('{"a": 1}\n{"a":\n')
+    with pytest.raises(Exception, match="not JSON"):
+        src.read_lines(spark, str(tmp_path / "b.jsonl"), "a int").collect()
+    df = spark.createDataFrame([("x", 1), ("y", 2)], "unit string, v int")
+    src.write_partial(df, str(tmp_path / "part"), "unit")
+    src.write_partial(df.where("unit = 'y'").withColumn("v", F.lit(9)), str(tmp_path / "part"), "unit")
+    assert sorted(r["v"] for r in spark.read.json(str(tmp_path / "part")).collect()) == [1, 9]
+    img = tmp_path / "img" / "bolt" / "test" / "crack"
+    img.mkdir(parents=True)
+    (img / "001.png").write_bytes(b"x")
+    r = src.index_images(spark, str(tmp_path / "img")).first()
+    assert (r["category"], r["defect"], r["stem"]) == ("bolt", "crack", "001")
