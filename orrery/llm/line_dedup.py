@@ -8,7 +8,8 @@ Words are ordered by rarity: a 64-bit key has the level of the word's counter ce
 fixed size), its hash below. Sets that are equal are merged first. A set's prefix, its ``n - ceil(t n) + 1`` rarest
 words, meets other prefixes in two rounds: first the earliest set with the same word, which settles large groups of
 near copies without pairing their members; then, for sets not yet settled, all earlier ones with the same word under
-the length and positional filters. What is left is verified on whole sets.
+the length and positional filters. Each set also has a bitmap of 64 bits, one set by each word; two sets that differ in
+few words differ in few bits, which drops most pairs before their sets are brought together to be verified.
 
 Null texts stay null, empty ones empty; blank lines and ties change nothing. Rows that repeat a doc_id count as one
 document and are treated alike. Documents of which no line stays are ``emptied``. Extra columns are kept by
@@ -40,7 +41,7 @@ def cell_levels(docs: DataFrame) -> Column:
     got = {r["cell"]: r["n"] for r in cells.collect()}
     counts = [got.get(k, 0) for k in range(1 << 16)]
     mid = sorted(counts)[len(counts) // 2]
-    level = [min(15, int(1 + max(0, n - mid) / (4 * mid**0.5 + 1)).bit_length() - 1) for n in counts]
+    level = [min(15, int(1 + max(0, n - mid) / (mid**0.5 + 1)).bit_length() - 1) for n in counts]
     return F.split(F.lit(",".join(map(str, level))), ",").cast("array<bigint>")
 
 
@@ -83,18 +84,21 @@ def removed_lines(docs: DataFrame, spark: SparkSession, threshold: tuple[int, in
     cut = size - F.expr(f"cast((size(w) * {num}L + {den - 1}) div {den} as int)") + 1
     index = stored(
         made.where(size >= min_words).select(
-            "doc_id", "th", "no", "key", size.alias("n"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "w").alias("h2"), F.slice("w", 1, cut).alias("prefix")
+            "doc_id", "th", "no", "key", size.alias("n"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "w").alias("h2"),
+            F.aggregate("w", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int")))).alias("bits"), F.slice("w", 1, cut).alias("prefix")
         ),
         spark,
         "lines",
     )
     firsts = stored(index.groupBy("h1", "h2", "n").agg(F.min("key").alias("first")), spark, "sets")
     # A document that repeats whole gives its sets again, under the same keys; that adds no pair of different keys.
-    sets = stored(index.select("key", "n", "prefix").join(firsts.select(F.col("first").alias("key")), "key", "left_semi"), spark, "firsts")
-    entries = sets.select("key", "n", F.posexplode("prefix").alias("pos", "word"))
+    sets = stored(index.select("key", "n", "bits", "prefix").join(firsts.select(F.col("first").alias("key")), "key", "left_semi"), spark, "firsts")
+    entries = sets.select("key", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
     heads = entries.groupBy("word").agg(F.min("key").alias("head"), F.count("*").alias("met")).where("met > 1")
     met = stored(entries.join(heads, "word"), spark, "met")
 
+    least = f"(({num}L * (na + nb) + {num + den - 1}) div {num + den})"
+
     def verified(pairs: DataFrame, why: str) -> DataFrame:
         pairs = stored(pairs.distinct(), spark, f"pairs-{why}")
         needed = stored(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct(), spark, "needed")
@@ -106,17 +110,19 @@ def removed_lines(docs: DataFrame, spark: SparkSession, threshold: tuple[int, in
         both = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("wa", "wb")))
         return stored(both.where(f"both * {den} >= (size(wa) + size(wb) - both) * {num}").select(F.col("a").alias("key")).distinct(), spark, f"later-{why}")
 
-    near = verified(met.where("key > head").select(F.col("key").alias("a"), F.col("head").alias("b")), "star")
+    filters = f"a > b and least(na, nb) * {den} >= greatest(na, nb) * {num} and least(pa, pb) + least(na - pa, nb - pb) >= {least}"
+    filters += f" and bit_count(bitsa ^ bitsb) <= na + nb - 2 * {least}"
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        return rows.select("word", F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("bits").alias(f"bits{s}"))
+
+    star = side(met.where("key > head"), "a").join(side(met.where("key = head"), "b"), "word").where(filters)
+    near = verified(star.select("a", "b"), "star")
     rest = met.where("met > 2 and key <> head")
-    probe = rest.join(near, "key", "left_anti").select("word", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    other = rest.select("word", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    least = f"(({num}L * (na + nb) + {num + den - 1}) div {num + den})"
-    more = probe.join(other, "word").where(
-        f"a > b and least(na, nb) * {den} >= greatest(na, nb) * {num} and least(pa, pb) + least(na - pa, nb - pb) >= {least}"
-    )
+    more = side(rest.join(near, "key", "left_anti"), "a").join(side(rest, "b"), "word").where(filters)
     later = near.union(verified(more.select("a", "b"), "rest")).withColumnRenamed("key", "first").withColumn("later", F.lit(True))
     firsts = firsts.join(later, "first", "left").select("h1", "h2", "n", "first", F.coalesce("later", F.lit(False)).alias("later"))
-    return index.drop("prefix").join(firsts, ["h1", "h2", "n"]).where("key > first or later").select("doc_id", "th", "no").distinct()
+    return index.drop("prefix", "bits").join(firsts, ["h1", "h2", "n"]).where("key > first or later").select("doc_id", "th", "no").distinct()
 
 
 def _marked(docs: DataFrame, spark: SparkSession, threshold: tuple[int, int], min_words: int) -> DataFrame:
