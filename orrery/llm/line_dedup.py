@@ -52,6 +52,14 @@ def _keys(line: Column, levels: Column) -> Column:
     return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 58).bitwiseOR(h.bitwiseAND((1 << 58) - 1))))
 
 
+def _wide_bits(keys: Column) -> Column:
+    """Bitmap of 512 bits, one set by each word."""
+    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    part = lambda h, j: F.when(F.shiftright(h, 6).bitwiseAND(7) == j, one(h)).otherwise(F.lit(0).cast("long"))
+    step = lambda j: lambda acc, h: acc.bitwiseOR(part(h, j))
+    return F.array(*[F.aggregate(keys, F.lit(0).cast("long"), step(j)) for j in range(8)])
+
+
 def ranked(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """``docs`` with ``rank``, which orders documents as doc_id does, in at most 63 - LINE_BITS bits."""
     room = 63 - LINE_BITS
@@ -105,7 +113,16 @@ def removed_lines(docs: DataFrame, spark: SparkSession, threshold: tuple[int, in
         held = stored(index.join(needed, "key", "left_semi").select("doc_id", "th").distinct(), spark, "held")
         texts = docs.join(_sized(held), ["doc_id", "th"], "left_semi")
         whole = _lines(texts).select(key.alias("key"), "line").join(_sized(needed), "key", "left_semi")
-        whole = stored(whole.select("key", _keys(F.col("line"), levels).alias("w")), spark, "whole")
+        whole = whole.select("key", _keys(F.col("line"), levels).alias("w")).select("key", "w", F.size("w").alias("n"), _wide_bits(F.col("w")).alias("wide"))
+        whole = stored(whole, spark, "whole")
+
+        def of(columns: list[str], s: str) -> DataFrame:
+            return whole.select(F.col("key").alias(s), *[F.col(c).alias(f"{c}{s}") for c in columns])
+
+        # Bitmaps of 512 bits drop most pairs of long lines; only what is left has its sets brought together.
+        wide = pairs.join(of(["n", "wide"], "a"), "a").join(of(["n", "wide"], "b"), "b")
+        off = F.aggregate(F.zip_with("widea", "wideb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda k, x: k + x)
+        pairs = stored(wide.where(off <= F.expr(f"na + nb - 2 * {least}")).select("a", "b"), spark, f"close-{why}")
         a, b = whole.select(F.col("key").alias("a"), F.col("w").alias("wa")), whole.select(F.col("key").alias("b"), F.col("w").alias("wb"))
         both = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("wa", "wb")))
         return stored(both.where(f"both * {den} >= (size(wa) + size(wb) - both) * {num}").select(F.col("a").alias("key")).distinct(), spark, f"later-{why}")
