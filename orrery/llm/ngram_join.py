@@ -32,6 +32,12 @@ from orrery.llm._store import small_batches, stored
 from orrery.llm.components import connected_components
 
 CELLS = 1 << 16
+#: Ids are broadcast only when they were counted and are no more than this.
+BROADCAST_ROWS = 200_000
+#: Bytes of whole sets in a block.
+BLOCK_BYTES = 48 << 20
+#: Bits of a set's bitmap.
+BITS = 2048
 
 
 def set_blocks(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -73,7 +79,7 @@ def cell_counts(docs: DataFrame, n: int, spark: SparkSession) -> np.ndarray:
 def levels(cells: np.ndarray) -> np.ndarray:
     """0 for cells as full as most, up to 15 for those far fuller."""
     mid = np.median(cells)
-    return np.minimum(15, np.floor(np.log2(1 + np.maximum(0, cells - mid) / (4 * np.sqrt(mid) + 1)))).astype(np.uint64)
+    return np.minimum(15, np.floor(np.log2(1 + np.maximum(0, cells - mid) / (np.sqrt(mid) + 1)))).astype(np.uint64)
 
 
 def order_key(g: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
@@ -86,8 +92,8 @@ def prefix_sizes(size: np.ndarray, t: Fraction) -> np.ndarray:
     return np.where(size > 0, size - least + 1, 0)
 
 
-def describe_sets(docs: DataFrame, n: int, t: Fraction, level: np.ndarray, orders: int) -> DataFrame:
-    """doc_id, size of the set, two hashes of the whole set, and the prefix under each order."""
+def describe_sets(docs: DataFrame, n: int, t: Fraction, level: np.ndarray, orders: tuple[int, ...]) -> DataFrame:
+    """doc_id, size of the set, two hashes of the whole set, its bitmap, and the prefix under each of the orders."""
 
     def prefixes(batches):
         for batch in batches:
@@ -102,8 +108,11 @@ def describe_sets(docs: DataFrame, n: int, t: Fraction, level: np.ndarray, order
                         total[full] = np.add.reduceat(tx.mix(g ^ np.uint64(salt)), first[:-1][full])
                     marks.append(total)
                 take, row = prefix_sizes(size, t), np.repeat(np.arange(len(size)), size)
-                cols = [pa.array(size), pa.array(tx.signed(marks[0])), pa.array(tx.signed(marks[1]))]
-                for k in range(orders):
+                on = np.zeros((len(size), BITS), dtype=bool)
+                on[row, (tx.mix(g) % np.uint64(BITS)).astype(np.int64)] = True
+                bits = np.packbits(on, axis=1).view(np.int64)
+                cols = [pa.array(size), pa.array(tx.signed(marks[0])), pa.array(tx.signed(marks[1])), tx.list_array(bits.ravel(), np.full(len(size), BITS // 64), pa.int64())]
+                for k in orders:
                     key = order_key(g, level, k)
                     by = np.lexsort((key, row))
                     rank = np.arange(len(g)) - first[:-1][row]
@@ -112,8 +121,8 @@ def describe_sets(docs: DataFrame, n: int, t: Fraction, level: np.ndarray, order
                 out.append(pa.RecordBatch.from_arrays([ids.slice(lo, len(size)), *cols], names=names))
             yield from out
 
-    names = ["doc_id", "size", "m1", "m2", *(f"prefix{k}" for k in range(orders))]
-    schema = "doc_id long, size long, m1 long, m2 long" + "".join(f", prefix{k} array<long>" for k in range(orders))
+    names = ["doc_id", "size", "m1", "m2", "bits", *(f"prefix{k}" for k in orders)]
+    schema = "doc_id long, size long, m1 long, m2 long, bits array<long>" + "".join(f", prefix{k} array<long>" for k in orders)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(prefixes, schema)
 
 
@@ -128,30 +137,67 @@ def _whole_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, grams binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, t: Fraction, orders: int, spark: SparkSession) -> DataFrame:
-    """Of the pairs (a, b), those that pass the other orders' filters and then reach the similarity."""
-    sig = sets.select("doc_id", "size", *(f"prefix{k}" for k in range(1, orders)))
-    rename = lambda s: sig.select(*(F.col(c).alias("a" if (c, s) == ("doc_id", "a") else "b" if c == "doc_id" else f"{c}_{s}") for c in sig.columns))
-    met = pairs.join(rename("a"), "a").join(rename("b"), "b")
-    met = met.where(F.expr(f"least(size_a, size_b) * {t.denominator} >= greatest(size_a, size_b) * {t.numerator}"))
+def verified(
+    pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, t: Fraction, level: np.ndarray, orders: int, spark: SparkSession
+) -> DataFrame:
+    """Of the pairs (a, b), those that pass the other orders' filters and then reach the similarity.
+
+    Before that, sizes and bitmaps drop pairs that cannot: two sets of a union ``u`` and an intersection of at least
+    ``t u`` differ in at most as many bits as elements. Other orders' prefixes and whole sets are then made for the
+    documents of the pairs that are left only.
+    """
+
+    def side(rows: DataFrame, columns: list[str], s: str) -> DataFrame:
+        return rows.select(F.col("doc_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+
+    def texts_of(met: DataFrame) -> DataFrame:
+        ids = stored(met.select(F.col("a").alias("doc_id")).union(met.select(F.col("b").alias("doc_id"))).distinct(), spark, "ids")
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+
+    near = pairs.distinct().join(side(sets, ["size", "bits"], "a"), "a").join(side(sets, ["size", "bits"], "b"), "b")
+    near = near.where(F.expr(f"least(size_a, size_b) * {t.denominator} >= greatest(size_a, size_b) * {t.numerator}"))
+    off = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda k, x: k + x)
+    # An intersection of i elements needs i (den + num) >= num (a + b); a + b - 2 i elements are then in one set only.
+    least = F.expr(f"((size_a + size_b) * {t.numerator} + {t.numerator + t.denominator - 1}) div {t.numerator + t.denominator}")
+    met = stored(near.where(off <= F.col("size_a") + F.col("size_b") - 2 * least).select("a", "b").distinct(), spark, "pairs")
     for k in range(1, orders):
-        met = met.where(F.arrays_overlap(f"prefix{k}_a", f"prefix{k}_b"))
-    met = stored(met.select("a", "b"), spark, "candidates")
-    ids = met.select(F.col("a").alias("doc_id")).union(met.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    grams = stored(_whole_sets(texts, n), spark, "sets")
-
-    def compare(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both * t.denominator >= (len(x) + len(y) - both) * t.numerator)
-            yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
-
-    ga, gb = (grams.select(F.col("doc_id").alias(s), F.col("grams").alias(f"g{s}")) for s in "ab")
-    return met.join(ga, "a").join(gb, "b").select("a", "b", "ga", "gb").mapInArrow(compare, "a long, b long")
+        own = stored(describe_sets(texts_of(met), n, t, level, (k,)).select("doc_id", f"prefix{k}"), spark, "order")
+        both = met.join(side(own, [f"prefix{k}"], "a"), "a").join(side(own, [f"prefix{k}"], "b"), "b")
+        met = stored(both.where(F.arrays_overlap(f"prefix{k}_a", f"prefix{k}_b")).select("a", "b").distinct(), spark, "candidates")
+    grams = stored(_whole_sets(texts_of(met), n), spark, "sets")
+
+    return in_blocks(met, grams, t, spark)
+
+
+def in_blocks(pairs: DataFrame, grams: DataFrame, t: Fraction, spark: SparkSession) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity.
+
+    Documents are dealt by hash to blocks of about BLOCK_BYTES of sets; a task holds the sets of two blocks and compares
+    all pairs between them. So a set travels once for each block, not once for each of its pairs, which are many in
+    large groups of texts that are alike but not enough.
+    """
+    total = grams.agg(F.coalesce(F.sum(F.length("grams")), F.lit(0)).alias("n")).first()["n"]
+    count = max(1, -(-total // BLOCK_BYTES))
+    block = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(count))
+    asked = pairs.select("a", "b", block("a").alias("i"), block("b").alias("j"))
+    asked = asked.select(F.when(F.col("i") <= F.col("j"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("i") <= F.col("j"), F.col("b")).otherwise(F.col("a")).alias("b"), F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    sent = grams.dropDuplicates(["doc_id"]).withColumn("own", block("doc_id")).select("doc_id", "grams", "own", others.alias("other"))
+    sent = sent.select("doc_id", "grams", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"))
+    asked = asked.withColumns({"i": F.col("i").cast("long"), "j": F.col("j").cast("long")})
+
+    def compare(own, sets):
+        held = {k: np.frombuffer(v, np.uint64) for k, v in zip(sets["doc_id"], sets["grams"], strict=True)} if len(own) else {}
+        keep = []
+        for a, b in zip(own["a"], own["b"], strict=True):
+            x, y = held[a], held[b]
+            at = np.searchsorted(y, x)
+            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+            keep.append(both * t.denominator >= (len(x) + len(y) - both) * t.numerator)
+        return own.loc[np.array(keep, dtype=bool), ["a", "b"]]
+
+    return asked.groupBy("i", "j").cogroup(sent.groupBy("i", "j")).applyInPandas(compare, "a long, b long")
 
 
 def near_duplicate_classes(
@@ -161,25 +207,28 @@ def near_duplicate_classes(
     small_batches(spark)
     t = Fraction(*threshold)
     level = levels(cell_counts(docs, n, spark))
-    sets = stored(describe_sets(docs, n, t, level, orders), spark, "prefixes")
+    sets = stored(describe_sets(docs, n, t, level, (0,)), spark, "prefixes")
     classes = stored(
         sets.where("size > 0 and doc_id is not null").groupBy("m1", "m2", "size").agg(F.min("doc_id").alias("rep")), spark, "classes"
     )
-    reps = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    entries = reps.select("doc_id", "size", F.explode("prefix0").alias("gram"))
+    first_of = classes.select(F.col("rep").alias("doc_id"))
+    reps = stored(sets.select("doc_id", "size", "bits").join(first_of, "doc_id", "left_semi"), spark, "reps")
+    entries = sets.select("doc_id", "size", "prefix0").join(first_of, "doc_id", "left_semi").select("doc_id", "size", F.explode("prefix0").alias("gram"))
     firsts = entries.groupBy("gram").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1")
-    star = entries.join(firsts.select("gram", "b"), "gram").where("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct()
-    links = stored(verified(star, reps, docs, n, t, orders, spark), spark, "links")
+    # N-grams in one prefix only give no pair in either round; most are such.
+    met = stored(entries.join(firsts.select("gram", "b"), "gram"), spark, "met")
+    star = met.where("doc_id > b").select(F.col("doc_id").alias("a"), "b")
+    links = stored(verified(star, reps, docs, n, t, level, orders, spark), spark, "links")
     label = connected_components(links, spark)
-    placed = entries.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("first"))
-    open_ = stored(placed.join(mixed.where("lo < hi").select("gram", "first"), "gram").where("doc_id > first"), spark, "open")
+    placed = met.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    open_ = stored(placed.where("doc_id > b").join(mixed.where("lo < hi").select("gram"), "gram"), spark, "open")
     x = open_.select("gram", F.col("doc_id").alias("a"), F.col("size").alias("sa"), F.col("component").alias("ca"))
     y = open_.select("gram", F.col("doc_id").alias("b"), F.col("size").alias("sb"), F.col("component").alias("cb"))
     rest = x.join(y, "gram").where(
         F.expr(f"a > b and ca <> cb and least(sa, sb) * {t.denominator} >= greatest(sa, sb) * {t.numerator}")
     )
-    more = stored(verified(rest.select("a", "b").distinct(), reps, docs, n, t, orders, spark), spark, "links")
+    more = stored(verified(rest.select("a", "b"), reps, docs, n, t, level, orders, spark), spark, "links")
     label = connected_components(links.union(more), spark)
     named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
         "m1", "m2", "size", F.coalesce("component", "rep").alias("component")
