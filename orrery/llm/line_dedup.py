@@ -2,10 +2,11 @@
 
 A line is the set of its lower-cased words (divided by blanks). A line goes when an earlier one, by (doc_id, place),
 has a Jaccard similarity of at least ``threshold``, whether or not that earlier line stays itself. Lines of fewer than
-``min_words`` different words are too short to be evidence and always stay.
+``min_words`` different words always stay, as do blank ones; the query and the pipeline set it to 1.
 
 Words are ordered by rarity: a 64-bit key has the level of the word's counter cell in its top bits (2**16 cells, a
-fixed size), its hash below. Sets that are equal are merged first. A set's prefix, its ``n - ceil(t n) + 1`` rarest
+fixed size), its hash below. Sets that are equal are merged first; sets so small that only equal ones reach the
+threshold are settled by that and form no pairs. A larger set's prefix, its ``n - ceil(t n) + 1`` rarest
 words, meets other prefixes in two rounds: first the earliest set with the same word, which settles large groups of
 near copies without pairing their members; then, for sets not yet settled, all earlier ones with the same word under
 the length and positional filters. Each set also has a bitmap of 64 bits, one set by each word; two sets that differ in
@@ -90,17 +91,19 @@ def removed_lines(docs: DataFrame, spark: SparkSession, threshold: tuple[int, in
     made = _lines(docs).select("doc_id", "th", "no", key.alias("key"), _keys(F.col("line"), levels).alias("w"))
     size = F.size("w")
     cut = size - F.expr(f"cast((size(w) * {num}L + {den - 1}) div {den} as int)") + 1
+    # Sets of n and n + 1 words reach the threshold at best by n / (n + 1); with fewer words only equal sets do.
+    pairable = size * (den - num) >= num
     index = stored(
-        made.where(size >= min_words).select(
+        made.where(size >= max(1, min_words)).select(
             "doc_id", "th", "no", "key", size.alias("n"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "w").alias("h2"),
-            F.aggregate("w", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int")))).alias("bits"), F.slice("w", 1, cut).alias("prefix")
+            F.aggregate("w", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int")))).alias("bits"), F.when(pairable, F.slice("w", 1, cut)).alias("prefix")
         ),
         spark,
         "lines",
     )
     firsts = stored(index.groupBy("h1", "h2", "n").agg(F.min("key").alias("first")), spark, "sets")
     # A document that repeats whole gives its sets again, under the same keys; that adds no pair of different keys.
-    sets = stored(index.select("key", "n", "bits", "prefix").join(firsts.select(F.col("first").alias("key")), "key", "left_semi"), spark, "firsts")
+    sets = stored(index.where("prefix is not null").select("key", "n", "bits", "prefix").join(firsts.select(F.col("first").alias("key")), "key", "left_semi"), spark, "firsts")
     entries = sets.select("key", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
     heads = entries.groupBy("word").agg(F.min("key").alias("head"), F.count("*").alias("met")).where("met > 1")
     met = stored(entries.join(heads, "word"), spark, "met")

@@ -72,7 +72,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return line_dedup.dedup_lines(docs.select("doc_id", "text"), spark)
+    return line_dedup.dedup_lines(docs.select("doc_id", "text"), spark, min_words=1)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,6 +206,18 @@ def test_line_dedup(spark, docs, awkward):
     assert kept.columns == awkward.columns and kept.where("doc_id = 5 or doc_id = 1").count() == 2
 
 
+def test_line_dedup_short(spark, tmp_path):
+    import corpus_pipeline
+
+    nine = "a1 a2 a3 a4 a5 a6 a7 a8 a9"
+    rows = [(1, f"Hello\nx y\n\nz z z\n{nine}"), (2, f"hello\nx y w\n\ny x\nz\n{nine} a10"), (3, "HELLO"), (4, "a1 a2 a3 a4 a5 a6 a7 a8 b1")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("x y w\n", 4), 3: ("", 1), 4: (rows[3][1], 0)}
+    kept = corpus_pipeline.drop_lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == {1: rows[0][1], 2: "x y w\n", 4: rows[3][1]}
+
+
 def test_line_dedup_wide_ids(spark):
     rows = [(-(2**62), "a b c d e f g"), (2**62, "a b c d e f g"), (5, "h i j k l m n")]
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect()}
