@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from orrery.llm._store import stored
 
-LINE_BITS = 20
 #: xxhash64('') under Spark's seed: what blanks next to each other leave.
 _EMPTY = -7444071767201028348
 #: A side of a join is broadcast only when it was counted and has no more rows than this.
@@ -61,12 +60,15 @@ def _wide_bits(keys: Column) -> Column:
     return F.array(*[F.aggregate(keys, F.lit(0).cast("long"), step(j)) for j in range(8)])
 
 
-def ranked(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """``docs`` with ``rank``, which orders documents as doc_id does, in at most 63 - LINE_BITS bits."""
-    room = 63 - LINE_BITS
-    got = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+def ranked(docs: DataFrame, spark: SparkSession) -> tuple[DataFrame, int]:
+    """``docs`` with ``rank``, which orders documents as doc_id does, and the bits that the places of lines need (by
+    the document with most lines); ranks have the rest of 63 bits."""
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    got = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(breaks).alias("breaks")).first()
+    bits = (got["breaks"] or 0).bit_length()
+    room = 63 - bits
     if got["lo"] is None or got["hi"] - got["lo"] < (1 << room) - 1:
-        return docs.withColumn("rank", F.coalesce(F.col("doc_id") - F.lit(got["lo"] or 0) + 1, F.lit(0)))
+        return docs.withColumn("rank", F.coalesce(F.col("doc_id") - F.lit(got["lo"] or 0) + 1, F.lit(0))), bits
     ids = docs.select("doc_id").distinct().repartitionByRange("doc_id")
     ids = stored(ids.withColumn("part", F.spark_partition_id()), spark, "ids")
     from pyspark.sql.window import Window
@@ -74,20 +76,20 @@ def ranked(docs: DataFrame, spark: SparkSession) -> DataFrame:
     parts = ids.groupBy("part").agg(F.count("*").alias("n"))
     before = parts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
     place = ids.join(before, "part").select("doc_id", (F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) + F.col("before")).alias("rank"))
-    return docs.join(place, docs["doc_id"].eqNullSafe(place["doc_id"]), "left").drop(place["doc_id"])
+    return docs.join(place, docs["doc_id"].eqNullSafe(place["doc_id"]), "left").drop(place["doc_id"]), bits
 
 
 def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def removed_lines(docs: DataFrame, spark: SparkSession, threshold: tuple[int, int] = (9, 10), min_words: int = 5) -> DataFrame:
+def removed_lines(docs: DataFrame, spark: SparkSession, bits: int, threshold: tuple[int, int] = (9, 10), min_words: int = 5) -> DataFrame:
     """doc_id, th (hash of the text) and no (place from 0) of each line that repeats an earlier one. ``docs`` needs
-    doc_id, text and rank."""
+    doc_id, text and rank, ``bits`` is what places take, both from ``ranked``."""
     num, den = threshold
     docs = docs.where("text is not null").select("doc_id", "rank", "text", F.xxhash64("text").alias("th"))
     levels = cell_levels(docs)
-    key = F.shiftleft(F.col("rank"), LINE_BITS).bitwiseOR(F.col("no").cast("long"))
+    key = F.shiftleft(F.col("rank"), bits).bitwiseOR(F.col("no").cast("long"))
     made = _lines(docs).select("doc_id", "th", "no", key.alias("key"), _keys(F.col("line"), levels).alias("w"))
     size = F.size("w")
     cut = size - F.expr(f"cast((size(w) * {num}L + {den - 1}) div {den} as int)") + 1
@@ -147,8 +149,8 @@ def removed_lines(docs: DataFrame, spark: SparkSession, threshold: tuple[int, in
 
 def _marked(docs: DataFrame, spark: SparkSession, threshold: tuple[int, int], min_words: int) -> DataFrame:
     """``docs`` with __gone, the places of lines to remove (null if none)."""
-    own = ranked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), spark)
-    gone = removed_lines(own, spark, threshold, min_words)
+    own, bits = ranked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), spark)
+    gone = removed_lines(own, spark, bits, threshold, min_words)
     gone = stored(gone.groupBy("doc_id", "th").agg(F.collect_set("no").alias("__gone")), spark, "gone")
     gone = _sized(gone.withColumnRenamed("doc_id", "__id").withColumnRenamed("th", "__th"))
     match = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th"))

@@ -224,6 +224,12 @@ def test_line_dedup_wide_ids(spark):
     assert got == {-(2**62): 0, 2**62: 1, 5: 0}
 
 
+def test_line_dedup_many_lines(spark):
+    rows = [(1, "one"), (2, "\n" * 2**20 + "a b c d e f g"), (3, "a b c d e f g")]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect()}
+    assert got == {1: 0, 2: 0, 3: 1}
+
+
 @pytest.mark.parametrize("n, num, den", [(3, 9, 10), (5, 4, 5)])
 def test_ngram_join(spark, docs, awkward, n, num, den):
     base = [f"t{k}" for k in range(120)]
