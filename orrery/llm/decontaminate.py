@@ -182,6 +182,8 @@ def contamination(docs: DataFrame, bench: DataFrame, spark: SparkSession, width:
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, spark: SparkSession, width: int = 13, share: int = 20) -> DataFrame:
-    """``docs`` without contaminated documents; all columns stay as they are."""
-    bad = contamination(docs, bench, spark, width, share).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without contaminated documents, whether or not they have a doc_id; all columns stay as they are."""
+    # Only the text decides, so its hash stands for the row: a doc_id may be null, or repeat with another text.
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    bad = contamination(texts, bench, spark, width, share).where("contaminated").select(F.col("doc_id").alias("__th")).distinct()
+    return docs.join(bad, F.xxhash64(docs["text"]) == F.col("__th"), "left_anti").select(docs.columns)

@@ -12,8 +12,9 @@ near copies without pairing their members; then, for sets not yet settled, all e
 the length and positional filters. Each set also has a bitmap of 64 bits, one set by each word; two sets that differ in
 few words differ in few bits, which drops most pairs before their sets are brought together to be verified.
 
-Null texts stay null, empty ones empty; blank lines and ties change nothing. Rows that repeat a doc_id count as one
-document and are treated alike. Documents of which no line stays are ``emptied``. Extra columns are kept by
+Null texts stay null, empty ones empty; blank lines and ties change nothing. Rows that repeat a doc_id with
+its text count as one document and are treated alike; those with one doc_id (or none) and different texts are documents
+of their own, ordered by a hash of the text. Documents of which no line stays are ``emptied``. Extra columns are kept by
 ``drop_repeated_lines``; none are needed.
 """
 
@@ -61,22 +62,25 @@ def _wide_bits(keys: Column) -> Column:
 
 
 def ranked(docs: DataFrame, spark: SparkSession) -> tuple[DataFrame, int]:
-    """``docs`` with ``rank``, which orders documents as doc_id does, and the bits that the places of lines need (by
+    """``docs`` with ``rank``, which orders documents as doc_id and then th (hash of the text) do, and the bits that the places of lines need (by
     the document with most lines); ranks have the rest of 63 bits."""
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     got = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(breaks).alias("breaks")).first()
     bits = (got["breaks"] or 0).bit_length()
     room = 63 - bits
-    if got["lo"] is None or got["hi"] - got["lo"] < (1 << room) - 1:
+    several = docs.groupBy("doc_id").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b")
+    if (got["lo"] is None or got["hi"] - got["lo"] < (1 << room) - 1) and several.isEmpty():
         return docs.withColumn("rank", F.coalesce(F.col("doc_id") - F.lit(got["lo"] or 0) + 1, F.lit(0))), bits
-    ids = docs.select("doc_id").distinct().repartitionByRange("doc_id")
+    ids = docs.select("doc_id", "th").distinct().repartitionByRange("doc_id", "th")
     ids = stored(ids.withColumn("part", F.spark_partition_id()), spark, "ids")
     from pyspark.sql.window import Window
 
     parts = ids.groupBy("part").agg(F.count("*").alias("n"))
     before = parts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
-    place = ids.join(before, "part").select("doc_id", (F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) + F.col("before")).alias("rank"))
-    return docs.join(place, docs["doc_id"].eqNullSafe(place["doc_id"]), "left").drop(place["doc_id"]), bits
+    place = ids.join(before, "part").select(
+        F.col("doc_id").alias("__id"), F.col("th").alias("__th"), (F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "th")) + F.col("before")).alias("rank")
+    )
+    return docs.join(place, docs["doc_id"].eqNullSafe(F.col("__id")) & (docs["th"] == F.col("__th")), "left").drop("__id", "__th"), bits
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -85,9 +89,9 @@ def _sized(df: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, spark: SparkSession, bits: int, threshold: tuple[int, int] = (9, 10), min_words: int = 5) -> DataFrame:
     """doc_id, th (hash of the text) and no (place from 0) of each line that repeats an earlier one. ``docs`` needs
-    doc_id, text and rank, ``bits`` is what places take, both from ``ranked``."""
+    doc_id, text, th and rank, ``bits`` is what places take, both from ``ranked``."""
     num, den = threshold
-    docs = docs.where("text is not null").select("doc_id", "rank", "text", F.xxhash64("text").alias("th"))
+    docs = docs.where("text is not null").select("doc_id", "rank", "text", "th")
     levels = cell_levels(docs)
     key = F.shiftleft(F.col("rank"), bits).bitwiseOR(F.col("no").cast("long"))
     made = _lines(docs).select("doc_id", "th", "no", key.alias("key"), _keys(F.col("line"), levels).alias("w"))
@@ -115,8 +119,8 @@ def removed_lines(docs: DataFrame, spark: SparkSession, bits: int, threshold: tu
     def verified(pairs: DataFrame, why: str) -> DataFrame:
         pairs = stored(pairs.distinct(), spark, f"pairs-{why}")
         needed = stored(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct(), spark, "needed")
-        held = stored(index.join(needed, "key", "left_semi").select("doc_id", "th").distinct(), spark, "held")
-        texts = docs.join(_sized(held), ["doc_id", "th"], "left_semi")
+        held = stored(needed.select(F.shiftright("key", bits).alias("rank")).distinct(), spark, "held")
+        texts = docs.join(_sized(held), "rank", "left_semi")
         whole = _lines(texts).select(key.alias("key"), "line").join(_sized(needed), "key", "left_semi")
         whole = whole.select("key", _keys(F.col("line"), levels).alias("w")).select("key", "w", F.size("w").alias("n"), _wide_bits(F.col("w")).alias("wide"))
         whole = stored(whole, spark, "whole")
@@ -149,7 +153,7 @@ def removed_lines(docs: DataFrame, spark: SparkSession, bits: int, threshold: tu
 
 def _marked(docs: DataFrame, spark: SparkSession, threshold: tuple[int, int], min_words: int) -> DataFrame:
     """``docs`` with __gone, the places of lines to remove (null if none)."""
-    own, bits = ranked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), spark)
+    own, bits = ranked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")), spark)
     gone = removed_lines(own, spark, bits, threshold, min_words)
     gone = stored(gone.groupBy("doc_id", "th").agg(F.collect_set("no").alias("__gone")), spark, "gone")
     gone = _sized(gone.withColumnRenamed("doc_id", "__id").withColumnRenamed("th", "__th"))

@@ -224,6 +224,16 @@ def test_line_dedup_wide_ids(spark):
     assert got == {-(2**62): 0, 2**62: 1, 5: 0}
 
 
+def test_rows_without_id(spark):
+    ten, clean = " ".join(f"k{i}" for i in range(10)), "nothing of the kind stands here"
+    rows = [(None, ten), (None, ten + " more"), (None, clean), (5, "k10 " + ten), (6, clean)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_removed"]) for r in line_dedup.dedup_lines(made, spark).collect())
+    assert got == [(0, 0), (0, 0), (0, 1), (5, 1), (6, 1)]
+    bench = spark.createDataFrame([(1, ten)], "item_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in decontaminate.decontaminate(made, bench, spark).collect()) == [(0, clean), (6, clean)]
+
+
 def test_line_dedup_many_lines(spark):
     rows = [(1, "one"), (2, "\n" * 2**20 + "a b c d e f g"), (3, "a b c d e f g")]
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect()}
