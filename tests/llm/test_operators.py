@@ -103,6 +103,28 @@ def test_secrets(spark, docs, awkward):
             assert [(k, a, b) for a, _, k, b in sorted(base)] == [s for s in got[i] if s[0] != "cnn"]
 
 
+def test_secrets_whole_runs(spark, docs):
+    import random
+
+    r = random.Random(4)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key = lambda n, extra="0123456789": "".join(r.choice(chars + extra) for _ in range(n))
+    bodies = {1: key(600), 2: key(40, ""), 3: key(30) + "0123456789abcdef" + key(30), 4: "=" * 60 + key(60)}
+    made = spark.createDataFrame([(i, f"the key: {b} ends") for i, b in bodies.items()], "doc_id long, text string")
+    for i, b in bodies.items():
+        assert secret_scan.candidates(f"the key: {b} ends") == [(9, 9 + len(b))], i
+    net = secret_scan.train(docs)
+    late = f"the key: {bodies[4]} ends"
+    x = secret_scan.windows(late, 9, 9 + len(bodies[4]))
+    assert len(x) == 120 - secret_scan.WIDTH + 1 and (x[0] == secret_scan.encode(late, 9, 129)).all()
+    assert net.best([(late, 9, 129), ("no secret", 0, 2)])[0] == net.scores(x).max() > net.scores(x[:1])[0]
+    got = {i["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in i["spans"]] for i in secret_scan.scan(docs.select("doc_id", "text").union(made.withColumn("doc_id", -made.doc_id)), spark).collect()}
+    for i, b in bodies.items():
+        assert ("cnn", 9, 9 + len(b)) in got[-i], (i, got[-i])
+    assert "hex" in [k for k, _, _ in got[-3]]
+    assert sum(k == "cnn" for i, spans in got.items() if i >= 0 for k, _, _ in spans) < 0.05 * docs.count()
+
+
 def test_packing(spark, docs, awkward):
     from tokenizers import Tokenizer
 
