@@ -10,7 +10,9 @@ Packing runs where the documents are: one pass, no shuffle, a bounded pool of ``
 sequences are numbered from its partition's number, so a task that runs again gives the same rows.
 
 A document's ids are those of its text (null: none) and one closing id; an empty text is that id alone. Every id lies
-in exactly one piece. The first id of a piece bears no loss, as nothing precedes it. Repeated rows are packed each.
+in exactly one piece. The first id of a piece bears no loss, as nothing precedes it; else all ids do, or those that a
+column of the table names: an array of booleans, one an id (what it lacks, as for the closing id, bears none), or the
+number of a document's last ids that do. A null means all. Repeated rows are packed each.
 Extra columns are ignored.
 """
 
@@ -77,8 +79,12 @@ class Pool:
         self.size, self.tokens = self.size - 1, self.tokens - kind[0]
         return what
 
-    def fill(self, cut: int) -> list[tuple[int, object]]:
-        """Take examples for one sequence: (tokens, example); the last may be a part, whose rest goes back."""
+    def fill(self, cut: int, most=None, cost=None) -> list[tuple[int, object]]:
+        """Take examples for one sequence: (tokens, example); the last may be a part, whose rest goes back.
+        ``most(example, tokens, loss)`` is how many tokens of an example these limits allow, ``cost(example, tokens)``
+        how many of its first tokens bear loss; by default all do but the first."""
+        most = most or (lambda what, tokens, loss: min(tokens, loss + 1))
+        cost = cost or (lambda what, tokens: tokens - 1)
         room, out = self.limits.copy(), []
         keys = np.array(list(self.kinds), dtype=float).reshape(-1, 2)
         counts = np.array([len(v) for v in self.kinds.values()])
@@ -93,13 +99,15 @@ class Pool:
             out.append((kind[0], self.take(kind)))
             counts[best] -= 1
             room -= shares[best]
-        gap = int(min(room[0], room[2] + 1))
-        if cut and gap >= cut and room[1] >= 1 and self.kinds:
+        if cut and room[0] >= cut and room[1] >= 1 and self.kinds:
             kind = max(self.kinds)
-            if kind[0] >= gap + cut:
-                doc, start = self.take(kind)
-                out.append((gap, (doc, start)))
-                self.add(kind[0] - gap, kind[0] - gap - 1, (doc, start + gap))
+            doc, start = what = self.kinds[kind][-1]
+            gap = most(what, int(min(room[0], kind[0])), int(room[2]))
+            if gap >= cut and kind[0] >= gap + cut:
+                self.take(kind)
+                out.append((gap, what))
+                rest = (doc, start + gap)
+                self.add(kind[0] - gap, cost(rest, kind[0] - gap), rest)
         return out
 
 
@@ -108,10 +116,24 @@ def powers(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
+def loss_before(n: int, bears) -> np.ndarray:
+    """How many of the first 0 to n ids bear loss, under what a row says (see the module's text)."""
+    mask = np.ones(n, dtype=bool)
+    if isinstance(bears, list):
+        mask[:] = False
+        own = [bool(b) for b in bears[:n]]
+        mask[: len(own)] = own
+    elif bears is not None:
+        mask[: n - min(max(int(bears), 0), n)] = False
+    return np.concatenate([[0], np.cumsum(mask)])
+
+
 def pack(
-    docs: DataFrame, spark: SparkSession, tokenizer: str, limit: int = 2048, segments: int = 512, loss: int = 2048, end: int = 1, pool: int = 4096, cut: int = 16
-) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
+    docs: DataFrame, spark: SparkSession, tokenizer: str, limit: int = 2048, segments: int = 512, loss: int = 2048, end: int = 1, pool: int = 4096, cut: int = 16,
+    bears: str | None = None,
+) -> DataFrame:
+    """One row a piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset. ``bears``: the column that says
+    which ids bear loss."""
     small_batches(spark)
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     names = [f.split()[0] for f in schema.split(", ")]
@@ -119,9 +141,21 @@ def pack(
     def run(batches):
         encode = WordTokens(tokenizer)
         waiting, next_id = Pool((limit, segments, loss)), TaskContext.get().partitionId() * PER_TASK
-        ids: dict[int, list] = {}  # of documents that wait: doc_id, ids, pieces left
+        ids: dict[int, list] = {}  # of documents that wait: doc_id, ids, ids left, loss before each (None: all bear it)
         rows: list[tuple] = []
 
+        def cost(what, n):
+            """Loss-bearing ids of a piece."""
+            (key, start), before = what, ids[what[0]][3]
+            return n - 1 if before is None else int(before[start + n] - before[start + 1])
+
+        def most(what, tokens, room):
+            """How long a piece may be, of ``tokens`` at most and ``room`` loss-bearing ids."""
+            (key, start), before = what, ids[what[0]][3]
+            if before is None:
+                return min(tokens, room + 1)
+            return min(tokens, int(np.searchsorted(before, before[start + 1] + room, side="right")) - 1 - start)
+
         def put(parts, sequence):
             offset = 0
             for n, (key, start) in parts:
@@ -140,24 +174,28 @@ def pack(
 
         key = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            said = batch.column(2).to_pylist() if bears else [None] * len(batch)
+            for doc_id, text, which in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), said, strict=True):
                 own = np.append(encode(text or ""), np.uint32(end)).astype("<u4")
-                ids[key] = [doc_id, own, len(own)]
-                whole = min(limit, loss + 1)
-                full = len(own) // whole * whole
-                for start in range(0, full, whole):
-                    put([(whole, (key, start))], next_id)
-                    next_id += 1
-                if len(own) > full:
-                    waiting.add(len(own) - full, len(own) - full - 1, (key, full))
+                ids[key] = [doc_id, own, len(own), None if which is None else loss_before(len(own), which)]
+                start, size = 0, len(own)
+                while start < size:
+                    n = most((key, start), min(limit, size - start), loss)
+                    rest = start + n == size and n < limit and cost((key, start), n) < loss
+                    if rest:
+                        waiting.add(n, cost((key, start), n), (key, start))
+                    else:
+                        put([(n, (key, start))], next_id)
+                        next_id += 1
+                    start += n
                 key += 1
                 while waiting.size > pool:
-                    put(waiting.fill(cut), next_id)
+                    put(waiting.fill(cut, most, cost), next_id)
                     next_id += 1
                 if len(rows) >= 2048:
                     yield flush()
         while waiting.size:
-            parts = waiting.fill(cut)
+            parts = waiting.fill(cut, most, cost)
             total = sum(n for n, _ in parts)
             sizes = powers(total) if total < limit else [total]
             for size in sizes:
@@ -176,7 +214,7 @@ def pack(
                 yield flush()
         yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([bears] if bears else [])).mapInArrow(run, schema)
 
 
 def crc32(ids: bytes) -> int:

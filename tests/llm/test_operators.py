@@ -152,6 +152,30 @@ def test_packing(spark, docs, awkward):
         assert pad <= 0.02 * total
 
 
+def test_packing_loss(spark):
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    encode = packing.WordTokens(path)
+    texts = [" ".join(f"w{(i * k) % 89}" for k in range(3 + 37 * i % 400)) for i in range(60)]
+    sizes = [len(encode(t)) + 1 for t in texts]
+    masks = [[(k // 7 + i) % 3 > 0 for k in range(n)] if i % 10 else None for i, n in enumerate(sizes)]
+    counts = [n // (1 + i % 4) if i % 9 else None for i, n in enumerate(sizes)]
+    rows = [(i, texts[i], masks[i], counts[i]) for i in range(60)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, mask array<boolean>, answer int").repartition(2)
+    bound = {}
+    for column, full in (("mask", lambda i, n: masks[i] or [True] * n), ("answer", lambda i, n: [k >= n - (n if counts[i] is None else counts[i]) for k in range(n)]), (None, lambda i, n: [True] * n)):
+        seqs, ids = defaultdict(list), defaultdict(list)
+        for r in packing.pack(made, spark, path, limit=256, segments=8, loss=100, bears=column).collect():
+            mask = full(r["doc_id"], sizes[r["doc_id"]])[r["start"] : r["start"] + r["length"]]
+            seqs[r["sequence_id"]].append((r["length"], sum(mask[1:])))
+            ids[r["doc_id"]].append((r["start"], r["ids"]))
+        for parts in seqs.values():
+            assert sum(n for n, _ in parts) <= 256 and len(parts) <= 8 and sum(b for _, b in parts) <= 100
+        for i, t in enumerate(texts):
+            assert b"".join(p for _, p in sorted(ids[i])) == encode(t).astype("<u4").tobytes() + b"\1\0\0\0"
+        bound[column] = sum(sum(b for _, b in p) >= 99 and sum(n for n, _ in p) < 256 for p in seqs.values()), max(sum(n for n, _ in p) for p in seqs.values())
+    assert all(n > 0 for n, _ in bound.values()) and bound["mask"][1] > 110 < bound["answer"][1]
+
+
 def test_packing_limits():
     pool = packing.Pool((100, 3, 40))
     for k in range(12):
