@@ -1,5 +1,6 @@
 """Nearest-neighbour, vector, linear-algebra and selection queries over ``embeddings``."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors as fv
@@ -207,6 +208,34 @@ def citation_coreset(spark, sf_dir):
 
 both("gram_matrix", "L01 L12", "SELECT CAST(a.p AS INT) AS i, CAST(b.p AS INT) AS j, @r(sum(a.x * b.x)) AS g FROM @dims a JOIN @dims b ON a.vec_id = b.vec_id AND a.p <= b.p WHERE a.p < 16 AND b.p < 16 GROUP BY a.p, b.p")
 both("covariance", "L03 L05", "SELECT CAST(a.p AS INT) AS i, CAST(b.p AS INT) AS j, @r(covar_pop(a.x, b.x)) AS cov FROM @dims a JOIN @dims b ON a.vec_id = b.vec_id AND a.p <= b.p WHERE a.p < 16 AND b.p < 16 GROUP BY a.p, b.p")
+def _cov(n, total, gram):
+    return gram / n - np.outer(total / n, total / n)
+
+
+def _corr(n, total, gram):
+    c = _cov(n, total, gram)
+    sd = np.sqrt(np.diag(c))
+    return c / np.outer(sd, sd)
+
+
+_ALL = "SELECT CAST(a.p AS INT) AS {i}, CAST(b.p AS INT) AS {j}, @r({f}) AS {v} FROM @dims a JOIN @dims b ON a.vec_id = b.vec_id AND a.p {op} b.p GROUP BY a.p, b.p"
+
+
+def _over_all(name, operators, i, j, v, f, diagonal, value):
+    """The query over every pair of dimensions, by one Gram matrix a partition."""
+    text = _ALL.replace("{i}", i).replace("{j}", j).replace("{v}", v).replace("{f}", f).replace("{op}", "<=" if diagonal else "<")
+
+    @frame(name, operators, text)
+    def run(spark, sf_dir):
+        n, total, gram = linalg.moments(table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("vec")))
+        m = value(n, total, gram)
+        rows = [(a, b, float(m[a, b])) for a in range(len(m)) for b in range(a if diagonal else a + 1, len(m))]
+        return spark.createDataFrame(rows, f"{i} int, {j} int, {v} double").withColumn(v, _r(F.col(v)))
+
+
+_over_all("gram_matrix_all", "L01 L12", "i", "j", "g", "sum(a.x * b.x)", True, lambda n, total, gram: gram)
+_over_all("covariance_all", "L03 L05", "i", "j", "cov", "covar_pop(a.x, b.x)", True, _cov)
+_over_all("channel_corr_all", "C16 C19", "c1", "c2", "rho", "corr(a.x, b.x)", False, _corr)
 both("joint_histogram_surprise", "L20 L21", "WITH u AS (SELECT vec_id, CAST(least(floor(8 * cume_dist() OVER (ORDER BY peak)), 7) AS INT) AS i, CAST(least(floor(8 * cume_dist() OVER (ORDER BY mean)), 7) AS INT) AS j FROM @img), h AS (SELECT i, j, (count(*) + 1 / 64.0) AS n FROM u GROUP BY i, j), t AS (SELECT sum(n) AS n FROM h), a AS (SELECT i, sum(n) AS n FROM h GROUP BY i), b AS (SELECT j, sum(n) AS n FROM h GROUP BY j) SELECT u.vec_id, @r(greatest(0, ln(CAST(a.n AS DOUBLE) * b.n / (CAST(t.n AS DOUBLE) * h.n)))) AS surprise FROM u JOIN h ON u.i = h.i AND u.j = h.j JOIN a ON u.i = a.i JOIN b ON u.j = b.j CROSS JOIN t")
 both("attention_context", "L07", "WITH w AS (SELECT a.vec_id, a.p, exp(a.s * b.s / 0.1) AS w, b.s FROM @cells a JOIN @cells b ON a.vec_id = b.vec_id AND a.r = b.r) SELECT vec_id, p, @r(sum(w * s) / sum(w)) AS v FROM w GROUP BY vec_id, p")
 both("sinkhorn_cost", "L14 L15 L16", "WITH a AS (SELECT label AS i, avg(peak) AS x FROM @img GROUP BY label), b AS (SELECT label AS j, avg(mean) AS y FROM @img GROUP BY label), c AS (SELECT i, j, abs(x - y) AS c, exp(-abs(x - y) / 0.05) AS k FROM a CROSS JOIN b), u1 AS (SELECT i, 0.1 / sum(k) AS u FROM c GROUP BY i), v1 AS (SELECT j, 0.1 / sum(k * u) AS v FROM c JOIN u1 ON c.i = u1.i GROUP BY j), u2 AS (SELECT i, 0.1 / sum(k * v) AS u FROM c JOIN v1 ON c.j = v1.j GROUP BY i), v2 AS (SELECT j, 0.1 / sum(k * u) AS v FROM c JOIN u2 ON c.i = u2.i GROUP BY j) SELECT @r(sum(u * k * v * c)) AS cost FROM c JOIN u2 ON c.i = u2.i JOIN v2 ON c.j = v2.j".replace("SELECT i, 0.1", "SELECT c.i AS i, 0.1").replace("SELECT j, 0.1", "SELECT c.j AS j, 0.1").replace("GROUP BY i)", "GROUP BY c.i)").replace("GROUP BY j)", "GROUP BY c.j)").replace("(SELECT label AS i, avg(peak) AS x FROM @img GROUP BY label)", "(SELECT label AS i, avg(peak) AS x FROM @img GROUP BY label)"))

@@ -161,3 +161,15 @@ def test_more_sources(spark, tmp_path):
     (img / "001.png").write_bytes(b"x")
     r = src.index_images(spark, str(tmp_path / "img")).first()
     assert (r["category"], r["defect"], r["stem"]) == ("bolt", "crack", "001")
+
+
+def test_every_pair_of_dimensions(spark, sf):
+    import numpy as np
+
+    from orrery.plans.kit import CATALOG, table
+
+    x = np.array([r["embedding"] for r in table(spark, sf, "embeddings").select("embedding").collect()], dtype=float)
+    for name, want, first in (("gram_matrix_all", x.T @ x, 0), ("covariance_all", np.cov(x.T, bias=True), 0), ("channel_corr_all", np.corrcoef(x.T), 1)):
+        rows = [tuple(r) for r in CATALOG[name].run(spark, sf).collect()]
+        assert sorted(r[:2] for r in rows) == [(i, j) for i in range(64) for j in range(i + first, 64)]
+        assert all(abs(v - want[i, j]) < 2e-6 for i, j, v in rows), name
