@@ -190,6 +190,41 @@ def bank_compactness(spark, sf_dir):
     return knn.knn_join(own, own, other="own").agg(_r(mean).alias("compactness"), F.when(mean < 0.5, "tight").otherwise("loose").alias("kind"))
 
 
+_CELL = "(vec_id // 64) * 16 + (vec_id // 16 % 4) * 4 + vec_id % 8 // 2"
+_MID = (
+    "WITH pr AS (SELECT a.vec_id AS i1, b.vec_id AS i2, unnest(range(64)) AS p, unnest(a.v) AS x, unnest(b.v) AS y FROM @b a JOIN @b b ON a.label = b.label AND a.vec_id < b.vec_id AND (a.vec_id * 7919 + b.vec_id) % 13 = 0), "
+    "nm AS (SELECT i1, i2, sqrt(sum(power((x + y) / 2, 2))) AS n FROM pr GROUP BY i1, i2), "
+    "md AS (SELECT list((x + y) / 2 / n ORDER BY p) AS v FROM pr JOIN nm ON pr.i1 = nm.i1 AND pr.i2 = nm.i2 GROUP BY pr.i1, pr.i2), "
+    f"fine AS (SELECT q.vec_id, min({_d('q.v', 'x.v')}) AS d FROM @q q CROSS JOIN (SELECT v FROM @b UNION ALL SELECT v FROM md) x GROUP BY q.vec_id), "
+    f"pool AS (SELECT vec_id % 5 = 0 AS ref, {_CELL} AS cell, p, avg(x) AS x FROM @dims GROUP BY vec_id % 5 = 0, {_CELL}, p), "
+    "pn AS (SELECT ref, cell, list(x ORDER BY p) AS v0, sqrt(sum(x * x)) AS n FROM pool GROUP BY ref, cell), "
+    "pv AS (SELECT pool.ref, pool.cell, list(x / n ORDER BY p) AS v FROM pool JOIN pn ON pool.ref = pn.ref AND pool.cell = pn.cell GROUP BY pool.ref, pool.cell), "
+    f"coarse AS (SELECT q.cell, min({_d('q.v', 'x.v')}) AS d FROM pv q JOIN pv x ON NOT q.ref AND x.ref GROUP BY q.cell) "
+    f"SELECT f.vec_id, @r(least(f.d, c.d)) AS score FROM (SELECT vec_id, d, {_CELL} AS cell FROM fine) f JOIN coarse c ON f.cell = c.cell"
+).replace("list(x ORDER BY p) AS v0, ", "")
+
+
+@frame("midpoint_bank_score", "V42", _MID)
+def midpoint_bank_score(spark, sf_dir):
+    """Smaller of the distances to a bank densified by midpoints, and on the grid of 2 x 2 pooled positions (images of
+    8 x 8 consecutive ids)."""
+    q, b = _sides(spark, sf_dir, F.col("embedding").cast("array<double>"))
+    unit = lambda v: F.expr(f"transform({v}, x -> x / sqrt(aggregate({v}, 0D, (s, y) -> s + y * y)))")
+    one, two = (b.select(F.col("id").alias(f"i{k}"), "label", F.col("vec").alias(f"v{k}")) for k in (1, 2))
+    pairs = one.join(two, "label").where("i1 < i2 and (i1 * 7919 + i2) % 13 = 0")
+    mids = pairs.select(F.xxhash64("i1", "i2").alias("id"), F.zip_with("v1", "v2", lambda x, y: (x + y) / 2).alias("m")).select("id", unit("m").alias("vec"))
+    fine = knn.knn_join(q, b.select("id", "vec").union(mids)).select(F.col("query").alias("vec_id"), F.col("dist").alias("fine"))
+    cell = lambda name: F.expr(_CELL.replace("vec_id", name).replace("//", "div"))
+
+    def pooled(side):
+        means = side.select(cell("id").alias("id"), F.posexplode("vec").alias("p", "x")).groupBy("id", "p").agg(F.avg("x").alias("x"))
+        whole = means.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("m"))
+        return whole.select("id", unit("m").alias("vec"))
+
+    coarse = knn.knn_join(pooled(q), pooled(b)).select(F.col("query").alias("cell"), F.col("dist").alias("coarse"))
+    return fine.join(coarse, cell("vec_id") == F.col("cell")).select("vec_id", _r(F.least("fine", "coarse")).alias("score"))
+
+
 both("centroid_distance", "V37 V57", "WITH c AS (SELECT label, p, avg(x) AS m FROM @dims WHERE vec_id % 5 = 0 GROUP BY label, p) SELECT d.vec_id, @r(sum((d.x - c.m) * (d.x - c.m))) AS dist FROM @dims d JOIN c ON d.label = c.label AND d.p = c.p WHERE d.vec_id % 5 <> 0 GROUP BY d.vec_id")
 both("prototype_mean", "V57 V02", "WITH m AS (SELECT label, p, avg(x) AS m FROM @dims GROUP BY label, p) SELECT label, p, @r(m / sqrt(sum(m * m) OVER (PARTITION BY label))) AS v FROM m".replace("SELECT label, p, @r", "SELECT label, CAST(p AS INT) AS p, @r"))
 both("channel_standardised", "B15 V33", "WITH q AS (SELECT p, median(x) AS med FROM @dims WHERE vec_id % 5 = 0 GROUP BY p), d AS (SELECT q.p, any_value(med) AS med, median(abs(x - med)) AS mad FROM @dims x JOIN q ON x.p = q.p WHERE vec_id % 5 = 0 GROUP BY q.p) SELECT vec_id, @r(sqrt(sum(power((x - med) / greatest(mad, 0.000001), 2)))) AS energy FROM @dims x JOIN d ON x.p = d.p WHERE vec_id % 5 <> 0 GROUP BY vec_id")

@@ -173,3 +173,25 @@ def test_every_pair_of_dimensions(spark, sf):
         rows = [tuple(r) for r in CATALOG[name].run(spark, sf).collect()]
         assert sorted(r[:2] for r in rows) == [(i, j) for i in range(64) for j in range(i + first, 64)]
         assert all(abs(v - want[i, j]) < 2e-6 for i, j, v in rows), name
+
+
+def test_midpoint_bank_score(spark, sf):
+    import numpy as np
+
+    from orrery.plans.kit import CATALOG, table
+
+    rows = sorted((r["vec_id"], r["label"], r["embedding"]) for r in table(spark, sf, "embeddings").collect())
+    ids, labels, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], dtype=float)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = lambda q, b: (0.5 * ((q[:, None] - b[None]) ** 2).sum(2)).min(1)
+    ref = ids % 5 == 0
+    mids = [(x[i] + x[j]) / 2 for i in np.flatnonzero(ref) for j in np.flatnonzero(ref) if ids[i] < ids[j] and labels[i] == labels[j] and (ids[i] * 7919 + ids[j]) % 13 == 0]
+    cell = ids // 64 * 16 + ids // 16 % 4 * 4 + ids % 8 // 2
+    grid = lambda own: {c: x[own & (cell == c)].mean(0) for c in set(cell[own])}
+    q, b = grid(~ref), grid(ref)
+    coarse = dict(zip(q, near(unit(np.array(list(q.values()))), unit(np.array(list(b.values())))), strict=True))
+    plain, fine = near(x[~ref], x[ref]), near(x[~ref], np.concatenate([x[ref], unit(np.array(mids))]))
+    want = {i: min(d, coarse[c]) for i, d, c in zip(ids[~ref], fine, cell[~ref], strict=True)}
+    got = {r["vec_id"]: r["score"] for r in CATALOG["midpoint_bank_score"].run(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in want)
+    assert (fine < plain - 1e-9).any() and any(coarse[c] < d for d, c in zip(fine, cell[~ref], strict=True))
