@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: A side of a join is broadcast only when it was counted and has no more rows than this.
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where that is unset (tests on one machine)."""
+    """``spark.checkpoint.dir`` of the session; where that is unset, a temporary folder in local mode, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="orrery-")
@@ -34,10 +41,41 @@ def stored(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     # Shuffle files of finished steps go when the driver finds their plans unused; long jobs should not wait for that.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._orrery_path = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote; nothing may read them any more."""
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._orrery_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, broadcast if its rows, which are counted, are few."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Texts can be long: hold fewer rows in an Arrow batch than Spark's default, unless the session set a number."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, giving the memory of a task back to the system at its end: workers outlive tasks."""
+
+    def clean(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return clean

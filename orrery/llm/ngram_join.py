@@ -1,20 +1,25 @@
 """N-gram Jaccard join by multiple-global-order filtering, and near-duplicate classes from its links.
 
 Documents are sets of distinct word n-grams. Under any total order of all n-grams, two sets with a Jaccard similarity
-of at least t share an element among their first ``n - ceil(t n) + 1``. Candidates must share such prefix elements
-under every one of several orders; only then are the sets compared exactly.
+of at least t share an element among their first ``n - ceil(t n) + 1``, of the smaller even among its first
+``n - ceil(2 t n / (1 + t)) + 1``. Candidates must share such prefix elements under every one of several orders; only
+then are the sets compared exactly.
 
 The orders: n-grams whose counter cell is full are late in each of them (rarity), ties are broken by a different hash
 in each. Counters are kept for 2**16 hash cells, a fixed size whatever the corpus; any order is correct, a better one
 only gives fewer candidates.
 
-Equal sets are merged first, so copies cost one row each. Links are sought in two rounds: first every set against
-the first set with the same prefix n-gram, which joins large groups of near copies by a star; then all pairs of sets
-that share a prefix n-gram and are in different classes still. No link between different texts is lost as far as
-classes go: each skipped pair is within one class already.
-
-Null and empty texts have no n-grams, link with nothing and are their own class. A null doc_id is kept, with a null
-class. Repeated doc_ids are one vertex. Extra columns are ignored.
+Equal sets are merged first, so copies cost one row each. Links are sought in two steps. First, sets with the same
+first n-gram under one of the orders are lined up and only neighbours compared, a number of pairs that grows with the
+documents and not with the square of a group; that joins most near copies. Then all pairs of sets that share a prefix
+n-gram under the first order, are in different classes still, and pass the size and positional filters and a parity
+sketch (two sets that differ in d elements differ in d bits at most) are candidates; the sketch is part of the join,
+so pairs it drops are never written. No link between different texts is lost as far as classes go: each skipped pair
+is within one class already.
+
+Every row is a document of its own, known by its text: rows may lack a doc_id or share one. Null and empty texts have
+no n-grams, link with nothing and are their own class. ``component_id`` is the smallest doc_id of a class; a class of
+rows without doc_id has none. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,51 +31,55 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from orrery.llm import _text as tx
-from orrery.llm._store import small_batches, stored
+from orrery.llm._store import discard, sized, small_batches, stored, tidy
 from orrery.llm.components import connected_components
 
 CELLS = 1 << 16
-#: Ids are broadcast only when they were counted and are no more than this.
-BROADCAST_ROWS = 200_000
-#: Bytes of whole sets in a block.
-BLOCK_BYTES = 48 << 20
-#: Bits of a set's bitmap.
-BITS = 2048
+#: Longs of the sketch that goes into the join, and of the one that pairs are held against after it.
+NARROW, WIDE = 8, 32
+#: Rows with one first n-gram that are lined up together.
+LINE = 4000
 
 
 def set_blocks(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, sorted distinct n-gram hashes row by row, number of them for each row)."""
     for block in tx.blocks(col, tx.SOLID):
-        h = block.hashes()
-        g, at = tx.grams(h, block.first, n)
-        row = block.row_of(at)
-        short = np.flatnonzero((block.counts > 0) & (block.counts < n))
-        if len(short):
-            own = [tx.gram_at(h, np.array([block.first[i]]), int(block.counts[i]))[0] for i in short]
-            g, row = np.concatenate([g, np.array(own, np.uint64)]), np.concatenate([row, short])
-        order = np.lexsort((g, row))
-        g, row = g[order], row[order]
+        h, counts = block.hashes(), block.counts
+        g, _ = tx.grams(h, block.first, n)
+        size = np.maximum(counts - n + 1, 0)
+        ends = np.cumsum(size)
+        parts = []
+        for i, (c, b) in enumerate(zip(counts.tolist(), ends.tolist(), strict=True)):
+            if c >= n:
+                parts.append(np.sort(g[b - (c - n + 1) : b]))
+            elif c:
+                parts.append(tx.gram_at(h, np.array([block.first[i]]), c))
+                size[i] = 1
+        g = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         if len(g):
+            row = np.repeat(np.arange(len(size)), size)
             new = np.ones(len(g), dtype=bool)
             new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
-            g, row = g[new], row[new]
-        yield block.lo, g, np.bincount(row, minlength=block.rows).astype(np.int64)
+            g, size = g[new], np.bincount(row[new], minlength=len(size))
+        yield block.lo, g, size.astype(np.int64)
 
 
 def cell_counts(docs: DataFrame, n: int, spark: SparkSession) -> np.ndarray:
-    """Number of n-gram occurrences (once a document) for each of CELLS hash cells; the result has a fixed size."""
+    """Number of n-gram occurrences for each of CELLS hash cells; the result has a fixed size."""
 
     def count(batches):
         cells = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
-            for _, g, _ in set_blocks(batch.column(0), n):
+            for block in tx.blocks(batch.column(0), tx.SOLID):
+                g, _ = tx.grams(block.hashes(), block.first, n)
                 cells += np.bincount((g >> np.uint64(48)).astype(np.int64), minlength=CELLS)
         at = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], names=["cell", "n"])
 
-    got = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select("text").mapInArrow(tidy(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(CELLS, dtype=np.int64)
     out[got["cell"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
     return out
@@ -83,7 +92,7 @@ def levels(cells: np.ndarray) -> np.ndarray:
 
 
 def order_key(g: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
-    turned = tx.mix(g + np.uint64(order) * np.uint64(0xA0761D6478BD642F)) if order else g * np.uint64(0xE7037ED1A0B428DB)
+    turned = tx.mix(g + np.uint64(order * 0xA0761D6478BD642F % 2**64)) if order else g * np.uint64(0xE7037ED1A0B428DB)
     return (level[(g >> np.uint64(48)).astype(np.int64)] << np.uint64(60)) | (turned >> np.uint64(4))
 
 
@@ -92,154 +101,208 @@ def prefix_sizes(size: np.ndarray, t: Fraction) -> np.ndarray:
     return np.where(size > 0, size - least + 1, 0)
 
 
-def describe_sets(docs: DataFrame, n: int, t: Fraction, level: np.ndarray, orders: tuple[int, ...]) -> DataFrame:
-    """doc_id, size of the set, two hashes of the whole set, its bitmap, and the prefix under each of the orders."""
+def parity(g: np.ndarray, size: np.ndarray, longs: int, salt: int) -> np.ndarray:
+    """One row of longs a set; a bit tells whether an odd number of its elements fell there."""
+    cell, out, rows = (tx.mix(g ^ np.uint64(salt)) % np.uint64(64 * longs)).astype(np.int64), [], 512
+    first = np.concatenate([[0], np.cumsum(size)])
+    for lo in range(0, len(size), rows):
+        own = size[lo : lo + rows]
+        row = np.repeat(np.arange(len(own)), own)
+        at = row * (64 * longs) + cell[first[lo] : first[min(lo + rows, len(size))]]
+        odd = np.bincount(at, minlength=len(own) * 64 * longs) & 1
+        out.append(np.packbits(odd.astype(bool).reshape(len(own), -1), axis=1).view(np.int64))
+    return np.concatenate(out) if out else np.zeros((0, longs), np.int64)
+
+
+def describe_sets(docs: DataFrame, n: int, t: Fraction, level: np.ndarray, orders: int) -> DataFrame:
+    """doc_id, th (hash of the text), size of the set, two hashes of the whole set, its sketches, and its prefix under
+    each of the orders, first element first."""
 
     def prefixes(batches):
         for batch in batches:
-            ids, out = batch.column(0), []
-            for lo, g, size in set_blocks(batch.column(1), n):
+            for lo, g, size in set_blocks(batch.column(2), n):
                 first = np.concatenate([[0], np.cumsum(size)])
                 full = size > 0
-                marks = []
+                cols = [batch.column(0).slice(lo, len(size)), batch.column(1).slice(lo, len(size)), pa.array(size)]
                 for salt in (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D):
                     total = np.zeros(len(size), dtype=np.uint64)
                     if len(g):
                         total[full] = np.add.reduceat(tx.mix(g ^ np.uint64(salt)), first[:-1][full])
-                    marks.append(total)
-                take, row = prefix_sizes(size, t), np.repeat(np.arange(len(size)), size)
-                on = np.zeros((len(size), BITS), dtype=bool)
-                on[row, (tx.mix(g) % np.uint64(BITS)).astype(np.int64)] = True
-                bits = np.packbits(on, axis=1).view(np.int64)
-                cols = [pa.array(size), pa.array(tx.signed(marks[0])), pa.array(tx.signed(marks[1])), tx.list_array(bits.ravel(), np.full(len(size), BITS // 64), pa.int64())]
-                for k in orders:
-                    key = order_key(g, level, k)
-                    by = np.lexsort((key, row))
-                    rank = np.arange(len(g)) - first[:-1][row]
-                    head = by[rank < take[row]]
+                    cols.append(pa.array(tx.signed(total)))
+                narrow, wide = parity(g, size, NARROW, 0x1D8E4E27C47D124F), parity(g, size, WIDE, 0x369DEA0F31A53F85)
+                cols += [pa.array(np.ascontiguousarray(narrow[:, j])) for j in range(NARROW)]
+                cols.append(tx.list_array(wide.ravel(), np.full(len(size), WIDE), pa.int64()))
+                take = prefix_sizes(size, t)
+                for k in range(orders):
+                    key, heads = order_key(g, level, k), []
+                    for a, b, m in zip(first[:-1].tolist(), first[1:].tolist(), take.tolist(), strict=True):
+                        if m:
+                            own = key[a:b]
+                            at = np.argpartition(own, m - 1)[:m] if m < b - a else np.arange(m)
+                            heads.append(a + at[np.argsort(own[at])])
+                    head = np.concatenate(heads) if heads else np.zeros(0, np.int64)
                     cols.append(tx.list_array(tx.signed(g[head]), take, pa.int64()))
-                out.append(pa.RecordBatch.from_arrays([ids.slice(lo, len(size)), *cols], names=names))
-            yield from out
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    names = ["doc_id", "th", "size", "m1", "m2", *(f"s{j}" for j in range(NARROW)), "wide", *(f"prefix{k}" for k in range(orders))]
+    schema = ", ".join(f"{c} array<long>" if c == "wide" or c.startswith("prefix") else f"{c} long" for c in names)
+    return _keyed(docs).mapInArrow(tidy(prefixes), schema)
+
 
-    names = ["doc_id", "size", "m1", "m2", "bits", *(f"prefix{k}" for k in orders)]
-    schema = "doc_id long, size long, m1 long, m2 long, bits array<long>" + "".join(f", prefix{k} array<long>" for k in orders)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(prefixes, schema)
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
 
-def _whole_sets(docs: DataFrame, n: int) -> DataFrame:
+def _whole_sets(texts: DataFrame, n: int) -> DataFrame:
+    """v and the set's n-grams as bytes, from (v, text)."""
+
     def sets(batches):
         for batch in batches:
             for lo, g, size in set_blocks(batch.column(1), n):
                 raw, first = g.tobytes(), np.concatenate([[0], np.cumsum(size)]) * 8
                 own = pa.array([raw[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(size)), own], names=["doc_id", "grams"])
-
-    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, grams binary")
-
-
-def verified(
-    pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, t: Fraction, level: np.ndarray, orders: int, spark: SparkSession
-) -> DataFrame:
-    """Of the pairs (a, b), those that pass the other orders' filters and then reach the similarity.
-
-    Before that, sizes and bitmaps drop pairs that cannot: two sets of a union ``u`` and an intersection of at least
-    ``t u`` differ in at most as many bits as elements. Other orders' prefixes and whole sets are then made for the
-    documents of the pairs that are left only.
-    """
-
-    def side(rows: DataFrame, columns: list[str], s: str) -> DataFrame:
-        return rows.select(F.col("doc_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
-
-    def texts_of(met: DataFrame) -> DataFrame:
-        ids = stored(met.select(F.col("a").alias("doc_id")).union(met.select(F.col("b").alias("doc_id"))).distinct(), spark, "ids")
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
-
-    near = pairs.distinct().join(side(sets, ["size", "bits"], "a"), "a").join(side(sets, ["size", "bits"], "b"), "b")
-    near = near.where(F.expr(f"least(size_a, size_b) * {t.denominator} >= greatest(size_a, size_b) * {t.numerator}"))
-    off = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda k, x: k + x)
-    # An intersection of i elements needs i (den + num) >= num (a + b); a + b - 2 i elements are then in one set only.
-    least = F.expr(f"((size_a + size_b) * {t.numerator} + {t.numerator + t.denominator - 1}) div {t.numerator + t.denominator}")
-    met = stored(near.where(off <= F.col("size_a") + F.col("size_b") - 2 * least).select("a", "b").distinct(), spark, "pairs")
-    for k in range(1, orders):
-        own = stored(describe_sets(texts_of(met), n, t, level, (k,)).select("doc_id", f"prefix{k}"), spark, "order")
-        both = met.join(side(own, [f"prefix{k}"], "a"), "a").join(side(own, [f"prefix{k}"], "b"), "b")
-        met = stored(both.where(F.arrays_overlap(f"prefix{k}_a", f"prefix{k}_b")).select("a", "b").distinct(), spark, "candidates")
-    grams = stored(_whole_sets(texts_of(met), n), spark, "sets")
-
-    return in_blocks(met, grams, t, spark)
-
-
-def in_blocks(pairs: DataFrame, grams: DataFrame, t: Fraction, spark: SparkSession) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity.
-
-    Documents are dealt by hash to blocks of about BLOCK_BYTES of sets; a task holds the sets of two blocks and compares
-    all pairs between them. So a set travels once for each block, not once for each of its pairs, which are many in
-    large groups of texts that are alike but not enough.
-    """
-    total = grams.agg(F.coalesce(F.sum(F.length("grams")), F.lit(0)).alias("n")).first()["n"]
-    count = max(1, -(-total // BLOCK_BYTES))
-    block = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(count))
-    asked = pairs.select("a", "b", block("a").alias("i"), block("b").alias("j"))
-    asked = asked.select(F.when(F.col("i") <= F.col("j"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("i") <= F.col("j"), F.col("b")).otherwise(F.col("a")).alias("b"), F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    sent = grams.dropDuplicates(["doc_id"]).withColumn("own", block("doc_id")).select("doc_id", "grams", "own", others.alias("other"))
-    sent = sent.select("doc_id", "grams", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"))
-    asked = asked.withColumns({"i": F.col("i").cast("long"), "j": F.col("j").cast("long")})
-
-    def compare(own, sets):
-        held = {k: np.frombuffer(v, np.uint64) for k, v in zip(sets["doc_id"], sets["grams"], strict=True)} if len(own) else {}
-        keep = []
-        for a, b in zip(own["a"], own["b"], strict=True):
-            x, y = held[a], held[b]
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            keep.append(both * t.denominator >= (len(x) + len(y) - both) * t.numerator)
-        return own.loc[np.array(keep, dtype=bool), ["a", "b"]]
-
-    return asked.groupBy("i", "j").cogroup(sent.groupBy("i", "j")).applyInPandas(compare, "a long, b long")
-
-
-def near_duplicate_classes(
-    docs: DataFrame, spark: SparkSession, n: int = 5, threshold: tuple[int, int] = (4, 5), orders: int = 2
-) -> DataFrame:
-    """doc_id, n_shingles (size of the set) and component_id (smallest doc_id reachable by links) for each document."""
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(size)), own], names=["v", "grams"])
+
+    return texts.select("v", "text").mapInArrow(tidy(sets), "v long, grams binary")
+
+
+class Verifier:
+    """Exact comparison of candidate pairs (a, b) of vertices, behind the filters of the other orders."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, n: int, t: Fraction, orders: int, spark: SparkSession):
+        self.docs, self.reps, self.n, self.t, self.orders, self.spark = docs, reps, n, t, orders, spark
+
+    def least(self) -> str:
+        """Common elements that sets of size_a and size_b need."""
+        num, den = self.t.numerator, self.t.denominator
+        return f"(({num} * (size_a + size_b) + {num + den - 1}) div {num + den})"
+
+    def sizes_fit(self) -> str:
+        return f"least(size_a, size_b) * {self.t.denominator} >= greatest(size_a, size_b) * {self.t.numerator}"
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that reach the similarity, as a stored table."""
+        t, spark = self.t, self.spark
+        pairs = stored(pairs.distinct(), spark, "pairs")
+        ids = stored(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct(), spark, "ids")
+        kept = ["size", "wide", *(f"prefix{k}" for k in range(1, self.orders))]
+        own = self.reps.select("v", *kept).join(sized(ids), "v", "left_semi")
+        side = lambda s: own.select(F.col("v").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in kept])
+        both = pairs.join(side("a"), "a").join(side("b"), "b").where(self.sizes_fit())
+        off = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda k, x: k + x)
+        both = both.where(off <= F.expr(f"size_a + size_b - 2 * {self.least()}"))
+        for k in range(1, self.orders):
+            both = both.where(F.arrays_overlap(f"prefix{k}_a", f"prefix{k}_b"))
+        met = stored(both.select("a", "b"), spark, "candidates")
+        ids_met = met.select(F.col("a").alias("v")).union(met.select(F.col("b").alias("v"))).distinct()
+        rows = stored(self.reps.select("v", "rep_id").join(sized(stored(ids_met, spark, "met")), "v", "left_semi"), spark, "rows")
+        texts = _keyed(self.docs).join(sized(rows), (F.col("th") == F.col("v")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("v", "text")
+        grams = stored(_whole_sets(texts, self.n), spark, "sets")
+        if grams.count() > rows.count():  # whole rows repeat
+            grams = grams.dropDuplicates(["v"])
+        sides = [grams.select(F.col("v").alias(s), F.col("grams").alias(f"grams_{s}")) for s in ("a", "b")]
+
+        def compare(batches):
+            for batch in batches:
+                keep = np.zeros(len(batch), dtype=bool)
+                for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                    x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                    at = np.searchsorted(y, x)
+                    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                    keep[i] = both * t.denominator >= (len(x) + len(y) - both) * t.numerator
+                mask = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+        close = met.join(sides[0], "a").join(sides[1], "b").select("a", "b", "grams_a", "grams_b")
+        out = stored(close.mapInArrow(tidy(compare), "a long, b long"), spark, "links")
+        discard(spark, pairs, ids, met, rows)
+        return out
+
+
+def lined_up(leads: DataFrame, turn: int) -> DataFrame:
+    """Pairs of neighbours among the rows (v, size, k, lead, component) with one lead, for classes that differ. In turn
+    0 they stand by size, in later ones by hash, with more neighbours. Long lines are cut by hash."""
+    many = leads.groupBy("k", "lead").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 1 and lo <> hi")
+    cut = F.pmod(F.xxhash64("v", F.lit(turn + 11)), F.ceil(F.col("n") / LINE))
+    lined = leads.join(many.select("k", "lead", "n"), ["k", "lead"]).withColumn("slot", cut)
+    by = F.col("size") if turn == 0 else F.xxhash64("v", F.lit(turn))
+    along = Window.partitionBy("k", "lead", "slot").orderBy(by, "v")
+    before = [F.lag(F.struct(F.col("v").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("cb")), j).over(along).alias(f"o{j}") for j in range(1, 2 + 2 * turn)]
+    lined = lined.select(F.col("v").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("ca"), *before)
+    met = lined.select("a", "size_a", "ca", F.explode(F.array(*[f"o{j}" for j in range(1, 2 + 2 * turn)])).alias("o"))
+    return met.where("o is not null").select("a", "size_a", "ca", "o.*").where("ca <> cb")
+
+
+def similar_classes(docs: DataFrame, spark: SparkSession, n: int, threshold: tuple[int, int], orders: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, size, m1, m2) of all documents, and a row for each different set: m1, m2, size, component, and
+    ``keeper``, the class's first row (none, doc_id, th): smallest doc_id, rows without one last."""
     small_batches(spark)
     t = Fraction(*threshold)
+    num, den = t.numerator, t.denominator
     level = levels(cell_counts(docs, n, spark))
-    sets = stored(describe_sets(docs, n, t, level, (0,)), spark, "prefixes")
-    classes = stored(
-        sets.where("size > 0 and doc_id is not null").groupBy("m1", "m2", "size").agg(F.min("doc_id").alias("rep")), spark, "classes"
-    )
-    first_of = classes.select(F.col("rep").alias("doc_id"))
-    reps = stored(sets.select("doc_id", "size", "bits").join(first_of, "doc_id", "left_semi"), spark, "reps")
-    entries = sets.select("doc_id", "size", "prefix0").join(first_of, "doc_id", "left_semi").select("doc_id", "size", F.explode("prefix0").alias("gram"))
-    firsts = entries.groupBy("gram").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1")
-    # N-grams in one prefix only give no pair in either round; most are such.
-    met = stored(entries.join(firsts.select("gram", "b"), "gram"), spark, "met")
-    star = met.where("doc_id > b").select(F.col("doc_id").alias("a"), "b")
-    links = stored(verified(star, reps, docs, n, t, level, orders, spark), spark, "links")
-    label = connected_components(links, spark)
-    placed = met.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_ = stored(placed.where("doc_id > b").join(mixed.where("lo < hi").select("gram"), "gram"), spark, "open")
-    x = open_.select("gram", F.col("doc_id").alias("a"), F.col("size").alias("sa"), F.col("component").alias("ca"))
-    y = open_.select("gram", F.col("doc_id").alias("b"), F.col("size").alias("sb"), F.col("component").alias("cb"))
-    rest = x.join(y, "gram").where(
-        F.expr(f"a > b and ca <> cb and least(sa, sb) * {t.denominator} >= greatest(sa, sb) * {t.numerator}")
+    sets = stored(describe_sets(docs, n, t, level, orders), spark, "described")
+    rows = stored(sets.select("doc_id", "th", "size", "m1", "m2"), spark, "rows")
+    same = [c for c in sets.columns if c not in ("doc_id", "th", "size", "m1", "m2")]
+    # Equal sets have equal columns, so whichever row comes first says the same.
+    reps = sets.where("size > 0").groupBy("m1", "m2", "size").agg(
+        F.min(F.struct("th", "doc_id")).alias("own"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("keeper"), *[F.first(c).alias(c) for c in same]
     )
-    more = stored(verified(rest.select("a", "b"), reps, docs, n, t, level, orders, spark), spark, "links")
-    label = connected_components(links.union(more), spark)
-    named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "m1", "m2", "size", F.coalesce("component", "rep").alias("component")
+    reps = stored(reps.select("m1", "m2", "size", F.col("own.th").alias("v"), F.col("own.doc_id").alias("rep_id"), "keeper", *same), spark, "reps")
+    discard(spark, sets)
+    verifier = Verifier(docs, reps, n, t, orders, spark)
+    leads = reps.select("v", "size", F.posexplode(F.array(*[F.col(f"prefix{k}")[0] for k in range(orders)])).alias("k", "lead"))
+    links, label = None, None
+    for turn in (0, 1):
+        own = leads.withColumn("component", F.col("v")) if label is None else leads.join(label, F.col("v") == F.col("id"), "left").drop("id").withColumn("component", F.coalesce("component", "v"))
+        found = verifier.links(lined_up(own, turn).where(verifier.sizes_fit()).select("a", "b"))
+        links = found if links is None else links.union(found)
+        label = connected_components(links, spark)
+
+    index = F.expr(f"size - ((2L * {num} * size + {num + den - 1}) div {num + den}) + 1")
+    placed = reps.join(label, F.col("v") == F.col("id"), "left").withColumn("component", F.coalesce("component", "v"))
+    entries = placed.select("v", "size", "component", index.alias("index"), F.posexplode("prefix0").alias("pos", "gram"))
+    # N-grams of one class, or that no smaller set has in its own prefix, give no pair; most are such.
+    mixed = entries.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.col("pos") < F.col("index")).alias("indexed"))
+    mixed = stored(mixed.where("lo < hi and indexed").select("gram"), spark, "open")
+    few = stored(entries.join(sized(mixed), "gram", "left_semi"), spark, "entries")
+    few = few.join(reps.select("v", *[f"s{j}" for j in range(NARROW)]), "v")
+    side = lambda s: few.select("gram", F.col("v").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in few.columns if c not in ("gram", "v")])
+    off = " + ".join(f"bit_count(s{j}_a ^ s{j}_b)" for j in range(NARROW))
+    meet = (
+        f"(size_a > size_b or (size_a = size_b and a > b)) and pos_b < index_b and component_a <> component_b and {verifier.sizes_fit()}"
+        f" and least(pos_a, pos_b) + least(size_a - pos_a, size_b - pos_b) >= {verifier.least()} and {off} <= size_a + size_b - 2 * {verifier.least()}"
     )
-    return sets.join(named, ["m1", "m2", "size"], "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+    rest = side("a").alias("x").join(side("b").alias("y"), (F.col("x.gram") == F.col("y.gram")) & F.expr(meet)).select("a", "b")
+    label = connected_components(links.union(verifier.links(rest)), spark)
+    named = reps.select("m1", "m2", "size", "v", "keeper").join(label, F.col("v") == F.col("id"), "left").withColumn("component", F.coalesce("component", "v"))
+    named = stored(named.select("m1", "m2", "size", "component", "keeper"), spark, "named")
+    first = named.groupBy("component").agg(F.min("keeper").alias("keeper"))
+    return rows, named.drop("keeper").join(first, "component")
+
+
+def near_duplicate_classes(
+    docs: DataFrame, spark: SparkSession, n: int = 5, threshold: tuple[int, int] = (4, 5), orders: int = 3
+) -> DataFrame:
+    """doc_id, n_shingles (size of the set) and component_id (smallest doc_id reachable by links) for each document."""
+    rows, classes = similar_classes(docs, spark, n, threshold, orders)
+    return rows.join(classes, ["m1", "m2", "size"], "left").select(
+        "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("keeper.doc_id")).alias("component_id")
     )
 
 
 def keep_one_of_each(docs: DataFrame, spark: SparkSession, n: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
-    """``docs`` without those near duplicates whose class has a smaller doc_id; all columns stay as they are."""
-    classes = near_duplicate_classes(docs, spark, n, threshold)
-    gone = classes.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one row of each class of near duplicates, the one with the smallest doc_id (rows without one come
+    last); all columns stay as they are. Texts without words always stay."""
+    rows, classes = similar_classes(docs, spark, n, threshold, 3)
+    placed = rows.join(classes, ["m1", "m2", "size"])
+    first = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("th") == F.col("keeper.th"))
+    count = placed.groupBy("doc_id", "th").agg(F.count("*").alias("n"), F.max(first).alias("first")).where("n > 1 or not first")
+    some = sized(stored(count.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "first"), spark, "copies"))
+    match = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th"))
+    kept = docs.join(some, match, "left_anti").select(docs.columns)
+    again = some.where("first")
+    if again.isEmpty():
+        return kept
+    # Whole rows repeat: one of each stays.
+    one = docs.join(again, match).dropDuplicates(["__id", "__th"]).select([docs[c] for c in docs.columns])
+    return kept.union(one)
