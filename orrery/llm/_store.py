@@ -7,6 +7,7 @@ import ctypes
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_swept = [0.0]
 #: A side of a join is broadcast only when it was counted and has no more rows than this.
 BROADCAST_ROWS = 200_000
 
@@ -39,8 +41,10 @@ def stored(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     schema = df.schema
     del df
     # Shuffle files of finished steps go when the driver finds their plans unused; long jobs should not wait for that.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _swept[0] > 2:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _swept[0] = time.monotonic()
     out = spark.read.schema(schema).parquet(path)
     out._orrery_path = path
     return out
