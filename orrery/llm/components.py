@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm._store import stored
+from orrery.llm._store import discard, stored
 
 
 def connected_components(links: DataFrame, spark: SparkSession, rounds: int = 60) -> DataFrame:
@@ -22,7 +22,7 @@ def connected_components(links: DataFrame, spark: SparkSession, rounds: int = 60
         spark,
         "edges",
     )
-    label: DataFrame | None = None
+    roots, tables = [], [edges]
     for _ in range(rounds):
         if edges.isEmpty():
             break
@@ -32,22 +32,19 @@ def connected_components(links: DataFrame, spark: SparkSession, rounds: int = 60
         root = hook
         for _ in range(2):
             root = root.join(once, "p").select("a", F.col("q").alias("p"))
-        root = stored(root, spark, "root")
-        if label is None:
-            label = root.select(F.col("a").alias("id"), F.col("p").alias("component"))
-        else:
-            new = root.select(F.col("a").alias("component"), "p")
-            label = stored(
-                label.join(new, "component", "left").select("id", F.coalesce("p", "component").alias("component")), spark, "label"
-            )
         ra, rb = root.select("a", F.col("p").alias("pa")), root.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        edges = stored(
-            edges.join(ra, "a").join(rb, "b").where("pa <> pb").select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct(),
-            spark,
-            "edges",
-        )
+        met = edges.join(ra, "a").join(rb, "b").where("pa <> pb").select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b"))
+        edges = stored(met.distinct(), spark, "edges")
+        roots.append(root)
+        tables += [hook, edges]
     else:
         raise RuntimeError("the components did not settle")
-    if label is None:
+    if not roots:
         return spark.createDataFrame([], "id long, component long")
+    label = roots[0].select(F.col("a").alias("id"), F.col("p").alias("component"))
+    for root in roots[1:]:
+        new = root.select(F.col("a").alias("component"), "p")
+        label = label.join(new, "component", "left").select("id", F.coalesce("p", "component").alias("component"))
+    label = stored(label, spark, "label")
+    discard(spark, *tables)
     return label
