@@ -6,174 +6,184 @@ has a Jaccard similarity of at least ``threshold``, whether or not that earlier
 
 Words are ordered by rarity: a 64-bit key has the level of the word's counter cell in its top bits (2**16 cells, a
 fixed size), its hash below. Sets that are equal are merged first; sets so small that only equal ones reach the
-threshold are settled by that and form no pairs. A larger set's prefix, its ``n - ceil(t n) + 1`` rarest
-words, meets other prefixes in two rounds: first the earliest set with the same word, which settles large groups of
-near copies without pairing their members; then, for sets not yet settled, all earlier ones with the same word under
-the length and positional filters. Each set also has a bitmap of 64 bits, one set by each word; two sets that differ in
-few words differ in few bits, which drops most pairs before their sets are brought together to be verified.
+threshold are settled by that and form no pairs. A larger set's prefix, its ``n - ceil(t n) + 1`` rarest words, meets
+the prefixes of sets no larger, of which ``n - ceil(2 t n / (1 + t)) + 1`` words are enough. Pairs must pass the length
+and positional filters and a parity bitmap (one bit flipped by each word: two sets that differ in d words differ in d
+bits at most); all of that is part of the join, so what fails is never written.
+
+As one earlier line is enough, the join has three rounds: first the earliest set with the same word, then the sets
+just before a set among those with the same word, which settle large groups of near copies without pairing their
+members; last, for sets not settled by then, all earlier ones.
 
 Null texts stay null, empty ones empty; blank lines and ties change nothing. Rows that repeat a doc_id with
 its text count as one document and are treated alike; those with one doc_id (or none) and different texts are documents
 of their own, ordered by a hash of the text. Documents of which no line stays are ``emptied``. Extra columns are kept by
-``drop_repeated_lines``; none are needed.
+``drop_repeated_lines``; none are needed, whatever they are called.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from orrery.llm._store import stored
+from orrery.llm._store import discard, sized, stored
 
 #: xxhash64('') under Spark's seed: what blanks next to each other leave.
 _EMPTY = -7444071767201028348
-#: A side of a join is broadcast only when it was counted and has no more rows than this.
-BROADCAST_ROWS = 200_000
+#: Entries of one word that are lined up together.
+LINE = 4000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "rank", "th", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    return docs.select("rank", F.posexplode(F.split("text", "\n")).alias("no", "line"))
 
 
 def cell_levels(docs: DataFrame) -> Column:
-    """Array literal: level 0 to 15 of each of 2**16 counter cells by how many words fell into it."""
+    """Array literal: level 0 to 15 of each of 2**16 counter cells by how many words fell into it, in a key's top bits."""
     words = docs.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("w"))
     cells = words.select(F.shiftrightunsigned(F.xxhash64("w"), 48).cast("int").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
     got = {r["cell"]: r["n"] for r in cells.collect()}
     counts = [got.get(k, 0) for k in range(1 << 16)]
     mid = sorted(counts)[len(counts) // 2]
     level = [min(15, int(1 + max(0, n - mid) / (mid**0.5 + 1)).bit_length() - 1) for n in counts]
-    return F.split(F.lit(",".join(map(str, level))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(str(x << 58) for x in level)), ",").cast("array<bigint>")
 
 
 def _keys(line: Column, levels: Column) -> Column:
     """The set as sorted longs: rarity first."""
     hashes = F.array_remove(F.array_distinct(F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w))), _EMPTY)
     level = lambda h: F.coalesce(F.get(levels, F.shiftrightunsigned(h, 48).cast("int")), F.lit(0).cast("long"))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 58).bitwiseOR(h.bitwiseAND((1 << 58) - 1))))
+    return F.sort_array(F.transform(hashes, lambda h: level(h).bitwiseOR(h.bitwiseAND((1 << 58) - 1))))
 
 
-def _wide_bits(keys: Column) -> Column:
-    """Bitmap of 512 bits, one set by each word."""
+def _parity(keys: Column) -> Column:
+    """Bitmap of 64 bits, one flipped by each word."""
     one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-    part = lambda h, j: F.when(F.shiftright(h, 6).bitwiseAND(7) == j, one(h)).otherwise(F.lit(0).cast("long"))
-    step = lambda j: lambda acc, h: acc.bitwiseOR(part(h, j))
-    return F.array(*[F.aggregate(keys, F.lit(0).cast("long"), step(j)) for j in range(8)])
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(one(h)))
+
 
+def free(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column has."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
 
-def ranked(docs: DataFrame, spark: SparkSession) -> tuple[DataFrame, int]:
-    """``docs`` with ``rank``, which orders documents as doc_id and then th (hash of the text) do, and the bits that the places of lines need (by
-    the document with most lines); ranks have the rest of 63 bits."""
+
+def ranked(docs: DataFrame, spark: SparkSession, name: str) -> tuple[DataFrame, int]:
+    """``docs`` with the column ``name``, which orders documents as doc_id and then a hash of the text do, and the bits that the places of
+    lines need (by the document with most lines); ranks have the rest of 63 bits."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").alias("text"))
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    got = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(breaks).alias("breaks")).first()
+    per = rows.groupBy("doc_id").agg(F.min("th").alias("a"), F.max("th").alias("b"), F.max(breaks).alias("breaks"))
+    got = per.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("breaks").alias("breaks"), F.max(F.col("a") != F.col("b")).alias("several")).first()
     bits = (got["breaks"] or 0).bit_length()
-    room = 63 - bits
-    several = docs.groupBy("doc_id").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b")
-    if (got["lo"] is None or got["hi"] - got["lo"] < (1 << room) - 1) and several.isEmpty():
-        return docs.withColumn("rank", F.coalesce(F.col("doc_id") - F.lit(got["lo"] or 0) + 1, F.lit(0))), bits
-    ids = docs.select("doc_id", "th").distinct().repartitionByRange("doc_id", "th")
+    room, own = 63 - bits, docs["doc_id"].cast("long")
+    if (got["lo"] is None or got["hi"] - got["lo"] < (1 << room) - 1) and not got["several"]:
+        return docs.withColumn(name, F.coalesce(own - F.lit(got["lo"] or 0) + 1, F.lit(0).cast("long"))), bits
+    ids = rows.select("doc_id", "th").distinct().repartitionByRange("doc_id", "th")
     ids = stored(ids.withColumn("part", F.spark_partition_id()), spark, "ids")
-    from pyspark.sql.window import Window
-
     parts = ids.groupBy("part").agg(F.count("*").alias("n"))
     before = parts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
+    at, th = free(docs, "id"), free(docs, "th")
     place = ids.join(before, "part").select(
-        F.col("doc_id").alias("__id"), F.col("th").alias("__th"), (F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "th")) + F.col("before")).alias("rank")
+        F.col("doc_id").alias(at), F.col("th").alias(th), (F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "th")) + F.col("before")).alias(name)
     )
-    return docs.join(place, docs["doc_id"].eqNullSafe(F.col("__id")) & (docs["th"] == F.col("__th")), "left").drop("__id", "__th"), bits
-
-
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return docs.join(place, own.eqNullSafe(F.col(at)) & (F.xxhash64(docs["text"]) == F.col(th))).drop(at, th), bits
 
 
 def removed_lines(docs: DataFrame, spark: SparkSession, bits: int, threshold: tuple[int, int] = (9, 10), min_words: int = 5) -> DataFrame:
-    """doc_id, th (hash of the text) and no (place from 0) of each line that repeats an earlier one. ``docs`` needs
-    doc_id, text, th and rank, ``bits`` is what places take, both from ``ranked``."""
+    """Key (rank, then place from 0 in its last ``bits`` bits) of each line that repeats an earlier one; ``docs`` has
+    rank and text."""
     num, den = threshold
-    docs = docs.where("text is not null").select("doc_id", "rank", "text", "th")
+    docs = docs.where("text is not null").select("rank", "text")
     levels = cell_levels(docs)
     key = F.shiftleft(F.col("rank"), bits).bitwiseOR(F.col("no").cast("long"))
-    made = _lines(docs).select("doc_id", "th", "no", key.alias("key"), _keys(F.col("line"), levels).alias("w"))
+    made = _lines(docs).select(key.alias("key"), _keys(F.col("line"), levels).alias("w"))
     size = F.size("w")
     cut = size - F.expr(f"cast((size(w) * {num}L + {den - 1}) div {den} as int)") + 1
     # Sets of n and n + 1 words reach the threshold at best by n / (n + 1); with fewer words only equal sets do.
     pairable = size * (den - num) >= num
     index = stored(
         made.where(size >= max(1, min_words)).select(
-            "doc_id", "th", "no", "key", size.alias("n"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "w").alias("h2"),
-            F.aggregate("w", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int")))).alias("bits"), F.when(pairable, F.slice("w", 1, cut)).alias("prefix")
+            "key", size.alias("n"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "w").alias("h2"),
+            F.when(pairable, _parity(F.col("w"))).alias("bits"), F.when(pairable, F.slice("w", 1, cut)).alias("prefix"),
         ),
-        spark,
-        "lines",
-    )
-    firsts = stored(index.groupBy("h1", "h2", "n").agg(F.min("key").alias("first")), spark, "sets")
-    # A document that repeats whole gives its sets again, under the same keys; that adds no pair of different keys.
-    sets = stored(index.where("prefix is not null").select("key", "n", "bits", "prefix").join(firsts.select(F.col("first").alias("key")), "key", "left_semi"), spark, "firsts")
-    entries = sets.select("key", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
-    heads = entries.groupBy("word").agg(F.min("key").alias("head"), F.count("*").alias("met")).where("met > 1")
-    met = stored(entries.join(heads, "word"), spark, "met")
+        spark, "lines",
+    )
+    # Equal sets have equal bitmaps and prefixes, so whichever row comes first says the same.
+    sets = stored(index.groupBy("h1", "h2", "n").agg(F.min("key").alias("key"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), spark, "sets")
+    enough = F.expr(f"n - cast((2L * {num} * n + {num + den - 1}) div {num + den} as int) + 1")
+    entries = sets.where("prefix is not null").select("key", "n", "bits", enough.alias("index"), F.posexplode("prefix").alias("pos", "word"))
+    heads = entries.groupBy("word").agg(F.min("key").alias("head"), F.count("*").alias("met"), F.max(F.col("pos") < F.col("index")).alias("indexed"))
+    met = stored(entries.join(heads.where("met > 1 and indexed").drop("indexed"), "word"), spark, "met")
 
     least = f"(({num}L * (na + nb) + {num + den - 1}) div {num + den})"
+    filters = f"a > b and least(na, nb) * {den} >= greatest(na, nb) * {num} and least(pa, pb) + least(na - pa, nb - pb) >= {least}"
+    filters += f" and bit_count(bitsa ^ bitsb) <= na + nb - 2 * {least} and if(na < nb, pa < indexa, if(nb < na, pb < indexb, pa < indexa or pb < indexb))"
+    parts = {"key": "", "n": "n", "pos": "p", "bits": "bits", "index": "index"}
 
-    def verified(pairs: DataFrame, why: str) -> DataFrame:
-        pairs = stored(pairs.distinct(), spark, f"pairs-{why}")
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        return rows.select("word", *[F.col(c).alias(f"{x}{s}") for c, x in parts.items()])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """First keys of the pairs that reach the threshold."""
+        pairs = stored(pairs.distinct(), spark, "pairs")
+        if pairs.isEmpty():
+            return pairs.select(F.col("a").alias("key"))
         needed = stored(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct(), spark, "needed")
         held = stored(needed.select(F.shiftright("key", bits).alias("rank")).distinct(), spark, "held")
-        texts = docs.join(_sized(held), "rank", "left_semi")
-        whole = _lines(texts).select(key.alias("key"), "line").join(_sized(needed), "key", "left_semi")
-        whole = whole.select("key", _keys(F.col("line"), levels).alias("w")).select("key", "w", F.size("w").alias("n"), _wide_bits(F.col("w")).alias("wide"))
-        whole = stored(whole, spark, "whole")
-
-        def of(columns: list[str], s: str) -> DataFrame:
-            return whole.select(F.col("key").alias(s), *[F.col(c).alias(f"{c}{s}") for c in columns])
-
-        # Bitmaps of 512 bits drop most pairs of long lines; only what is left has its sets brought together.
-        wide = pairs.join(of(["n", "wide"], "a"), "a").join(of(["n", "wide"], "b"), "b")
-        off = F.aggregate(F.zip_with("widea", "wideb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda k, x: k + x)
-        pairs = stored(wide.where(off <= F.expr(f"na + nb - 2 * {least}")).select("a", "b"), spark, f"close-{why}")
+        texts = docs.join(sized(held), "rank", "left_semi")
+        whole = _lines(texts).select(key.alias("key"), "line").join(sized(needed), "key", "left_semi")
+        # A document that stands twice gives its lines twice; the distinct below sees to that.
+        whole = stored(whole.select("key", _keys(F.col("line"), levels).alias("w")), spark, "whole")
         a, b = whole.select(F.col("key").alias("a"), F.col("w").alias("wa")), whole.select(F.col("key").alias("b"), F.col("w").alias("wb"))
         both = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("wa", "wb")))
-        return stored(both.where(f"both * {den} >= (size(wa) + size(wb) - both) * {num}").select(F.col("a").alias("key")).distinct(), spark, f"later-{why}")
-
-    filters = f"a > b and least(na, nb) * {den} >= greatest(na, nb) * {num} and least(pa, pb) + least(na - pa, nb - pb) >= {least}"
-    filters += f" and bit_count(bitsa ^ bitsb) <= na + nb - 2 * {least}"
-
-    def side(rows: DataFrame, s: str) -> DataFrame:
-        return rows.select("word", F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("bits").alias(f"bits{s}"))
+        out = stored(both.where(f"both * {den} >= (size(wa) + size(wb) - both) * {num}").select(F.col("a").alias("key")).distinct(), spark, "later")
+        discard(spark, pairs, needed, held, whole)
+        return out
 
     star = side(met.where("key > head"), "a").join(side(met.where("key = head"), "b"), "word").where(filters)
-    near = verified(star.select("a", "b"), "star")
+    near = verified(star.select("a", "b"))
+
     rest = met.where("met > 2 and key <> head")
+    slot = F.pmod(F.xxhash64("key"), F.ceil(F.col("met") / LINE))
+    along = Window.partitionBy("word", "slot").orderBy("key")
+    lag = lambda j: F.lag(F.struct(*[F.col(c).alias(f"{x}b" if x else "b") for c, x in parts.items()]), j).over(along)
+    lined = rest.withColumn("slot", slot).select(*[F.col(c).alias(f"{x}a" if x else "a") for c, x in parts.items()], *[lag(j).alias(f"o{j}") for j in (1, 2, 3)])
+    lined = lined.join(near.withColumnRenamed("key", "a"), "a", "left_anti").withColumn("o", F.explode(F.array("o1", "o2", "o3")))
+    lined = lined.where("o is not null").select(*[f"{x}a" if x else "a" for x in parts.values()], "o.*").where(filters)
+    near = near.union(verified(lined.select("a", "b")))
+
     more = side(rest.join(near, "key", "left_anti"), "a").join(side(rest, "b"), "word").where(filters)
-    later = near.union(verified(more.select("a", "b"), "rest")).withColumnRenamed("key", "first").withColumn("later", F.lit(True))
-    firsts = firsts.join(later, "first", "left").select("h1", "h2", "n", "first", F.coalesce("later", F.lit(False)).alias("later"))
-    return index.drop("prefix", "bits").join(firsts, ["h1", "h2", "n"]).where("key > first or later").select("doc_id", "th", "no").distinct()
+    later = near.union(verified(more.select("a", "b"))).withColumn("later", F.lit(True))
+    firsts = sets.join(later, "key", "left").select("h1", "h2", "n", F.col("key").alias("first"), F.coalesce("later", F.lit(False)).alias("later"))
+    return index.select("key", "h1", "h2", "n").join(firsts, ["h1", "h2", "n"]).where("key > first or later").select("key").distinct()
 
 
-def _marked(docs: DataFrame, spark: SparkSession, threshold: tuple[int, int], min_words: int) -> DataFrame:
-    """``docs`` with __gone, the places of lines to remove (null if none)."""
-    own, bits = ranked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")), spark)
-    gone = removed_lines(own, spark, bits, threshold, min_words)
-    gone = stored(gone.groupBy("doc_id", "th").agg(F.collect_set("no").alias("__gone")), spark, "gone")
-    gone = _sized(gone.withColumnRenamed("doc_id", "__id").withColumnRenamed("th", "__th"))
-    match = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th"))
-    return docs.join(gone, match, "left").drop("__id", "__th")
+def _marked(docs: DataFrame, spark: SparkSession, threshold: tuple[int, int], min_words: int) -> tuple[DataFrame, str]:
+    """``docs`` with another column, whose name comes back too: the places of lines to remove (null if none)."""
+    rank, gone, at = free(docs, "rank"), free(docs, "gone"), free(docs, "at")
+    own, bits = ranked(docs, spark, rank)
+    keys = removed_lines(own.select(F.col(rank).alias("rank"), F.col("text").alias("text")), spark, bits, threshold, min_words)
+    places = keys.groupBy(F.shiftright("key", bits).alias(at)).agg(F.collect_list(F.col("key").bitwiseAND((1 << bits) - 1).cast("int")).alias(gone))
+    places = sized(stored(places, spark, "gone"))
+    return own.join(places, F.col(rank) == F.col(at), "left").drop(rank, at), gone
 
 
-def _kept_text() -> Column:
-    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i))
-    return F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+def _kept_text(gone: str) -> Column:
+    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(gone, i))
+    return F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
 
 
 def dedup_lines(docs: DataFrame, spark: SparkSession, threshold: tuple[int, int] = (9, 10), min_words: int = 5) -> DataFrame:
     """doc_id, n_lines, n_removed, emptied and the text that stays, for every row."""
-    marked = _marked(docs.select("doc_id", "text"), spark, threshold, min_words)
+    marked, gone = _marked(docs.select("doc_id", "text"), spark, threshold, min_words)
     out = marked.select(
         "doc_id",
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
-        _kept_text().alias("text"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
+        _kept_text(gone).alias("text"),
     )
     emptied = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", "\n", " ")) == "")
     return out.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.greatest("n_removed", F.lit(0)).alias("n_removed"), F.coalesce(emptied, F.lit(False)).alias("emptied"), "text")
@@ -182,9 +192,10 @@ def dedup_lines(docs: DataFrame, spark: SparkSession, threshold: tuple[int, int]
 def drop_repeated_lines(docs: DataFrame, spark: SparkSession, threshold: tuple[int, int] = (9, 10), min_words: int = 5) -> DataFrame:
     """``docs`` with repeated lines taken out of text (n_chars follows, where there is such a column); documents of
     which nothing stays go. All columns stay."""
-    marked = _marked(docs, spark, threshold, min_words).withColumn("text", _kept_text())
-    marked = marked.where(F.col("__gone").isNull() | (F.trim(F.regexp_replace("text", "\n", " ")) != ""))
+    marked, gone = _marked(docs, spark, threshold, min_words)
+    marked = marked.withColumn("text", _kept_text(gone))
+    marked = marked.where(F.col(gone).isNull() | (F.trim(F.regexp_replace("text", "\n", " ")) != ""))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        marked = marked.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        marked = marked.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return marked.select(docs.columns)
