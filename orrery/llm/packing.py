@@ -18,8 +18,9 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,36 +28,56 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm._store import small_batches
+from orrery.llm._store import small_batches, tidy
 
 #: Numbers that one task can give to its sequences.
 PER_TASK = 1 << 36
 
 
 class WordTokens:
-    """Ids of texts under a tokenizer that never joins what white space divides: ids of runs are kept and reused."""
+    """Ids of texts under a tokenizer. Where it never joins what white space divides, ids of runs are kept and reused, in
+    two generations: when the young one is full it becomes the old one, and runs met again come back from there. So at
+    most twice ``keep`` runs are held, those in use among them. Other tokenizers get whole texts."""
 
-    _run = re.compile(r"[^ \n\t\r]+")
+    LONGEST = 64
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 150_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.tok, self.keep, self.young, self.old = Tokenizer.from_file(path), keep, {"": b""}, {}
+        parts = ("One two", "three", ", four. ", "5 six'")
+        self.divides = all(self._encode([f"{a}{s}{b}"])[0] == b"".join(self._encode([a, b])) for a in parts for b in parts for s in " \n\t\r")
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, runs: set[str]) -> dict[str, bytes]:
+        old = self.old
+        out = {r: old[r] for r in runs if r in old}
+        new = [r for r in runs if r not in out]
+        for i in range(0, len(new), 4096):
+            out.update(zip(new[i : i + 4096], self._encode(new[i : i + 4096]), strict=True))
+        if len(self.young) + len(out) > self.keep:
+            self.old, self.young = self.young, {"": b""}
+        self.young.update((r, x) for r, x in out.items() if len(r) <= self.LONGEST)
+        return out
 
     def __call__(self, text: str) -> np.ndarray:
-        runs = self._run.findall(text)
-        known = self.known
-        new = {r for r in runs if r not in known}
-        if new:
-            if len(known) + len(new) > self.keep:
-                known.clear()
-                new = set(runs)
-            new = list(new)
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for run, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True):
-                    known[run] = np.array(e.ids, dtype=np.uint32).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, runs)), dtype=np.uint32)
+        if not self.divides:
+            return np.frombuffer(self._encode([text])[0], dtype=np.uint32)
+        runs = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        got = list(map(self.young.get, runs))
+        if None in got:
+            new = self._learn({r for r, x in zip(runs, got, strict=True) if x is None})
+            got = [new[r] if x is None else x for r, x in zip(runs, got, strict=True)]
+        return np.frombuffer(b"".join(got), dtype=np.uint32)
+
+
+@lru_cache(1)
+def word_tokens(path: str) -> WordTokens:
+    """One for all tasks of a process."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordTokens(path)
 
 
 class Pool:
@@ -139,7 +160,7 @@ def pack(
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
-        encode = WordTokens(tokenizer)
+        encode = word_tokens(tokenizer)
         waiting, next_id = Pool((limit, segments, loss)), TaskContext.get().partitionId() * PER_TASK
         ids: dict[int, list] = {}  # of documents that wait: doc_id, ids, ids left, loss before each (None: all bear it)
         rows: list[tuple] = []
@@ -214,7 +235,7 @@ def pack(
                 yield flush()
         yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([bears] if bears else [])).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([bears] if bears else [])).mapInArrow(tidy(run), schema)
 
 
 def crc32(ids: bytes) -> int:
