@@ -61,12 +61,15 @@ def with_next(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """bucket, rid (place in it), ghost (a neighbour's copy), doc_id, text, next_text; null texts are empty."""
     rows, n = bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")))
     along = Window.orderBy("bucket")
-    firsts = rows.groupBy("bucket").agg(F.min("doc_id").alias("first_id"))
+    # The first document of a bucket, as the window below sorts them: without doc_id first.
+    firsts = rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", F.xxhash64("text"))).alias("first"))
     # One row a bucket, MOST_BUCKETS at most.
     firsts = firsts.select(
-        "first_id", F.coalesce(F.lag("bucket").over(along), F.max("bucket").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to")
-    )
-    ghosts = rows.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text", F.col("to").alias("bucket"), F.lit(1).alias("ghost"))
+        F.col("first.doc_id").alias("first_id"), F.col("first.col3").alias("first_text"),
+        F.coalesce(F.lag("bucket").over(along), F.max("bucket").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"),
+    )
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("first_text"))
+    ghosts = rows.join(F.broadcast(firsts), is_first).select("doc_id", "text", F.col("to").alias("bucket"), F.lit(1).alias("ghost"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 2000))
     both = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts).repartition(tasks, "bucket")
     order = Window.partitionBy("bucket").orderBy("ghost", "doc_id", F.xxhash64("text"))
