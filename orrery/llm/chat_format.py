@@ -6,7 +6,8 @@ lost.
 
 Template: ``[INST] user [/INST]``, ``[SYS] system [/SYS]``, ``[REPLY] assistant</s>``, and for any other role
 ``[TURN role] text [/TURN]``. Control strings begin with ``[`` or ``<``; inside texts and role names these and the
-escape sign are written ``\\l``, ``\\a`` and ``\\b``, so a text never holds a control string and reads back unchanged.
+escape sign are written ``\\l``, ``\\a`` and ``\\b``, in role names also ``]`` as ``\\r``, so neither holds a control string
+and both read back unchanged.
 
 Turns are ordered by turn, then role, then text; null turns first. A null role or text is empty, a null conv_id is a
 conversation. Rows that repeat are turns each. Extra columns are ignored.
@@ -29,13 +30,13 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    for raw, written in (("[", "\\l"), ("<", "\\a"), ("\\", "\\b")):
+    for raw, written in (("[", "\\l"), ("<", "\\a"), ("]", "\\r"), ("\\", "\\b")):
         text = F.replace(text, F.lit(written), F.lit(raw))
     return text
 
 
 def render(role: Column, text: Column) -> Column:
-    out = F.concat(F.lit(OTHER[0]), escape(role), F.lit(OTHER[1]), escape(text), F.lit(OTHER[2]))
+    out = F.concat(F.lit(OTHER[0]), F.replace(escape(role), F.lit("]"), F.lit("\\r")), F.lit(OTHER[1]), escape(text), F.lit(OTHER[2]))
     for name, (before, after) in MARKS.items():
         out = F.when(role == name, F.concat(F.lit(before), escape(text), F.lit(after))).otherwise(out)
     return out
