@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import _text as tx
-from orrery.llm._store import small_batches
+from orrery.llm._store import sized, small_batches, tidy
 
 # Families of some languages; any other language is a family of its own.
 FAMILIES = {
@@ -118,7 +118,7 @@ def train(labelled: DataFrame, per_language: int = 1000, dims: int = 2048) -> Hi
     labelled = labelled.where("lang is not null and text is not null")
     have = labelled.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), F.lit(per_language) / F.col("n")).alias("share"))
     part = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20))
-    own = labelled.select("lang", "text").join(have, "lang").where(part < F.col("share") * (1 << 20)).select("lang", "text")
+    own = labelled.select("lang", "text").join(sized(have), "lang").where(part < F.col("share") * (1 << 20)).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -126,7 +126,7 @@ def train(labelled: DataFrame, per_language: int = 1000, dims: int = 2048) -> Hi
             rows = pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), rows, pa.array(ok)], names=["lang", "x", "ok"])
 
-    got = own.mapInArrow(count, "lang string, x binary, ok boolean").where("ok").orderBy("lang", "x").toPandas()
+    got = own.mapInArrow(tidy(count), "lang string, x binary, ok boolean").where("ok").orderBy("lang", "x").toPandas()
     if got.empty:
         return None
     x = np.stack([np.frombuffer(r, dtype=np.float16) for r in got["x"]]).astype(np.float32)
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, model: Hierarchy | None, dims: int = 2048) -> Data
                 names=["doc_id", "lang_pred", "score"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, labelled: DataFrame, spark: SparkSession, per_language: int = 1000) -> DataFrame:
