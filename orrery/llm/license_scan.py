@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.llm import _text as tx
-from orrery.llm._store import small_batches, stored
+from orrery.llm._store import small_batches, stored, tidy
 
 # Phrases and their labels, and texts by which public licenses are known.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -111,7 +111,7 @@ def _scan(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
                 )
 
     schema = "doc_id long, n_words long, phrases array<struct<label: string, pos: long>>, hits array<struct<gram: long, pos: long>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(scan), schema)
 
 
 def license_labels(docs: DataFrame, spark: SparkSession, k: int = 4, gap: int = 6, cover: float = 0.6) -> DataFrame:
@@ -128,9 +128,13 @@ def license_labels(docs: DataFrame, spark: SparkSession, k: int = 4, gap: int =
         F.collect_set("tpos").alias("tpos"), F.min("pos").alias("first"), F.max("pos").alias("last")
     )
     along = Window.partitionBy("rid", "template").orderBy("diagonal")
-    new = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= gap, 0).otherwise(1)
-    bands = votes.withColumn("new", new).withColumn("band", F.sum("new").over(along))
-    merged = bands.groupBy(*key, "band").agg(
+    # Copies of one template that follow each other are as far apart as it is long: bands are narrower.
+    width = F.least(F.lit(gap), F.floor((F.col("grams") + (k - 1)) / 2))
+    new = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= width, 0).otherwise(1)
+    bands = votes.withColumn("new", new).withColumn("chain", F.sum("new").over(along))
+    start = F.min("diagonal").over(Window.partitionBy("rid", "template", "chain"))
+    bands = bands.withColumn("band", F.floor((F.col("diagonal") - start) / F.greatest(F.lit(gap), F.floor((F.col("grams") + (k - 1)) / 2))))
+    merged = bands.groupBy(*key, "chain", "band").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("tpos")))).alias("covered"), F.min("first").alias("first"), F.max("last").alias("last")
     )
     merged = merged.withColumn("score", F.col("covered") / F.col("grams")).where(
