@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import _text as tx
-from orrery.llm._store import small_batches, stored
+from orrery.llm._store import small_batches, stored, tidy
 
 #: Bits of the fixed-size filter of benchmark words.
 FILTER_BITS = 23
@@ -54,7 +54,7 @@ def benchmark_windows(bench: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["item_id", "len", "w", "code"])
 
     got = bench.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return got.mapInArrow(windows, "item_id long, len int, w array<long>, code binary").distinct()
+    return got.mapInArrow(tidy(windows), "item_id long, len int, w array<long>, code binary").distinct()
 
 
 def _bitmap(terms: DataFrame) -> np.ndarray:
@@ -67,7 +67,7 @@ def _bitmap(terms: DataFrame) -> np.ndarray:
             bits[(own >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(bits))], names=["bit"])
 
-    got = terms.select("term").mapInArrow(fill, "bit long").distinct().toPandas()
+    got = terms.select("term").mapInArrow(tidy(fill), "bit long").distinct().toPandas()
     bits = np.zeros(1 << FILTER_BITS, dtype=bool)
     bits[got["bit"].to_numpy(dtype=np.int64)] = True
     return np.packbits(bits)
@@ -89,7 +89,7 @@ def word_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 term, n = np.unique(h[_hits(h, packed)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(tx.signed(term)), pa.array(n)], names=["term", "n"])
 
-    seen = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("freq"))
+    seen = docs.select("text").mapInArrow(tidy(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("freq"))
     return terms.select("term").distinct().join(seen, "term", "left").select("term", F.coalesce("freq", F.lit(0)).alias("freq"))
 
 
@@ -122,7 +122,7 @@ def build_index(docs: DataFrame, terms: DataFrame, width: int) -> DataFrame:
                 )
 
     schema = "doc_id long, n_words long, postings array<struct<term: long, pos: long, near: binary>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(scan), schema)
 
 
 def search(docs: DataFrame, bench: DataFrame, spark: SparkSession, width: int = 13, slack: int | None = None) -> tuple[DataFrame, DataFrame]:

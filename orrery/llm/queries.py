@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import chat_format, decontaminate, fingerprints, language_id, license_scan, line_dedup, ngram_join, packing, secret_scan, toxicity
+from orrery.llm.sql import ORACLES  # noqa: F401
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -108,5 +109,3 @@ QUERIES = {
         op9_language_id, op10_chat_format, pipeline,
     )
 }
-
-ORACLES: dict[str, str] = {}

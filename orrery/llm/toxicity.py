@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import _text as tx
-from orrery.llm._store import small_batches
+from orrery.llm._store import small_batches, tidy
 
 STEPS = (2, 3, 4, 5, 6, 8, 10, 12, 15)
 _PARAMS = dict(
@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: CompressionModel | None, columns: list[str] |
 
     kept = docs.select(*columns, F.col("text").alias("__text"))
     schema = kept.drop("__text").schema.add(name, "double")
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, spark: SparkSession, max_docs: int = 8000) -> DataFrame:
