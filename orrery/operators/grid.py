@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,3 +25,25 @@ def dilate(cells: DataFrame, keys: list[str], mask: str, name: str) -> DataFrame
     along = Window.partitionBy(*keys, "r").orderBy("c").rangeBetween(-1, 1)
     down = Window.partitionBy(*keys, "c").orderBy("r").rangeBetween(-1, 1)
     return cells.withColumn(name, F.greatest(F.max(mask).over(along), F.max(mask).over(down)))
+
+
+def _copies(at: str, size: int, reach: int, border: str) -> Column:
+    """Where a row or column stands once the map is continued by ``reach`` beyond its borders."""
+    i = F.col(at)
+    if border == "edge":
+        low, high = F.when(i == 0, F.lit(-reach)).otherwise(i), F.when(i == size - 1, F.lit(size - 1 + reach)).otherwise(i)
+        return F.sequence(low.cast("int"), high.cast("int"))
+    shift, least = {"symmetric": (1, 0), "mirror": (0, 1)}[border]
+    before = F.when((i >= least) & (i < reach + least), -i - shift)
+    after = F.when((i <= size - 1 - least) & (i > size - 1 - least - reach), 2 * size - 2 + shift - i)
+    return F.filter(F.array(i, before, after), lambda x: x.isNotNull())
+
+
+def bordered_stencil(cells: DataFrame, keys: list[str], shape: tuple[int, int], reach: int, border: str, what: dict[str, tuple[str, str]]) -> DataFrame:
+    """``stencil`` with maps of ``shape`` continued beyond their borders: ``edge`` repeats the border cell, ``symmetric``
+    turns back with it, ``mirror`` without it. Maps must be larger than ``reach`` for the last two."""
+    padded = cells.withColumns({"__r": F.col("r"), "__c": F.col("c")})
+    for at, size in (("r", shape[0]), ("c", shape[1])):
+        padded = padded.withColumn("__at", F.explode(_copies(at, size, reach, border))).withColumn(at, F.col("__at")).drop("__at")
+    got = stencil(padded, keys, reach, what)
+    return got.where("r = __r and c = __c").drop("__r", "__c")
