@@ -6,14 +6,15 @@ has a Jaccard similarity of at least ``threshold``, whether or not that earlier
 
 Words are ordered by rarity: a 64-bit key has the level of the word's counter cell in its top bits (2**16 cells, a
 fixed size), its hash below. Sets that are equal are merged first; sets so small that only equal ones reach the
-threshold are settled by that and form no pairs. A larger set's prefix, its ``n - ceil(t n) + 1`` rarest words, meets
-the prefixes of sets no larger, of which ``n - ceil(2 t n / (1 + t)) + 1`` words are enough. Pairs must pass the length
-and positional filters and a parity bitmap (one bit flipped by each word: two sets that differ in d words differ in d
-bits at most); all of that is part of the join, so what fails is never written.
+threshold are settled by that and form no pairs. A larger set's prefix, its ``n - ceil(t n) + m`` rarest words, meets
+the prefixes of sets no larger, of which ``n - ceil(2 t n / (1 + t)) + m`` words are enough; they must share m words,
+more for long lines. Pairs must pass the length
+and positional filters and parity bitmaps of the rarest words (one bit flipped by each: bits differ in no more places
+than words do); all of that is part of the join, so what fails is never written.
 
-As one earlier line is enough, the join has three rounds: first the earliest set with the same word, then the sets
-just before a set among those with the same word, which settle large groups of near copies without pairing their
-members; last, for sets not settled by then, all earlier ones.
+As one earlier line is enough, the join has two rounds: first, for words that many sets have, the earliest of them and
+those just before a set, which settles large groups of near copies without pairing their members; then, for sets not
+settled by that, all earlier ones.
 
 Null texts stay null, empty ones empty; blank lines and ties change nothing. Rows that repeat a doc_id with
 its text count as one document and are treated alike; those with one doc_id (or none) and different texts are documents
@@ -27,12 +28,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.llm._store import discard, sized, stored
+from orrery.llm._store import BROADCAST_ROWS, discard, sized, stored
 
 #: xxhash64('') under Spark's seed: what blanks next to each other leave.
 _EMPTY = -7444071767201028348
 #: Entries of one word that are lined up together.
 LINE = 4000
+#: Words that more sets than this share in their prefixes get the first round.
+MANY = 300
+#: The rarest words of a set that its bitmaps tell.
+FEW = 24
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -57,10 +62,21 @@ def _keys(line: Column, levels: Column) -> Column:
     return F.sort_array(F.transform(hashes, lambda h: level(h).bitwiseOR(h.bitwiseAND((1 << 58) - 1))))
 
 
-def _parity(keys: Column) -> Column:
-    """Bitmap of 64 bits, one flipped by each word."""
-    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(one(h)))
+def _common(n: str) -> str:
+    """How many words the prefixes of two sets share that reach the threshold, the smaller having n: prefixes are as much
+    longer. Long lines meet by chance in one rare word, and hardly in more."""
+    return f"if({n} < 40, 1, if({n} < 120, 2, 4))"
+
+
+def _key_rows(lines: DataFrame, levels: Column) -> DataFrame:
+    """key and w, the set of each line. The array of one makes sure that it is computed once, whatever is done with it."""
+    return lines.select("key", F.explode(F.array(_keys(F.col("line"), levels))).alias("w"))
+
+
+def _parity() -> Column:
+    """Bitmap of 64 bits, one flipped by each of the set's FEW rarest words. Written out, and no longer than the virtual
+    machine compiles."""
+    return F.expr(" ^ ".join(f"coalesce(shiftleft(1L, cast(get(w, {j}) & 63 as int)), 0L)" for j in range(FEW)))
 
 
 def free(docs: DataFrame, name: str) -> str:
@@ -72,14 +88,15 @@ def free(docs: DataFrame, name: str) -> str:
 
 def ranked(docs: DataFrame, spark: SparkSession, name: str) -> tuple[DataFrame, int]:
     """``docs`` with the column ``name``, which orders documents as doc_id and then a hash of the text do, and the bits that the places of
-    lines need (by the document with most lines); ranks have the rest of 63 bits."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").alias("text"))
-    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    per = rows.groupBy("doc_id").agg(F.min("th").alias("a"), F.max("th").alias("b"), F.max(breaks).alias("breaks"))
-    got = per.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("breaks").alias("breaks"), F.max(F.col("a") != F.col("b")).alias("several")).first()
-    bits = (got["breaks"] or 0).bit_length()
+    lines need (by the longest document); ranks have the rest of 63 bits."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    per = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("longest"))
+    got = per.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("longest").alias("longest"), F.max("n").alias("n")).first()
+    bits = (got["longest"] or 0).bit_length()
     room, own = 63 - bits, docs["doc_id"].cast("long")
-    if (got["lo"] is None or got["hi"] - got["lo"] < (1 << room) - 1) and not got["several"]:
+    rows = rows.select("doc_id", F.xxhash64("text").alias("th"))
+    several = (got["n"] or 0) > 1 and not rows.groupBy("doc_id").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").isEmpty()
+    if (got["lo"] is None or got["hi"] - got["lo"] < (1 << room) - 1) and not several:
         return docs.withColumn(name, F.coalesce(own - F.lit(got["lo"] or 0) + 1, F.lit(0).cast("long"))), bits
     ids = rows.select("doc_id", "th").distinct().repartitionByRange("doc_id", "th")
     ids = stored(ids.withColumn("part", F.spark_partition_id()), spark, "ids")
@@ -97,35 +114,41 @@ def removed_lines(docs: DataFrame, spark: SparkSession, bits: int, threshold: tu
     rank and text."""
     num, den = threshold
     docs = docs.where("text is not null").select("rank", "text")
-    levels = cell_levels(docs)
     key = F.shiftleft(F.col("rank"), bits).bitwiseOR(F.col("no").cast("long"))
-    made = _lines(docs).select(key.alias("key"), _keys(F.col("line"), levels).alias("w"))
+    solid = F.replace("line", F.lit(" "), F.lit("")) != ""
+    copied = None
+    if min_words <= 1:
+        # Of a document that is another once more, each line with a word goes: no set of it needs to be made.
+        rows = docs.select("rank", F.xxhash64("text").alias("th"))
+        first = rows.groupBy("th").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last")
+        copies = sized(stored(rows.join(sized(first), "th").where("rank > first").select("rank").distinct(), spark, "copies"))
+        copied = _lines(docs.join(copies, "rank", "left_semi")).where(solid).select(key.alias("key"))
+        docs = docs.join(copies, "rank", "left_anti")
+    levels = cell_levels(docs)
     size = F.size("w")
-    cut = size - F.expr(f"cast((size(w) * {num}L + {den - 1}) div {den} as int)") + 1
+    cut = size - F.expr(f"cast((size(w) * {num}L + {den - 1}) div {den} as int)") + F.expr(_common("size(w)"))
     # Sets of n and n + 1 words reach the threshold at best by n / (n + 1); with fewer words only equal sets do.
     pairable = size * (den - num) >= num
+    made = _key_rows(_lines(docs).where(solid).select(key.alias("key"), "line"), levels)
+    if min_words > 1:
+        made = made.where(size >= min_words)
     index = stored(
-        made.where(size >= max(1, min_words)).select(
+        made.select(
             "key", size.alias("n"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "w").alias("h2"),
-            F.when(pairable, _parity(F.col("w"))).alias("bits"), F.when(pairable, F.slice("w", 1, cut)).alias("prefix"),
+            F.when(pairable, _parity()).alias("bits"), F.when(pairable, F.slice("w", 1, cut)).alias("prefix"),
         ),
         spark, "lines",
     )
     # Equal sets have equal bitmaps and prefixes, so whichever row comes first says the same.
     sets = stored(index.groupBy("h1", "h2", "n").agg(F.min("key").alias("key"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), spark, "sets")
-    enough = F.expr(f"n - cast((2L * {num} * n + {num + den - 1}) div {num + den} as int) + 1")
+    enough = F.expr(f"n - cast((2L * {num} * n + {num + den - 1}) div {num + den} as int) + {_common('n')}")
     entries = sets.where("prefix is not null").select("key", "n", "bits", enough.alias("index"), F.posexplode("prefix").alias("pos", "word"))
-    heads = entries.groupBy("word").agg(F.min("key").alias("head"), F.count("*").alias("met"), F.max(F.col("pos") < F.col("index")).alias("indexed"))
-    met = stored(entries.join(heads.where("met > 1 and indexed").drop("indexed"), "word"), spark, "met")
-
     least = f"(({num}L * (na + nb) + {num + den - 1}) div {num + den})"
     filters = f"a > b and least(na, nb) * {den} >= greatest(na, nb) * {num} and least(pa, pb) + least(na - pa, nb - pb) >= {least}"
-    filters += f" and bit_count(bitsa ^ bitsb) <= na + nb - 2 * {least} and if(na < nb, pa < indexa, if(nb < na, pb < indexb, pa < indexa or pb < indexb))"
+    # If at most k words of the larger set are not in the other, as many rarest words of each differ in 2 k at most.
+    filters += f" and bit_count(bitsa ^ bitsb) <= 2 * (greatest(na, nb) - {least}) and if(na < nb, pa < indexa, if(nb < na, pb < indexb, pa < indexa or pb < indexb))"
     parts = {"key": "", "n": "n", "pos": "p", "bits": "bits", "index": "index"}
 
-    def side(rows: DataFrame, s: str) -> DataFrame:
-        return rows.select("word", *[F.col(c).alias(f"{x}{s}") for c, x in parts.items()])
-
     def verified(pairs: DataFrame) -> DataFrame:
         """First keys of the pairs that reach the threshold."""
         pairs = stored(pairs.distinct(), spark, "pairs")
@@ -136,29 +159,40 @@ def removed_lines(docs: DataFrame, spark: SparkSession, bits: int, threshold: tu
         texts = docs.join(sized(held), "rank", "left_semi")
         whole = _lines(texts).select(key.alias("key"), "line").join(sized(needed), "key", "left_semi")
         # A document that stands twice gives its lines twice; the distinct below sees to that.
-        whole = stored(whole.select("key", _keys(F.col("line"), levels).alias("w")), spark, "whole")
+        whole = stored(_key_rows(whole, levels), spark, "whole")
         a, b = whole.select(F.col("key").alias("a"), F.col("w").alias("wa")), whole.select(F.col("key").alias("b"), F.col("w").alias("wb"))
         both = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("wa", "wb")))
         out = stored(both.where(f"both * {den} >= (size(wa) + size(wb) - both) * {num}").select(F.col("a").alias("key")).distinct(), spark, "later")
         discard(spark, pairs, needed, held, whole)
         return out
 
-    star = side(met.where("key > head"), "a").join(side(met.where("key = head"), "b"), "word").where(filters)
-    near = verified(star.select("a", "b"))
-
-    rest = met.where("met > 2 and key <> head")
-    slot = F.pmod(F.xxhash64("key"), F.ceil(F.col("met") / LINE))
+    # Words that many sets have: each set against the first of its line and those just before it.
+    many = entries.groupBy("word").agg(F.count("*").alias("met"), F.max(F.col("pos") < F.col("index")).alias("indexed"))
+    many = sized(stored(many.where(f"met > {MANY} and indexed").select("word", "met"), spark, "many"))
     along = Window.partitionBy("word", "slot").orderBy("key")
-    lag = lambda j: F.lag(F.struct(*[F.col(c).alias(f"{x}b" if x else "b") for c, x in parts.items()]), j).over(along)
-    lined = rest.withColumn("slot", slot).select(*[F.col(c).alias(f"{x}a" if x else "a") for c, x in parts.items()], *[lag(j).alias(f"o{j}") for j in (1, 2, 3)])
-    lined = lined.join(near.withColumnRenamed("key", "a"), "a", "left_anti").withColumn("o", F.explode(F.array("o1", "o2", "o3")))
-    lined = lined.where("o is not null").select(*[f"{x}a" if x else "a" for x in parts.values()], "o.*").where(filters)
-    near = near.union(verified(lined.select("a", "b")))
-
-    more = side(rest.join(near, "key", "left_anti"), "a").join(side(rest, "b"), "word").where(filters)
-    later = near.union(verified(more.select("a", "b"))).withColumn("later", F.lit(True))
-    firsts = sets.join(later, "key", "left").select("h1", "h2", "n", F.col("key").alias("first"), F.coalesce("later", F.lit(False)).alias("later"))
-    return index.select("key", "h1", "h2", "n").join(firsts, ["h1", "h2", "n"]).where("key > first or later").select("key").distinct()
+    other = F.struct(*[F.col(c).alias(f"{x}b" if x else "b") for c, x in parts.items()])
+    before = [F.first(other).over(along.rowsBetween(Window.unboundedPreceding, -1)), *[F.lag(other, j).over(along) for j in (1, 2, 3)]]
+    lined = entries.join(many, "word").withColumn("slot", F.pmod(F.xxhash64("key"), F.ceil(F.col("met") / LINE)))
+    lined = lined.select(*[F.col(c).alias(f"{x}a" if x else "a") for c, x in parts.items()], *[x.alias(f"o{j}") for j, x in enumerate(before)])
+    lined = lined.select(*[f"{x}a" if x else "a" for x in parts.values()], F.inline(F.filter(F.array(*[f"o{j}" for j in range(len(before))]), lambda o: o.isNotNull())))
+    near = verified(lined.where(filters).select("a", "b"))
+
+    # All others against all earlier ones: x is the larger set or, of equally large ones, the later.
+    settled = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
+    known = entries.join(settled.select("key", F.lit(True).alias("settled")), "key", "left")
+    x, y = (rows.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "pos", "bits", "settled")]) for s, rows in (("x", known), ("y", known.where("pos < index"))))
+    least_xy = least.replace("na", "n_x").replace("nb", "n_y")
+    fit = (
+        f"(n_x > n_y or (n_x = n_y and key_x > key_y)) and n_y * {den} >= n_x * {num} and bit_count(bits_x ^ bits_y) <= 2 * (n_x - {least_xy}) "
+        f"and if(key_x > key_y, settled_x is null, settled_y is null) and least(pos_x, pos_y) + least(n_x - pos_x, n_y - pos_y) >= {least_xy}"
+    )
+    more = x.join(y, "word").where(fit).select(F.greatest("key_x", "key_y").alias("a"), F.least("key_x", "key_y").alias("b"), F.expr(_common("n_y")).alias("need"))
+    more = more.groupBy("a", "b", "need").agg(F.count("*").alias("met")).where("met >= need").select("a", "b")
+    later = near.union(verified(more))
+    # What stays of all lines is the first of each set, unless an earlier set is like it.
+    stays = sets.select("key").join(later, "key", "left_anti")
+    gone = index.select("key").join(stays, "key", "left_anti")
+    return (gone.union(copied) if copied is not None else gone).distinct()
 
 
 def _marked(docs: DataFrame, spark: SparkSession, threshold: tuple[int, int], min_words: int) -> tuple[DataFrame, str]:
