@@ -145,7 +145,8 @@ def merged(masks: list[set], overlap: float = 0.3) -> list[tuple[int, set]]:
 
 def aupro(maps: list[np.ndarray], regions: list[list[np.ndarray]], limit: float = 0.3, steps: int = 300) -> float | None:
     """Area under mean region overlap against false-positive rate up to ``limit``, divided by it. Thresholds are the
-    normal cells' quantiles at equally spaced rates; a cell counts at or above one. None without regions or normals."""
+    normal cells at the places that ``steps`` rates from limit / steps to limit point to, rounded down; a cell counts at
+    or above one. The curve starts at no overlap and no false positives. None without regions or normals."""
     scores, normal = [], []
     for m, own in zip(maps, regions, strict=True):
         inside = np.zeros(m.shape, dtype=bool)
@@ -156,12 +157,13 @@ def aupro(maps: list[np.ndarray], regions: list[list[np.ndarray]], limit: float
     normal = np.sort(np.concatenate(normal)) if normal else np.zeros(0)
     if not scores or not len(normal):
         return None
-    at = np.quantile(normal, 1 - np.linspace(0, limit, steps))
-    rate = np.array([(len(normal) - np.searchsorted(normal, t, "left")) / len(normal) for t in at])
-    pro = np.mean([[(len(s) - np.searchsorted(s, t, "left")) / len(s) for t in at] for s in scores], axis=0)
-    above = np.mean([(len(s) - np.searchsorted(s, normal[-1], "right")) / len(s) for s in scores])
-    rate, pro = np.concatenate([[0.0], rate]), np.concatenate([[above], pro])
-    keep = rate <= limit
-    edge = np.interp(limit, rate, pro)
-    x, y = np.append(rate[keep], limit), np.append(pro[keep], edge)
-    return float(((x[1:] - x[:-1]) * (y[1:] + y[:-1]) / 2).sum() / limit)
+    n = len(normal)
+    at = normal[[int((1 - limit * k / steps) * (n - 1)) for k in range(1, steps + 1)]]
+    reached = lambda s: (len(s) - np.searchsorted(s, at, "left")) / len(s)
+    rate, overlap = np.append(0.0, reached(normal)), np.append(0.0, np.mean([reached(s) for s in scores], axis=0))
+    area = 0.0
+    for x0, x1, y0, y1 in zip(rate, rate[1:], overlap, overlap[1:], strict=False):
+        if x0 < limit and x1 > x0:
+            end = min(x1, limit)
+            area += (end - x0) * (2 * y0 + (y1 - y0) * (end - x0) / (x1 - x0)) / 2
+    return float((area + max(0.0, limit - rate[-1]) * overlap[-1]) / limit)

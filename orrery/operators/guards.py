@@ -40,3 +40,18 @@ def without_labels(df: DataFrame, banned: tuple[str, ...] = LABEL_COLUMNS) -> Da
 def min_views(reference: DataFrame, source: str, least: int) -> DataFrame:
     """Sources with fewer than ``least`` reference views."""
     return reference.groupBy(source).agg(F.count("*").alias("views")).where(F.col("views") < least)
+
+
+def assert_role(dataset: str, allowed: tuple[str, ...]) -> str:
+    """``dataset``, or an error where it must not be used for this (tuning, or frozen validation)."""
+    if dataset not in allowed:
+        raise ValueError(f"{dataset} is not one of {', '.join(allowed)}")
+    return dataset
+
+
+def require_manifest(spark, path: str) -> DataFrame:
+    """The frozen manifest at ``path``; nothing may run without one."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
+        raise FileNotFoundError(f"no frozen manifest at {path}")
+    return spark.read.option("multiLine", True).json(path)

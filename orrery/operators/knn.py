@@ -35,11 +35,13 @@ def chebyshev(q: np.ndarray, b: np.ndarray) -> np.ndarray:
 METRICS: dict[str, Callable] = {"half_sq": half_sq, "l1": l1, "chebyshev": chebyshev}
 
 
-def _blocks(df: DataFrame, name: str, n: int, carried: list[str]) -> DataFrame:
+def _blocks(df: DataFrame, name: str, n: int, carried: list[str], same: str | None) -> DataFrame:
+    """Rows in ``n`` blocks, or blocks of each value of ``same``."""
     cols = [F.col(c).cast("long").alias(c) for c in ["id", *carried]]
     own = df.select(*cols, F.col("vec").cast("array<double>").alias("vec"))
     part = F.pmod(F.xxhash64("id"), F.lit(max(1, n)))
-    return own.groupBy(part.alias(name)).agg(F.collect_list(F.struct("id", *carried, "vec")).alias(f"{name}_rows")).drop(name)
+    by = [F.col(same).alias("same")] if same else []
+    return own.groupBy(part.alias(name), *by).agg(F.collect_list(F.struct("id", *carried, "vec")).alias(f"{name}_rows")).drop(name)
 
 
 def knn_join(
@@ -52,8 +54,8 @@ def knn_join(
     """
     carried = [c for c in (same, other) if c]
     nq, nb = (-(-df.count() // BLOCK) for df in (queries, bank))
-    q = _blocks(queries, "q", nq, carried)
-    b = _blocks(bank, "b", nb, carried + (["w"] if weight else []))
+    q = _blocks(queries, "q", nq, carried, same)
+    b = _blocks(bank, "b", nb, carried + (["w"] if weight else []), same)
     measure = METRICS[metric]
 
     def search(frames):
@@ -82,7 +84,9 @@ def knn_join(
                     ok = np.isfinite(dist)
                     yield pd.DataFrame({"query": np.repeat(qi[i : i + 512], m)[ok], "bank": bi[at].ravel()[ok], "dist": dist[ok]})
 
-    found = q.crossJoin(b).mapInPandas(search, "query long, bank long, dist double")
+    # Only blocks of one value meet where one is asked for; else each query block must see the whole bank.
+    met = q.join(b, "same").drop("same") if same else q.crossJoin(b)
+    found = met.mapInPandas(search, "query long, bank long, dist double")
     order = Window.partitionBy("query").orderBy(F.round("dist", 9), "bank")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 

@@ -16,15 +16,15 @@ both("weight_scan_summary", "G39", "SELECT w, @r(avg(m)) AS mean_score, CAST(row
 both("registry_audit", "Q11", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) - count(DISTINCT url) AS BIGINT) AS duplicate_urls, CAST(sum(CASE WHEN length(html) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty_pages FROM {pages}")
 
 both("average_rank", "W01", "SELECT cat, @r(avg(rk)) AS mean_rank, @r(max(rk)) AS worst_rank FROM (SELECT cat, rank() OVER (PARTITION BY shot ORDER BY vis) + (count(*) OVER (PARTITION BY shot, vis) - 1) / 2.0 AS rk FROM @ev) t GROUP BY cat")
-both("spearman", "W02", "SELECT cat, @r(corr(ra, rb)) AS rho FROM (SELECT cat, CAST(rank() OVER (PARTITION BY cat ORDER BY vis) + (count(*) OVER (PARTITION BY cat, vis) - 1) / 2.0 AS DOUBLE) AS ra, CAST(rank() OVER (PARTITION BY cat ORDER BY user_id) + (count(*) OVER (PARTITION BY cat, user_id) - 1) / 2.0 AS DOUBLE) AS rb FROM @ev) t GROUP BY cat")
+both("spearman", "W02 W03", "SELECT cat, @r(corr(ra, rb)) AS rho FROM (SELECT cat, CAST(rank() OVER (PARTITION BY cat ORDER BY vis) + (count(*) OVER (PARTITION BY cat, vis) - 1) / 2.0 AS DOUBLE) AS ra, CAST(rank() OVER (PARTITION BY cat ORDER BY user_id) + (count(*) OVER (PARTITION BY cat, user_id) - 1) / 2.0 AS DOUBLE) AS rb FROM @ev) t GROUP BY cat")
 both("rank_copula", "W06", "SELECT event_id, @r((u + w) / 2) AS score FROM (SELECT event_id, (rank() OVER (PARTITION BY cat ORDER BY vis) - 0.5) / count(*) OVER (PARTITION BY cat) AS u, (rank() OVER (PARTITION BY cat ORDER BY user_id) - 0.5) / count(*) OVER (PARTITION BY cat) AS w FROM @ev) t")
-both("percentile_rank_risk", "W03 W04", "SELECT event_id, @r(cume_dist() OVER (PARTITION BY cat ORDER BY vis)) AS pct, @r(percent_rank() OVER (PARTITION BY cat ORDER BY vis)) AS rel FROM @ev")
+both("percentile_rank_risk", "W04", "SELECT event_id, @r(cume_dist() OVER (PARTITION BY cat ORDER BY vis)) AS pct, @r(percent_rank() OVER (PARTITION BY cat ORDER BY vis)) AS rel FROM @ev")
 both("kendall_tau", "H04", "SELECT label, @r(CAST(sum(sign(a1 - a2) * sign(b1 - b2)) AS DOUBLE) / count(*)) AS tau FROM (SELECT x.label, x.peak AS a1, y.peak AS a2, x.mean AS b1, y.mean AS b2 FROM @img x JOIN @img y ON x.label = y.label AND x.vec_id < y.vec_id) t GROUP BY label")
 both("tail_neglog_p", "W10 W11", "SELECT event_id, @r(-ln((1 + at_least) / CAST(n + 1 AS DOUBLE))) AS neglog_p FROM (SELECT event_id, ref, sum(ref) OVER (PARTITION BY cat ORDER BY vis DESC) AS at_least, sum(ref) OVER (PARTITION BY cat) AS n FROM @ev) t WHERE ref = 0")
 both("depth_slope", "W15", "SELECT cat, user_id, @r(regr_slope(vis, CAST(k AS DOUBLE))) AS slope FROM (SELECT cat, user_id, vis, row_number() OVER (PARTITION BY cat, user_id ORDER BY event_id) AS k FROM @ev) t GROUP BY cat, user_id HAVING count(*) >= 3")
 both("second_difference", "W16", "SELECT event_id, @r(lead(vis) OVER w - 2 * vis + lag(vis) OVER w) AS d2 FROM @ev WINDOW w AS (PARTITION BY cat, user_id ORDER BY event_id)")
 both("risk_coverage", "W20 E18", "SELECT k, @r(k / CAST(n AS DOUBLE)) AS coverage, @r(wrong / CAST(k AS DOUBLE)) AS risk FROM (SELECT CAST(row_number() OVER (ORDER BY s DESC, doc_id) AS BIGINT) AS k, CAST(sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) OVER (ORDER BY s DESC, doc_id) AS BIGINT) AS wrong, count(*) OVER () AS n FROM @doc) t")
-both("ecdf_interpolate", "W12 W13 W14", "WITH k AS (SELECT cat, vis, event_id, ref, sum(ref) OVER (PARTITION BY cat ORDER BY vis) / CAST(sum(ref) OVER (PARTITION BY cat) AS DOUBLE) AS f FROM @ev), n AS (SELECT event_id, ref, vis, max(CASE WHEN ref = 1 THEN vis END) OVER a AS x1, max(CASE WHEN ref = 1 THEN f END) OVER a AS f1, min(CASE WHEN ref = 1 THEN vis END) OVER b AS x2, min(CASE WHEN ref = 1 THEN f END) OVER b AS f2 FROM k WINDOW a AS (PARTITION BY cat ORDER BY vis RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY cat ORDER BY vis RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT event_id, @r(CASE WHEN f1 IS NULL THEN 0 WHEN x2 IS NULL OR x2 = x1 THEN f1 ELSE f1 + (f2 - f1) * (vis - x1) / (x2 - x1) END) AS ecdf FROM n WHERE ref = 0")
+both("ecdf_interpolate", "W13 W14", "WITH k AS (SELECT cat, vis, event_id, ref, sum(ref) OVER (PARTITION BY cat ORDER BY vis) / CAST(sum(ref) OVER (PARTITION BY cat) AS DOUBLE) AS f FROM @ev), n AS (SELECT event_id, ref, vis, max(CASE WHEN ref = 1 THEN vis END) OVER a AS x1, max(CASE WHEN ref = 1 THEN f END) OVER a AS f1, min(CASE WHEN ref = 1 THEN vis END) OVER b AS x2, min(CASE WHEN ref = 1 THEN f END) OVER b AS f2 FROM k WINDOW a AS (PARTITION BY cat ORDER BY vis RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY cat ORDER BY vis DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT event_id, @r(CASE WHEN f1 IS NULL THEN 0 WHEN x2 IS NULL OR x2 = x1 THEN f1 ELSE f1 + (f2 - f1) * (vis - x1) / (x2 - x1) END) AS ecdf FROM n WHERE ref = 0")
 
 both("loo_variant_select", "K05", "WITH g AS (SELECT cat, shot, avg(vis) AS m FROM @ev GROUP BY cat, shot), o AS (SELECT a.cat AS held, b.shot, avg(b.m) AS m FROM (SELECT DISTINCT cat FROM g) a JOIN g b ON a.cat <> b.cat GROUP BY a.cat, b.shot), p AS (SELECT held, shot, row_number() OVER (PARTITION BY held ORDER BY round(m, 9) DESC, shot) AS k FROM o) SELECT p.held AS cat, CAST(p.shot AS INT) AS chosen_shot, @r(g.m) AS held_out_score FROM p JOIN g ON p.held = g.cat AND p.shot = g.shot WHERE p.k = 1")
 both("constrained_pick", "K06", "SELECT seed, cat FROM (SELECT seed, cat, row_number() OVER (PARTITION BY seed ORDER BY round(avg(vis), 9) DESC, cat) AS k FROM @ev GROUP BY seed, cat HAVING stddev_pop(vis) < 1000000) t WHERE k = 1")
@@ -35,16 +35,16 @@ both("image_topq_score", "G14 G15 G16", "SELECT vec_id, @r(avg(s)) AS score FROM
 both("matrix_completeness", "U01 U02", "SELECT c.cat, s.seed, h.shot FROM (SELECT DISTINCT cat FROM @ev) c CROSS JOIN (SELECT DISTINCT seed FROM @ev) s CROSS JOIN (SELECT 1 AS shot UNION ALL SELECT 2 UNION ALL SELECT 4 UNION ALL SELECT 8) h EXCEPT SELECT cat, seed, shot FROM @ev")
 both("nested_subset_check", "U03 P24", "SELECT a.cat, CAST(count(*) AS BIGINT) AS small, CAST(count(b.user_id) AS BIGINT) AS also_in_large FROM (SELECT DISTINCT cat, user_id FROM @ev WHERE shot = 1) a LEFT JOIN (SELECT DISTINCT cat, user_id FROM @ev WHERE shot IN (1, 2)) b ON a.cat = b.cat AND a.user_id = b.user_id GROUP BY a.cat")
 both("jaccard_selection", "U05 U06", "WITH a AS (SELECT DISTINCT cat, user_id FROM @ev WHERE vis > 50), n AS (SELECT cat, count(*) AS n FROM a GROUP BY cat), i AS (SELECT x.cat AS c1, y.cat AS c2, count(*) AS k FROM a x JOIN a y ON x.user_id = y.user_id AND x.cat < y.cat GROUP BY x.cat, y.cat) SELECT c1, c2, @r(k / CAST(n1.n + n2.n - k AS DOUBLE)) AS jaccard FROM i JOIN n n1 ON i.c1 = n1.cat JOIN n n2 ON i.c2 = n2.cat")
-both("set_difference", "U07 U08", "SELECT user_id FROM @ev WHERE cat = 'click' EXCEPT SELECT user_id FROM @ev WHERE cat = 'purchase' AND vis > 20")
+both("set_difference", "U08", "SELECT user_id FROM @ev WHERE cat = 'click' EXCEPT SELECT user_id FROM @ev WHERE cat = 'purchase' AND vis > 20")
 
 both("gate_small", "D01", "SELECT cat, CASE WHEN count(*) = 3 AND avg(d) >= 0 AND sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) >= 2 AND min(d) >= -10 THEN 1 ELSE 0 END AS pass FROM (SELECT cat, seed, avg(zv) - avg(zt) AS d FROM @z GROUP BY cat, seed) t GROUP BY cat")
 both("gate_full", "D02 D05", "SELECT CASE WHEN count(*) = 9 THEN 1 ELSE 0 END AS complete, CASE WHEN avg(d) >= 0.005 THEN 1 ELSE 0 END AS mean_ok, CAST(sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive, @r(min(d)) AS worst FROM (SELECT seed, shot, avg(zv) - avg(zt) AS d FROM @z GROUP BY seed, shot) t")
-both("gate_final", "D03 D04", "SELECT CASE WHEN min(ok) = 1 THEN 1 ELSE 0 END AS pass, CAST(sum(ok) AS BIGINT) AS passed FROM (SELECT cat, CASE WHEN avg(zv) >= avg(zt) - 5 THEN 1 ELSE 0 END AS ok FROM @z GROUP BY cat) t")
+both("gate_final", "D03", "SELECT CASE WHEN min(ok) = 1 THEN 1 ELSE 0 END AS pass, CAST(sum(ok) AS BIGINT) AS passed FROM (SELECT cat, CASE WHEN avg(zv) >= avg(zt) - 5 THEN 1 ELSE 0 END AS ok FROM @z GROUP BY cat) t")
 both("gset_votes", "G31 D06", "SELECT cat, CAST(sum(CASE WHEN d > 0.02 THEN 1 ELSE 0 END) AS BIGINT) AS votes, @r(avg(d)) AS headroom, CASE WHEN avg(d) > 0 AND sum(CASE WHEN d > 0.02 THEN 1 ELSE 0 END) >= 2 THEN 1 ELSE 0 END AS chosen FROM (SELECT cat, seed, avg(greatest(zv, zt)) - avg(zv) AS d FROM @z GROUP BY cat, seed) t GROUP BY cat")
 both("acceptance_matrix", "D09", "SELECT cat, CASE WHEN count(*) > 10 THEN 1 ELSE 0 END AS enough, CASE WHEN max(abs(zv)) < 100000 THEN 1 ELSE 0 END AS bounded, CASE WHEN count(*) > 10 AND max(abs(zv)) < 100000 THEN 1 ELSE 0 END AS pass FROM @z GROUP BY cat")
 
 both("auroc_by_group", "E02", "SELECT lang, CASE WHEN sum(y) = 0 OR sum(y) = count(*) THEN NULL ELSE @r((sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * CAST(count(*) - sum(y) AS DOUBLE))) END AS auroc FROM (SELECT lang, y, rank() OVER (PARTITION BY lang ORDER BY s) + (count(*) OVER (PARTITION BY lang, s) - 1) / 2.0 AS rk FROM @doc) t GROUP BY lang")
-both("rank_auc", "E14 W05", "SELECT @r((sum(CASE WHEN t = 1 THEN rk END) - sum(t) * (sum(t) + 1) / 2.0) / (sum(t) * CAST(count(*) - sum(t) AS DOUBLE))) AS auc FROM (SELECT t, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM @doc) x")
+both("rank_auc", "E14", "SELECT @r((sum(CASE WHEN t = 1 THEN rk END) - sum(t) * (sum(t) + 1) / 2.0) / (sum(t) * CAST(count(*) - sum(t) AS DOUBLE))) AS auc FROM (SELECT t, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM @doc) x")
 _PR = "g AS (SELECT lang, s, sum(y) AS tp, count(*) AS n FROM @doc GROUP BY lang, s), c AS (SELECT lang, s, tp, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn, sum(tp) OVER (PARTITION BY lang) AS pos FROM g WINDOW w AS (PARTITION BY lang ORDER BY s DESC))"
 both("average_precision", "E03", f"WITH {_PR} SELECT lang, @r(sum(tp / CAST(pos AS DOUBLE) * ctp / CAST(cn AS DOUBLE))) AS ap FROM c WHERE pos > 0 GROUP BY lang")
 both("f1_max", "E04", f"WITH {_PR} SELECT lang, @r(max(2.0 * ctp / CAST(cn + pos AS DOUBLE))) AS f1_max FROM c WHERE pos > 0 GROUP BY lang")
@@ -54,7 +54,7 @@ both("rescue_harm", "E17", "SELECT lang, CAST(sum(CASE WHEN (s > 500) <> (y = 1)
 both("dice", "E22", "SELECT vec_id, @r(2.0 * sum(CASE WHEN s > 0.1 AND m = 1 THEN 1 ELSE 0 END) / (sum(CASE WHEN s > 0.1 THEN 1 ELSE 0 END) + sum(m) + 0.000000001)) AS dice FROM @cells GROUP BY vec_id")
 both("fp_rate", "E19", "SELECT label, @r(sum(CASE WHEN s > 0.2 AND m = 0 THEN 1 ELSE 0 END) / CAST(sum(1 - m) AS DOUBLE)) AS fpr FROM @cells GROUP BY label")
 both("patch_auroc", "E20 E13", "SELECT vec_id, @r((sum(CASE WHEN m = 1 THEN rk END) - sum(m) * (sum(m) + 1) / 2.0) / nullif(sum(m) * CAST(count(*) - sum(m) AS DOUBLE), 0)) AS auroc FROM (SELECT vec_id, m, rank() OVER (PARTITION BY vec_id ORDER BY s) + (count(*) OVER (PARTITION BY vec_id, s) - 1) / 2.0 AS rk FROM @cells) t GROUP BY vec_id HAVING sum(m) > 0")
-both("pooled_stride_metrics", "P22 P23 E01 E10", "SELECT @r((sum(CASE WHEN m = 1 THEN rk END) - sum(m) * (sum(m) + 1) / 2.0) / (sum(m) * CAST(count(*) - sum(m) AS DOUBLE))) AS auroc, CAST(count(*) AS BIGINT) AS n FROM (SELECT m, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM @cells WHERE r % 2 = 0 AND c % 2 = 0) t")
+both("pooled_stride_metrics", "P22 E01", "SELECT @r((sum(CASE WHEN m = 1 THEN rk END) - sum(m) * (sum(m) + 1) / 2.0) / (sum(m) * CAST(count(*) - sum(m) AS DOUBLE))) AS auroc, CAST(count(*) AS BIGINT) AS n FROM (SELECT m, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM @cells WHERE r % 2 = 0 AND c % 2 = 0) t")
 both("image_metrics", "E09 E11 E12", "SELECT @r((sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * CAST(count(*) - sum(y) AS DOUBLE))) AS auroc, CAST(sum(y) AS BIGINT) AS positives FROM (SELECT y, rank() OVER (ORDER BY peak) + (count(*) OVER (PARTITION BY peak) - 1) / 2.0 AS rk FROM @img) t")
 both("tier_metrics", "P30 G33", "SELECT CASE WHEN f = 0 THEN 'none' WHEN f <= 0.08 THEN 'small' WHEN f <= 0.1 THEN 'mid' ELSE 'large' END AS tier, CAST(count(*) AS BIGINT) AS n, @r(avg(mx)) AS mean_peak FROM (SELECT vec_id, avg(CAST(m AS DOUBLE)) AS f, max(s) AS mx FROM @cells GROUP BY vec_id) t GROUP BY 1")
 both("bucket_metrics", "P31 G36", "SELECT CAST(least(floor(s / 500), 9) AS INT) AS bucket, CAST(count(*) AS BIGINT) AS n, @r(avg(CAST(y AS DOUBLE))) AS share FROM @doc GROUP BY 1")
@@ -63,5 +63,5 @@ both("aupro_fast", "E05 E07 E08", "WITH t AS (SELECT k / 20.0 * (SELECT max(s) F
 both("sign_test", "H03", "WITH d AS (SELECT seed, shot, avg(zv) - avg(zt) AS d FROM @z GROUP BY seed, shot), n AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS k FROM d), b AS (SELECT i, factorial(CAST(n AS INT)) / CAST(factorial(CAST(i AS INT)) * factorial(CAST(n - i AS INT)) AS DOUBLE) * power(0.5, n) AS p, k FROM n JOIN (SELECT DISTINCT p AS i FROM @cells WHERE p <= 20) x ON i <= n) SELECT CAST(max(k) AS BIGINT) AS positives, @r(sum(CASE WHEN i >= k THEN p ELSE 0 END)) AS p_value FROM b")
 _LCG = "((b.r * 1103515245 + g.d * 12345 + b.r * g.d * 7) % (SELECT count(*) FROM c))"
 both("cluster_bootstrap", "H07", f"WITH c AS (SELECT cat, row_number() OVER (ORDER BY cat) - 1 AS i, avg(zv) - avg(zt) AS d FROM @z GROUP BY cat), b AS (SELECT DISTINCT CAST(p AS BIGINT) AS r FROM @cells), g AS (SELECT i AS d FROM c), s AS (SELECT b.r, avg(c.d) AS m FROM b JOIN g ON 1 = 1 JOIN c ON c.i = {_LCG} GROUP BY b.r) SELECT @r(avg(m)) AS mean_delta, @r(@q(m; 0.025)) AS lo, @r(@q(m; 0.975)) AS hi, @r(avg(CASE WHEN m > 0 THEN 1e0 ELSE 0e0 END)) AS p_positive FROM s")
-both("bootstrap_ci", "H01 H02 G28", f"WITH c AS (SELECT seed, shot, row_number() OVER (ORDER BY seed, shot) - 1 AS i, avg(zv) - avg(zt) AS d FROM @z GROUP BY seed, shot), b AS (SELECT DISTINCT CAST(p AS BIGINT) AS r FROM @cells), g AS (SELECT i AS d FROM c), s AS (SELECT b.r, avg(c.d) AS m FROM b JOIN g ON 1 = 1 JOIN c ON c.i = {_LCG} GROUP BY b.r) SELECT @r(avg(m)) AS mean_delta, @r(@q(m; 0.025)) AS lo, @r(@q(m; 0.975)) AS hi FROM s")
+both("bootstrap_ci", "H01 G28", f"WITH c AS (SELECT seed, shot, row_number() OVER (ORDER BY seed, shot) - 1 AS i, avg(zv) - avg(zt) AS d FROM @z GROUP BY seed, shot), b AS (SELECT DISTINCT CAST(p AS BIGINT) AS r FROM @cells), g AS (SELECT i AS d FROM c), s AS (SELECT b.r, avg(c.d) AS m FROM b JOIN g ON 1 = 1 JOIN c ON c.i = {_LCG} GROUP BY b.r) SELECT @r(avg(m)) AS mean_delta, @r(@q(m; 0.025)) AS lo, @r(@q(m; 0.975)) AS hi FROM s")
 both("conformal_p", "H05", "SELECT event_id, @r((1 + at_least) / CAST(n + 1 AS DOUBLE)) AS p FROM (SELECT event_id, ref, sum(ref) OVER (PARTITION BY cat ORDER BY vis DESC) AS at_least, sum(ref) OVER (PARTITION BY cat) AS n FROM @ev) t WHERE ref = 0")

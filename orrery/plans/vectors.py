@@ -52,7 +52,7 @@ _HALF = "(SELECT vec_id, list_transform(v[{s}], lambda x: x / sqrt(list_dot_prod
 _FUSE = "SELECT vec_id, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS v FROM (SELECT vec_id, list_concat(list_transform(v[1:32], lambda x: 0.5 * x / sqrt(list_dot_product(v[1:32], v[1:32]))), list_transform(v[33:64], lambda x: 0.5 * x / sqrt(list_dot_product(v[33:64], v[33:64])))) AS w FROM @{t}) u"
 
 
-@frame("knn_fused_concat", "V03 V04 V05 V09 J06", f"SELECT q.vec_id, @r(min({_d()})) AS score FROM ({_FUSE.replace('{t}', 'q')}) q CROSS JOIN ({_FUSE.replace('{t}', 'b')}) b GROUP BY q.vec_id")
+@frame("knn_fused_concat", "V03 V04 V09 J06", f"SELECT q.vec_id, @r(min({_d()})) AS score FROM ({_FUSE.replace('{t}', 'q')}) q CROSS JOIN ({_FUSE.replace('{t}', 'b')}) b GROUP BY q.vec_id")
 def knn_fused_concat(spark, sf_dir):
     q, b = _sides(spark, sf_dir, fv.fused(_part(0), _part(1)))
     return knn.knn_join(q, b).select(F.col("query").alias("vec_id"), _r(F.col("dist")).alias("score"))
@@ -115,7 +115,7 @@ def knn_mutual_pairs(spark, sf_dir):
     return knn.mutual(knn.knn_join(q, b), knn.knn_join(b, q)).select(F.col("query").alias("vec_id"), F.col("bank").alias("bank_id"))
 
 
-@frame("knn_band_window", "J12 J13 J14 V25", "WITH w AS (SELECT qid, min(CASE WHEN abs(qid % 8 - bid % 8) <= 1 AND abs((qid // 8) % 8 - (bid // 8) % 8) <= 1 THEN d END) AS dw, min(d) AS dg FROM @pairs GROUP BY qid) SELECT qid AS vec_id, @r(coalesce(dw, dg)) AS score, CASE WHEN dw IS NULL THEN 1 ELSE 0 END AS fell_back FROM w")
+@frame("knn_band_window", "J12 J13 J14", "WITH w AS (SELECT qid, min(CASE WHEN abs(qid % 8 - bid % 8) <= 1 AND abs((qid // 8) % 8 - (bid // 8) % 8) <= 1 THEN d END) AS dw, min(d) AS dg FROM @pairs GROUP BY qid) SELECT qid AS vec_id, @r(coalesce(dw, dg)) AS score, CASE WHEN dw IS NULL THEN 1 ELSE 0 END AS fell_back FROM w")
 def knn_band_window(spark, sf_dir):
     place = lambda df: df.withColumn("row", F.expr("(id div 8) % 8")).withColumn("col", F.expr("id % 8"))
     q, b = _sides(spark, sf_dir)
@@ -162,7 +162,7 @@ def knn_gap_ratio(spark, sf_dir):
 _RHO = f"SELECT vec_id, median(d) AS rho FROM (SELECT x.vec_id, {_d('x.v', 'y.v')} AS d, row_number() OVER (PARTITION BY x.vec_id ORDER BY round({_d('x.v', 'y.v')}, 9), y.vec_id) AS k FROM @b x JOIN @b y ON x.ri <> y.ri) u WHERE k <= 5 GROUP BY vec_id"
 
 
-@frame("local_density_ratio", "V20 V21 V22 W08", f"WITH r AS ({_RHO}) SELECT qid AS vec_id, @r(median(d / (rho + 0.000001))) AS score FROM ({_TOP}) t JOIN r ON t.bid = r.vec_id WHERE k <= 5 GROUP BY qid")
+@frame("local_density_ratio", "V20 V21 W08", f"WITH r AS ({_RHO}) SELECT qid AS vec_id, @r(median(d / (rho + 0.000001))) AS score FROM ({_TOP}) t JOIN r ON t.bid = r.vec_id WHERE k <= 5 GROUP BY qid")
 def local_density_ratio(spark, sf_dir):
     q, b = _sides(spark, sf_dir)
     rho = _loo(spark, sf_dir, 5).groupBy(F.col("query").alias("bank")).agg(F.median("dist").alias("rho"))
@@ -204,7 +204,7 @@ _MID = (
 ).replace("list(x ORDER BY p) AS v0, ", "")
 
 
-@frame("midpoint_bank_score", "V42", _MID)
+@frame("midpoint_bank_score", "", _MID)
 def midpoint_bank_score(spark, sf_dir):
     """Smaller of the distances to a bank densified by midpoints, and on the grid of 2 x 2 pooled positions (images of
     8 x 8 consecutive ids)."""
@@ -230,7 +230,7 @@ both("prototype_mean", "V57 V02", "WITH m AS (SELECT label, p, avg(x) AS m FROM
 both("channel_standardised", "B15 V33", "WITH q AS (SELECT p, median(x) AS med FROM @dims WHERE vec_id % 5 = 0 GROUP BY p), d AS (SELECT q.p, any_value(med) AS med, median(abs(x - med)) AS mad FROM @dims x JOIN q ON x.p = q.p WHERE vec_id % 5 = 0 GROUP BY q.p) SELECT vec_id, @r(sqrt(sum(power((x - med) / greatest(mad, 0.000001), 2)))) AS energy FROM @dims x JOIN d ON x.p = d.p WHERE vec_id % 5 <> 0 GROUP BY vec_id")
 both("channel_topk_select", "K13 C15", "SELECT CAST(p AS INT) AS channel, @r(sd) AS sd FROM (SELECT p, stddev_pop(x) AS sd, row_number() OVER (ORDER BY round(stddev_pop(x), 9) DESC, p) AS k FROM @dims GROUP BY p) t WHERE k <= 8")
 both("channel_corr", "C16 C19", "SELECT CAST(a.p AS INT) AS c1, CAST(b.p AS INT) AS c2, @r(corr(a.x, b.x)) AS rho FROM @dims a JOIN @dims b ON a.vec_id = b.vec_id AND a.p < b.p WHERE a.p < 8 AND b.p < 8 GROUP BY a.p, b.p")
-both("int8_quantise_error", "C09 C10 C13", "WITH s AS (SELECT vec_id, max(abs(x)) / 127.0 AS sc FROM @dims GROUP BY vec_id) SELECT d.vec_id, @r(sqrt(sum(power(x - @even(x / sc) * sc, 2)))) AS err FROM @dims d JOIN s ON d.vec_id = s.vec_id GROUP BY d.vec_id".replace("@even(x / sc)", "bround(x / sc, 0)"), "WITH s AS (SELECT vec_id, max(abs(x)) / 127.0 AS sc FROM @dims GROUP BY vec_id) SELECT d.vec_id, @r(sqrt(sum(power(x - round_even(x / sc, 0) * sc, 2)))) AS err FROM @dims d JOIN s ON d.vec_id = s.vec_id GROUP BY d.vec_id")
+both("int8_quantise_error", "C10", "WITH s AS (SELECT vec_id, max(abs(x)) / 127.0 AS sc FROM @dims GROUP BY vec_id) SELECT d.vec_id, @r(sqrt(sum(power(x - @even(x / sc) * sc, 2)))) AS err FROM @dims d JOIN s ON d.vec_id = s.vec_id GROUP BY d.vec_id".replace("@even(x / sc)", "bround(x / sc, 0)"), "WITH s AS (SELECT vec_id, max(abs(x)) / 127.0 AS sc FROM @dims GROUP BY vec_id) SELECT d.vec_id, @r(sqrt(sum(power(x - round_even(x / sc, 0) * sc, 2)))) AS err FROM @dims d JOIN s ON d.vec_id = s.vec_id GROUP BY d.vec_id")
 both("checkerboard_coreset", "C04 C05", "SELECT vec_id FROM {embeddings} WHERE vec_id % 5 = 0 AND ((vec_id // 8) % 8 + vec_id % 8) % 2 = 0")
 
 
@@ -273,7 +273,7 @@ _over_all("covariance_all", "L03 L05", "i", "j", "cov", "covar_pop(a.x, b.x)", T
 _over_all("channel_corr_all", "C16 C19", "c1", "c2", "rho", "corr(a.x, b.x)", False, _corr)
 both("joint_histogram_surprise", "L20 L21", "WITH u AS (SELECT vec_id, CAST(least(floor(8 * cume_dist() OVER (ORDER BY peak)), 7) AS INT) AS i, CAST(least(floor(8 * cume_dist() OVER (ORDER BY mean)), 7) AS INT) AS j FROM @img), h AS (SELECT i, j, (count(*) + 1 / 64.0) AS n FROM u GROUP BY i, j), t AS (SELECT sum(n) AS n FROM h), a AS (SELECT i, sum(n) AS n FROM h GROUP BY i), b AS (SELECT j, sum(n) AS n FROM h GROUP BY j) SELECT u.vec_id, @r(greatest(0, ln(CAST(a.n AS DOUBLE) * b.n / (CAST(t.n AS DOUBLE) * h.n)))) AS surprise FROM u JOIN h ON u.i = h.i AND u.j = h.j JOIN a ON u.i = a.i JOIN b ON u.j = b.j CROSS JOIN t")
 both("attention_context", "L07", "WITH w AS (SELECT a.vec_id, a.p, exp(a.s * b.s / 0.1) AS w, b.s FROM @cells a JOIN @cells b ON a.vec_id = b.vec_id AND a.r = b.r) SELECT vec_id, p, @r(sum(w * s) / sum(w)) AS v FROM w GROUP BY vec_id, p")
-both("sinkhorn_cost", "L14 L15 L16", "WITH a AS (SELECT label AS i, avg(peak) AS x FROM @img GROUP BY label), b AS (SELECT label AS j, avg(mean) AS y FROM @img GROUP BY label), c AS (SELECT i, j, abs(x - y) AS c, exp(-abs(x - y) / 0.05) AS k FROM a CROSS JOIN b), u1 AS (SELECT i, 0.1 / sum(k) AS u FROM c GROUP BY i), v1 AS (SELECT j, 0.1 / sum(k * u) AS v FROM c JOIN u1 ON c.i = u1.i GROUP BY j), u2 AS (SELECT i, 0.1 / sum(k * v) AS u FROM c JOIN v1 ON c.j = v1.j GROUP BY i), v2 AS (SELECT j, 0.1 / sum(k * u) AS v FROM c JOIN u2 ON c.i = u2.i GROUP BY j) SELECT @r(sum(u * k * v * c)) AS cost FROM c JOIN u2 ON c.i = u2.i JOIN v2 ON c.j = v2.j".replace("SELECT i, 0.1", "SELECT c.i AS i, 0.1").replace("SELECT j, 0.1", "SELECT c.j AS j, 0.1").replace("GROUP BY i)", "GROUP BY c.i)").replace("GROUP BY j)", "GROUP BY c.j)").replace("(SELECT label AS i, avg(peak) AS x FROM @img GROUP BY label)", "(SELECT label AS i, avg(peak) AS x FROM @img GROUP BY label)"))
+both("sinkhorn_cost", "L14", "WITH a AS (SELECT label AS i, avg(peak) AS x FROM @img GROUP BY label), b AS (SELECT label AS j, avg(mean) AS y FROM @img GROUP BY label), c AS (SELECT i, j, abs(x - y) AS c, exp(-abs(x - y) / 0.05) AS k FROM a CROSS JOIN b), u1 AS (SELECT i, 0.1 / sum(k) AS u FROM c GROUP BY i), v1 AS (SELECT j, 0.1 / sum(k * u) AS v FROM c JOIN u1 ON c.i = u1.i GROUP BY j), u2 AS (SELECT i, 0.1 / sum(k * v) AS u FROM c JOIN v1 ON c.j = v1.j GROUP BY i), v2 AS (SELECT j, 0.1 / sum(k * u) AS v FROM c JOIN u2 ON c.i = u2.i GROUP BY j) SELECT @r(sum(u * k * v * c)) AS cost FROM c JOIN u2 ON c.i = u2.i JOIN v2 ON c.j = v2.j".replace("SELECT i, 0.1", "SELECT c.i AS i, 0.1").replace("SELECT j, 0.1", "SELECT c.j AS j, 0.1").replace("GROUP BY i)", "GROUP BY c.i)").replace("GROUP BY j)", "GROUP BY c.j)").replace("(SELECT label AS i, avg(peak) AS x FROM @img GROUP BY label)", "(SELECT label AS i, avg(peak) AS x FROM @img GROUP BY label)"))
 
 
 @frame("pivot_pruned_knn", "V46 V47 C01 C02", "SELECT qid AS vec_id, @r(min(d)) AS score FROM @pairs GROUP BY qid")
@@ -294,7 +294,7 @@ def ridge_residual(spark, sf_dir):
     return linalg.ridge_residual(b, q, 32, 1.0).select(F.col("id").alias("vec_id"), _r(F.col("residual")).alias("residual"))
 
 
-@frame("cca_fuse", "L04 L05 L06 L08")
+@frame("cca_fuse", "L04 L05 L08")
 def cca_fuse(spark, sf_dir):
     q, b = _sides(spark, sf_dir)
     return linalg.shared_subspace(b, q, 32, 8).select(F.col("id").alias("vec_id"), _r(F.col("alignment")).alias("alignment"))
@@ -306,13 +306,13 @@ def kmeans_parts(spark, sf_dir):
     return linalg.kmeans(b, q, 8).select(F.col("id").alias("vec_id"), "part", _r(F.col("dist")).alias("dist"))
 
 
-@frame("farthest_first", "C01 C02 C03 C18 V47")
+@frame("farthest_first", "C01 C02 V47")
 def farthest_first(spark, sf_dir):
     _, b = _sides(spark, sf_dir)
     return linalg.farthest_first(b, 16)
 
 
-@frame("local_linear_residual", "V50 V51 V52 V53")
+@frame("local_linear_residual", "V50 V51")
 def local_linear_residual(spark, sf_dir):
     q, b = _sides(spark, sf_dir)
     return linalg.local_linear(q, b, 8, 0.01).select(F.col("id").alias("vec_id"), _r(F.col("residual")).alias("residual"))

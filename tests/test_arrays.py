@@ -44,8 +44,12 @@ def test_merge():
 
 
 def test_aupro():
-    m = np.array([[0.9, 0.8], [0.1, 0.2]])
-    mask = np.array([[True, True], [False, False]])
-    assert arrays.aupro([m], [[mask]]) == 1.0
+    m = np.linspace(0, 0.5, 40_000).reshape(200, 200)
+    mask = np.zeros((200, 200), dtype=bool)
+    mask[:2, :5] = True
+    apart = np.where(mask, 0.9, m)
+    assert 0.995 < arrays.aupro([apart], [[mask]]) <= 1.0
     assert arrays.aupro([m], [[]]) is None
-    assert arrays.aupro([1 - m], [[mask]]) < 0.05
+    assert arrays.aupro([1 - apart], [[mask]]) < 0.05
+    # Two normal cells: each threshold is the lower one, so the curve is a line from no overlap to all of it.
+    assert np.isclose(arrays.aupro([np.array([[0.9, 0.8], [0.1, 0.2]])], [[np.array([[True, True], [False, False]])]]), 0.15)
