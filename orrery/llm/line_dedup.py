@@ -86,42 +86,43 @@ def free(docs: DataFrame, name: str) -> str:
     return name
 
 
-def ranked(docs: DataFrame, spark: SparkSession, name: str) -> tuple[DataFrame, int]:
-    """``docs`` with the column ``name``, which orders documents as doc_id and then a hash of the text do, and the bits that the places of
-    lines need (by the longest document); ranks have the rest of 63 bits."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    per = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("longest"))
-    got = per.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("longest").alias("longest"), F.max("n").alias("n")).first()
-    bits = (got["longest"] or 0).bit_length()
-    room, own = 63 - bits, docs["doc_id"].cast("long")
-    rows = rows.select("doc_id", F.xxhash64("text").alias("th"))
-    several = (got["n"] or 0) > 1 and not rows.groupBy("doc_id").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").isEmpty()
-    if (got["lo"] is None or got["hi"] - got["lo"] < (1 << room) - 1) and not several:
-        return docs.withColumn(name, F.coalesce(own - F.lit(got["lo"] or 0) + 1, F.lit(0).cast("long"))), bits
-    ids = rows.select("doc_id", "th").distinct().repartitionByRange("doc_id", "th")
-    ids = stored(ids.withColumn("part", F.spark_partition_id()), spark, "ids")
-    parts = ids.groupBy("part").agg(F.count("*").alias("n"))
-    before = parts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
-    at, th = free(docs, "id"), free(docs, "th")
-    place = ids.join(before, "part").select(
-        F.col("doc_id").alias(at), F.col("th").alias(th), (F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "th")) + F.col("before")).alias(name)
-    )
-    return docs.join(place, own.eqNullSafe(F.col(at)) & (F.xxhash64(docs["text"]) == F.col(th))).drop(at, th), bits
-
-
-def removed_lines(docs: DataFrame, spark: SparkSession, bits: int, threshold: tuple[int, int] = (9, 10), min_words: int = 5) -> DataFrame:
+def ranked(docs: DataFrame, spark: SparkSession, name: str) -> tuple[DataFrame, int, DataFrame]:
+    """``docs`` with the column ``name``, which orders documents as doc_id and then a hash of the text do; the bits that
+    the places of lines need (by the longest document; ranks have the rest of 63 bits); and the ranks (rank) of rows whose
+    text an earlier document has."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.octet_length("text").alias("bytes"))
+    rows = stored(rows, spark, "texts")
+    got = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("bytes").alias("longest")).first()
+    bits, own = (got["longest"] or 0).bit_length(), docs["doc_id"].cast("long")
+    several = rows.groupBy("doc_id").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b")
+    if (got["lo"] is None or got["hi"] - got["lo"] < (1 << (63 - bits)) - 1) and several.isEmpty():
+        simple = lambda c: F.coalesce(c - F.lit(got["lo"] or 0) + 1, F.lit(0).cast("long"))
+        rows = rows.withColumn("rank", simple(F.col("doc_id")))
+        docs = docs.withColumn(name, simple(own))
+    else:
+        ids = rows.select("doc_id", "th").distinct().repartitionByRange("doc_id", "th")
+        ids = stored(ids.withColumn("part", F.spark_partition_id()), spark, "ids")
+        parts = ids.groupBy("part").agg(F.count("*").alias("n"))
+        before = parts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
+        at, th = free(docs, "id"), free(docs, "th")
+        number = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "th")) + F.col("before")
+        place = stored(ids.join(before, "part").select(F.col("doc_id").alias(at), F.col("th").alias(th), number.cast("long").alias(name)), spark, "ranks")
+        rows = place.select(F.col(th).alias("th"), F.col(name).alias("rank"))
+        docs = docs.join(place, own.eqNullSafe(F.col(at)) & (F.xxhash64(docs["text"]) == F.col(th))).drop(at, th)
+    first = rows.groupBy("th").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last")
+    return docs, bits, sized(stored(rows.join(sized(first), "th").where("rank > first").select("rank").distinct(), spark, "copies"))
+
+
+def removed_lines(docs: DataFrame, copies: DataFrame, spark: SparkSession, bits: int, threshold: tuple[int, int] = (9, 10), min_words: int = 5) -> DataFrame:
     """Key (rank, then place from 0 in its last ``bits`` bits) of each line that repeats an earlier one; ``docs`` has
-    rank and text."""
+    rank and text, ``copies`` the ranks of texts that stand earlier too."""
     num, den = threshold
     docs = docs.where("text is not null").select("rank", "text")
     key = F.shiftleft(F.col("rank"), bits).bitwiseOR(F.col("no").cast("long"))
-    solid = F.replace("line", F.lit(" "), F.lit("")) != ""
+    solid = F.ltrim("line") != ""
     copied = None
     if min_words <= 1:
         # Of a document that is another once more, each line with a word goes: no set of it needs to be made.
-        rows = docs.select("rank", F.xxhash64("text").alias("th"))
-        first = rows.groupBy("th").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last")
-        copies = sized(stored(rows.join(sized(first), "th").where("rank > first").select("rank").distinct(), spark, "copies"))
         copied = _lines(docs.join(copies, "rank", "left_semi")).where(solid).select(key.alias("key"))
         docs = docs.join(copies, "rank", "left_anti")
     levels = cell_levels(docs)
@@ -198,8 +199,8 @@ def removed_lines(docs: DataFrame, spark: SparkSession, bits: int, threshold: tu
 def _marked(docs: DataFrame, spark: SparkSession, threshold: tuple[int, int], min_words: int) -> tuple[DataFrame, str]:
     """``docs`` with another column, whose name comes back too: the places of lines to remove (null if none)."""
     rank, gone, at = free(docs, "rank"), free(docs, "gone"), free(docs, "at")
-    own, bits = ranked(docs, spark, rank)
-    keys = removed_lines(own.select(F.col(rank).alias("rank"), F.col("text").alias("text")), spark, bits, threshold, min_words)
+    own, bits, copies = ranked(docs, spark, rank)
+    keys = removed_lines(own.select(F.col(rank).alias("rank"), F.col("text").alias("text")), copies, spark, bits, threshold, min_words)
     places = keys.groupBy(F.shiftright("key", bits).alias(at)).agg(F.collect_list(F.col("key").bitwiseAND((1 << bits) - 1).cast("int")).alias(gone))
     places = sized(stored(places, spark, "gone"))
     return own.join(places, F.col(rank) == F.col(at), "left").drop(rank, at), gone
