@@ -1,6 +1,14 @@
 """Aggregations, windows, sets and gates over scores and labels."""
 
-from orrery.plans.kit import both
+from pyspark.sql import functions as F
+
+from orrery.operators import metrics
+from orrery.plans.kit import both, frame, spark_sql
+
+
+def _r6(c):
+    return F.round(c, 6) + F.lit(0.0)
+
 
 both("macro_mean", "G01 G02", "SELECT seed, shot, @r(avg(m)) AS macro_score, CAST(count(*) AS BIGINT) AS n_categories FROM (SELECT cat, seed, shot, avg(vis) AS m FROM @ev GROUP BY cat, seed, shot) t GROUP BY seed, shot")
 both("group_mean_std", "G03 G04 G05", "SELECT cat, shot, @r(avg(vis)) AS mean_score, @r(stddev_pop(vis)) AS sd_pop, @r(stddev_samp(vis)) AS sd_samp, @r(min(vis)) AS lo, @r(max(vis)) AS hi FROM @ev GROUP BY cat, shot")
@@ -23,7 +31,11 @@ both("kendall_tau", "H04", "SELECT label, @r(CAST(sum(sign(a1 - a2) * sign(b1 -
 both("tail_neglog_p", "W10 W11", "SELECT event_id, @r(-ln((1 + at_least) / CAST(n + 1 AS DOUBLE))) AS neglog_p FROM (SELECT event_id, ref, sum(ref) OVER (PARTITION BY cat ORDER BY vis DESC) AS at_least, sum(ref) OVER (PARTITION BY cat) AS n FROM @ev) t WHERE ref = 0")
 both("depth_slope", "W15", "SELECT cat, user_id, @r(regr_slope(vis, CAST(k AS DOUBLE))) AS slope FROM (SELECT cat, user_id, vis, row_number() OVER (PARTITION BY cat, user_id ORDER BY event_id) AS k FROM @ev) t GROUP BY cat, user_id HAVING count(*) >= 3")
 both("second_difference", "W16", "SELECT event_id, @r(lead(vis) OVER w - 2 * vis + lag(vis) OVER w) AS d2 FROM @ev WINDOW w AS (PARTITION BY cat, user_id ORDER BY event_id)")
-both("risk_coverage", "W20 E18", "SELECT k, @r(k / CAST(n AS DOUBLE)) AS coverage, @r(wrong / CAST(k AS DOUBLE)) AS risk FROM (SELECT CAST(row_number() OVER (ORDER BY s DESC, doc_id) AS BIGINT) AS k, CAST(sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) OVER (ORDER BY s DESC, doc_id) AS BIGINT) AS wrong, count(*) OVER () AS n FROM @doc) t")
+@frame("risk_coverage", "W20 E18", "SELECT k, @r(k / CAST(n AS DOUBLE)) AS coverage, @r(wrong / CAST(k AS DOUBLE)) AS risk FROM (SELECT CAST(row_number() OVER (ORDER BY s DESC, doc_id) AS BIGINT) AS k, CAST(sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) OVER (ORDER BY s DESC, doc_id) AS BIGINT) AS wrong, count(*) OVER () AS n FROM @doc) t")
+def risk_coverage(spark, sf_dir):
+    own = spark_sql(spark, sf_dir, "SELECT doc_id, CAST(s AS DOUBLE) AS s, CAST(1 AS BIGINT) AS one, CAST(CASE WHEN y = 0 THEN 1 ELSE 0 END AS BIGINT) AS bad FROM @doc")
+    got = metrics.running(own, [], [F.col("s").desc(), F.col("doc_id")], "s", {"k": "one", "wrong": "bad"})
+    return got.select("k", F.round(F.col("k") / F.col("all_k"), 6).alias("coverage"), F.round(F.col("wrong") / F.col("k"), 6).alias("risk"))
 both("ecdf_interpolate", "W13 W14", "WITH k AS (SELECT cat, vis, event_id, ref, sum(ref) OVER (PARTITION BY cat ORDER BY vis) / CAST(sum(ref) OVER (PARTITION BY cat) AS DOUBLE) AS f FROM @ev), n AS (SELECT event_id, ref, vis, max(CASE WHEN ref = 1 THEN vis END) OVER a AS x1, max(CASE WHEN ref = 1 THEN f END) OVER a AS f1, min(CASE WHEN ref = 1 THEN vis END) OVER b AS x2, min(CASE WHEN ref = 1 THEN f END) OVER b AS f2 FROM k WINDOW a AS (PARTITION BY cat ORDER BY vis RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY cat ORDER BY vis DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT event_id, @r(CASE WHEN f1 IS NULL THEN 0 WHEN x2 IS NULL OR x2 = x1 THEN f1 ELSE f1 + (f2 - f1) * (vis - x1) / (x2 - x1) END) AS ecdf FROM n WHERE ref = 0")
 
 both("loo_variant_select", "K05", "WITH g AS (SELECT cat, shot, avg(vis) AS m FROM @ev GROUP BY cat, shot), o AS (SELECT a.cat AS held, b.shot, avg(b.m) AS m FROM (SELECT DISTINCT cat FROM g) a JOIN g b ON a.cat <> b.cat GROUP BY a.cat, b.shot), p AS (SELECT held, shot, row_number() OVER (PARTITION BY held ORDER BY round(m, 9) DESC, shot) AS k FROM o) SELECT p.held AS cat, CAST(p.shot AS INT) AS chosen_shot, @r(g.m) AS held_out_score FROM p JOIN g ON p.held = g.cat AND p.shot = g.shot WHERE p.k = 1")
@@ -44,18 +56,31 @@ both("gset_votes", "G31 D06", "SELECT cat, CAST(sum(CASE WHEN d > 0.02 THEN 1 EL
 both("acceptance_matrix", "D09", "SELECT cat, CASE WHEN count(*) > 10 THEN 1 ELSE 0 END AS enough, CASE WHEN max(abs(zv)) < 100000 THEN 1 ELSE 0 END AS bounded, CASE WHEN count(*) > 10 AND max(abs(zv)) < 100000 THEN 1 ELSE 0 END AS pass FROM @z GROUP BY cat")
 
 both("auroc_by_group", "E02", "SELECT lang, CASE WHEN sum(y) = 0 OR sum(y) = count(*) THEN NULL ELSE @r((sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * CAST(count(*) - sum(y) AS DOUBLE))) END AS auroc FROM (SELECT lang, y, rank() OVER (PARTITION BY lang ORDER BY s) + (count(*) OVER (PARTITION BY lang, s) - 1) / 2.0 AS rk FROM @doc) t GROUP BY lang")
-both("rank_auc", "E14", "SELECT @r((sum(CASE WHEN t = 1 THEN rk END) - sum(t) * (sum(t) + 1) / 2.0) / (sum(t) * CAST(count(*) - sum(t) AS DOUBLE))) AS auc FROM (SELECT t, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM @doc) x")
+@frame("rank_auc", "E14", "SELECT @r((sum(CASE WHEN t = 1 THEN rk END) - sum(t) * (sum(t) + 1) / 2.0) / (sum(t) * CAST(count(*) - sum(t) AS DOUBLE))) AS auc FROM (SELECT t, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM @doc) x")
+def rank_auc(spark, sf_dir):
+    own = spark_sql(spark, sf_dir, "SELECT CAST(s AS DOUBLE) AS s, t FROM @doc")
+    return metrics.auroc(own, [], "s", "t").select(_r6("auroc").alias("auc"))
 _PR = "g AS (SELECT lang, s, sum(y) AS tp, count(*) AS n FROM @doc GROUP BY lang, s), c AS (SELECT lang, s, tp, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn, sum(tp) OVER (PARTITION BY lang) AS pos FROM g WINDOW w AS (PARTITION BY lang ORDER BY s DESC))"
 both("average_precision", "E03", f"WITH {_PR} SELECT lang, @r(sum(tp / CAST(pos AS DOUBLE) * ctp / CAST(cn AS DOUBLE))) AS ap FROM c WHERE pos > 0 GROUP BY lang")
 both("f1_max", "E04", f"WITH {_PR} SELECT lang, @r(max(2.0 * ctp / CAST(cn + pos AS DOUBLE))) AS f1_max FROM c WHERE pos > 0 GROUP BY lang")
-both("ap_binary_rows", "E15", "WITH r AS (SELECT y, row_number() OVER (ORDER BY s DESC, doc_id) AS k, sum(y) OVER (ORDER BY s DESC, doc_id) AS tp, sum(y) OVER () AS pos FROM @doc) SELECT @r(sum(CASE WHEN y = 1 THEN tp / CAST(k AS DOUBLE) END) / max(pos)) AS ap FROM r")
+@frame("ap_binary_rows", "E15", "WITH r AS (SELECT y, row_number() OVER (ORDER BY s DESC, doc_id) AS k, sum(y) OVER (ORDER BY s DESC, doc_id) AS tp, sum(y) OVER () AS pos FROM @doc) SELECT @r(sum(CASE WHEN y = 1 THEN tp / CAST(k AS DOUBLE) END) / max(pos)) AS ap FROM r")
+def ap_binary_rows(spark, sf_dir):
+    own = spark_sql(spark, sf_dir, "SELECT doc_id, CAST(s AS DOUBLE) AS s, CAST(1 AS BIGINT) AS one, y FROM @doc")
+    got = metrics.running(own, [], [F.col("s").desc(), F.col("doc_id")], "s", {"k": "one", "tp": "y"})
+    return got.agg(_r6(F.sum(F.when(F.col("y") == 1, F.col("tp") / F.col("k"))) / F.max("all_tp")).alias("ap"))
 both("threshold_metrics", "E16", "SELECT lang, @r(2.0 * sum(CASE WHEN y = 1 AND s > 500 THEN 1 ELSE 0 END) / nullif(2.0 * sum(CASE WHEN y = 1 AND s > 500 THEN 1 ELSE 0 END) + sum(CASE WHEN y = 0 AND s > 500 THEN 1 ELSE 0 END) + sum(CASE WHEN y = 1 AND s <= 500 THEN 1 ELSE 0 END), 0)) AS f1 FROM @doc GROUP BY lang")
 both("rescue_harm", "E17", "SELECT lang, CAST(sum(CASE WHEN (s > 500) <> (y = 1) AND (s > 300) = (y = 1) THEN 1 ELSE 0 END) AS BIGINT) AS rescued, CAST(sum(CASE WHEN (s > 500) = (y = 1) AND (s > 300) <> (y = 1) THEN 1 ELSE 0 END) AS BIGINT) AS harmed FROM @doc GROUP BY lang")
 both("dice", "E22", "SELECT vec_id, @r(2.0 * sum(CASE WHEN s > 0.1 AND m = 1 THEN 1 ELSE 0 END) / (sum(CASE WHEN s > 0.1 THEN 1 ELSE 0 END) + sum(m) + 0.000000001)) AS dice FROM @cells GROUP BY vec_id")
 both("fp_rate", "E19", "SELECT label, @r(sum(CASE WHEN s > 0.2 AND m = 0 THEN 1 ELSE 0 END) / CAST(sum(1 - m) AS DOUBLE)) AS fpr FROM @cells GROUP BY label")
 both("patch_auroc", "E20 E13", "SELECT vec_id, @r((sum(CASE WHEN m = 1 THEN rk END) - sum(m) * (sum(m) + 1) / 2.0) / nullif(sum(m) * CAST(count(*) - sum(m) AS DOUBLE), 0)) AS auroc FROM (SELECT vec_id, m, rank() OVER (PARTITION BY vec_id ORDER BY s) + (count(*) OVER (PARTITION BY vec_id, s) - 1) / 2.0 AS rk FROM @cells) t GROUP BY vec_id HAVING sum(m) > 0")
-both("pooled_stride_metrics", "P22 E01", "SELECT @r((sum(CASE WHEN m = 1 THEN rk END) - sum(m) * (sum(m) + 1) / 2.0) / (sum(m) * CAST(count(*) - sum(m) AS DOUBLE))) AS auroc, CAST(count(*) AS BIGINT) AS n FROM (SELECT m, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM @cells WHERE r % 2 = 0 AND c % 2 = 0) t")
-both("image_metrics", "E09 E11 E12", "SELECT @r((sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * CAST(count(*) - sum(y) AS DOUBLE))) AS auroc, CAST(sum(y) AS BIGINT) AS positives FROM (SELECT y, rank() OVER (ORDER BY peak) + (count(*) OVER (PARTITION BY peak) - 1) / 2.0 AS rk FROM @img) t")
+@frame("pooled_stride_metrics", "P22 E01", "SELECT @r((sum(CASE WHEN m = 1 THEN rk END) - sum(m) * (sum(m) + 1) / 2.0) / (sum(m) * CAST(count(*) - sum(m) AS DOUBLE))) AS auroc, CAST(count(*) AS BIGINT) AS n FROM (SELECT m, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM @cells WHERE r % 2 = 0 AND c % 2 = 0) t")
+def pooled_stride_metrics(spark, sf_dir):
+    own = spark_sql(spark, sf_dir, "SELECT s, m FROM @cells WHERE r % 2 = 0 AND c % 2 = 0")
+    return metrics.auroc(own, [], "s", "m").select(_r6("auroc").alias("auroc")).join(own.agg(F.count("*").alias("n")))
+@frame("image_metrics", "E09 E11 E12", "SELECT @r((sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * CAST(count(*) - sum(y) AS DOUBLE))) AS auroc, CAST(sum(y) AS BIGINT) AS positives FROM (SELECT y, rank() OVER (ORDER BY peak) + (count(*) OVER (PARTITION BY peak) - 1) / 2.0 AS rk FROM @img) t")
+def image_metrics(spark, sf_dir):
+    own = spark_sql(spark, sf_dir, "SELECT peak, y FROM @img")
+    return metrics.auroc(own, [], "peak", "y").select(_r6("auroc").alias("auroc")).join(own.agg(F.sum("y").cast("long").alias("positives")))
 both("tier_metrics", "P30 G33", "SELECT CASE WHEN f = 0 THEN 'none' WHEN f <= 0.08 THEN 'small' WHEN f <= 0.1 THEN 'mid' ELSE 'large' END AS tier, CAST(count(*) AS BIGINT) AS n, @r(avg(mx)) AS mean_peak FROM (SELECT vec_id, avg(CAST(m AS DOUBLE)) AS f, max(s) AS mx FROM @cells GROUP BY vec_id) t GROUP BY 1")
 both("bucket_metrics", "P31 G36", "SELECT CAST(least(floor(s / 500), 9) AS INT) AS bucket, CAST(count(*) AS BIGINT) AS n, @r(avg(CAST(y AS DOUBLE))) AS share FROM @doc GROUP BY 1")
 both("aupro_fast", "E05 E07 E08", "WITH t AS (SELECT k / 20.0 * (SELECT max(s) FROM @cells) AS th, k FROM (SELECT DISTINCT p AS k FROM @cells WHERE p <= 20) x), a AS (SELECT vec_id, s, m FROM @cells), o AS (SELECT k, vec_id, avg(CASE WHEN s > th THEN 1e0 ELSE 0e0 END) AS ov FROM a JOIN t ON 1 = 1 WHERE m = 1 GROUP BY k, vec_id), f AS (SELECT k, avg(CASE WHEN s > th THEN 1e0 ELSE 0e0 END) AS fpr FROM a JOIN t ON 1 = 1 WHERE m = 0 GROUP BY k), j AS (SELECT f.k, f.fpr, avg(o.ov) AS pro FROM f JOIN o ON f.k = o.k GROUP BY f.k, f.fpr), l AS (SELECT fpr, pro, lag(fpr) OVER (ORDER BY fpr, k DESC) AS pf, lag(pro) OVER (ORDER BY fpr, k DESC) AS pp FROM j WHERE fpr < 0.3) SELECT @r(sum((fpr - pf) * (pro + pp) / 2) / nullif(max(fpr) - min(fpr), 0)) AS aupro FROM l")

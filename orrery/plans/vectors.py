@@ -229,7 +229,6 @@ both("centroid_distance", "V37 V57", "WITH c AS (SELECT label, p, avg(x) AS m FR
 both("prototype_mean", "V57 V02", "WITH m AS (SELECT label, p, avg(x) AS m FROM @dims GROUP BY label, p) SELECT label, p, @r(m / sqrt(sum(m * m) OVER (PARTITION BY label))) AS v FROM m".replace("SELECT label, p, @r", "SELECT label, CAST(p AS INT) AS p, @r"))
 both("channel_standardised", "B15 V33", "WITH q AS (SELECT p, median(x) AS med FROM @dims WHERE vec_id % 5 = 0 GROUP BY p), d AS (SELECT q.p, any_value(med) AS med, median(abs(x - med)) AS mad FROM @dims x JOIN q ON x.p = q.p WHERE vec_id % 5 = 0 GROUP BY q.p) SELECT vec_id, @r(sqrt(sum(power((x - med) / greatest(mad, 0.000001), 2)))) AS energy FROM @dims x JOIN d ON x.p = d.p WHERE vec_id % 5 <> 0 GROUP BY vec_id")
 both("channel_topk_select", "K13 C15", "SELECT CAST(p AS INT) AS channel, @r(sd) AS sd FROM (SELECT p, stddev_pop(x) AS sd, row_number() OVER (ORDER BY round(stddev_pop(x), 9) DESC, p) AS k FROM @dims GROUP BY p) t WHERE k <= 8")
-both("channel_corr", "C16 C19", "SELECT CAST(a.p AS INT) AS c1, CAST(b.p AS INT) AS c2, @r(corr(a.x, b.x)) AS rho FROM @dims a JOIN @dims b ON a.vec_id = b.vec_id AND a.p < b.p WHERE a.p < 8 AND b.p < 8 GROUP BY a.p, b.p")
 both("int8_quantise_error", "C10", "WITH s AS (SELECT vec_id, max(abs(x)) / 127.0 AS sc FROM @dims GROUP BY vec_id) SELECT d.vec_id, @r(sqrt(sum(power(x - @even(x / sc) * sc, 2)))) AS err FROM @dims d JOIN s ON d.vec_id = s.vec_id GROUP BY d.vec_id".replace("@even(x / sc)", "bround(x / sc, 0)"), "WITH s AS (SELECT vec_id, max(abs(x)) / 127.0 AS sc FROM @dims GROUP BY vec_id) SELECT d.vec_id, @r(sqrt(sum(power(x - round_even(x / sc, 0) * sc, 2)))) AS err FROM @dims d JOIN s ON d.vec_id = s.vec_id GROUP BY d.vec_id")
 both("checkerboard_coreset", "C04 C05", "SELECT vec_id FROM {embeddings} WHERE vec_id % 5 = 0 AND ((vec_id // 8) % 8 + vec_id % 8) % 2 = 0")
 
@@ -241,8 +240,6 @@ def citation_coreset(spark, sf_dir):
     return knn.knn_join(own, own, other="own").groupBy(F.col("bank").alias("vec_id")).agg(F.count("*").alias("citations"))
 
 
-both("gram_matrix", "L01 L12", "SELECT CAST(a.p AS INT) AS i, CAST(b.p AS INT) AS j, @r(sum(a.x * b.x)) AS g FROM @dims a JOIN @dims b ON a.vec_id = b.vec_id AND a.p <= b.p WHERE a.p < 16 AND b.p < 16 GROUP BY a.p, b.p")
-both("covariance", "L03 L05", "SELECT CAST(a.p AS INT) AS i, CAST(b.p AS INT) AS j, @r(covar_pop(a.x, b.x)) AS cov FROM @dims a JOIN @dims b ON a.vec_id = b.vec_id AND a.p <= b.p WHERE a.p < 16 AND b.p < 16 GROUP BY a.p, b.p")
 def _cov(n, total, gram):
     return gram / n - np.outer(total / n, total / n)
 
