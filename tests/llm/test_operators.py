@@ -228,6 +228,17 @@ def test_licenses(spark, docs, awkward):
     assert [s["label"] for s in got[3]["spans"]] == ["bsd"] and got[1]["spans"]
 
 
+def test_licenses_in_a_row_and_whole(spark):
+    notice, own = "Licensed under CC BY 4.0. ", license_scan.TEMPLATES
+    rows = [(1, notice * 4), (2, "before it " + own["mit"][1] + " after it"), (3, own["bsd"][2].replace("without", "with no", 1)), (4, " ".join(own["isc"][1].split()[:20]))]
+    got = {r["doc_id"]: r["spans"] or [] for r in license_scan.license_labels(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect()}
+    assert [(s["first"], s["last"]) for s in got[1] if s["label"] == "cc-by"] == [(6 * k, 6 * k + 5) for k in range(4)]
+    words = len(WORD.findall(own["mit"][1].lower()))
+    assert (2, 2 + words - 1, 1.0) in [(s["first"], s["last"], s["score"]) for s in got[2]] and {s["label"] for s in got[2]} == {"mit"}
+    assert max(s["score"] for s in got[3]) > 0.95 and {s["label"] for s in got[3]} == {"bsd"}
+    assert {s["label"] for s in got[4]} <= {"isc"}
+
+
 def jaccard(a, b):
     return len(a & b), len(a | b)
 
