@@ -19,7 +19,9 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.llm._merges import WordMerges
 from orrery.llm._store import small_batches, tidy
 
 #: Numbers that one task can give to its sequences.
@@ -40,37 +43,81 @@ class WordTokens:
     most twice ``keep`` runs are held, those in use among them. Other tokenizers get whole texts."""
 
     LONGEST = 64
+    #: Letters whose lower case and normal form depend on nothing around them, perhaps with ASCII marks behind.
+    _plain = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, keep: int = 150_000):
+    def __init__(self, path: str, keep: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tok, self.keep, self.young, self.old = Tokenizer.from_file(path), keep, {"": b""}, {}
         parts = ("One two", "three", ", four. ", "5 six'")
-        self.divides = all(self._encode([f"{a}{s}{b}"])[0] == b"".join(self._encode([a, b])) for a in parts for b in parts for s in " \n\t\r")
+        self.divides = all(self._slow([f"{a}{s}{b}"])[0] == b"".join(self._slow([a, b])) for a in parts for b in parts for s in " \n\t\r")
+        self.merges, self.marks = (WordMerges.load(path) if self.divides else None), {"": b""}
+        probe = ["Words", "müssen", "être", "a", "ŽÀ", "xqzzkvw", "interoperability", "Don"]
+        if self.merges and any(self._encode([w, w + ".)"]) != self._slow([w, w + ".)"]) for w in probe):
+            self.merges = None
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _slow(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs: plain words by their merges, anything else by the tokenizer itself."""
+        if not self.merges:
+            return self._slow(runs)
+        words, own, ends, rest = [], [], [], []
+        for i, run in enumerate(runs):
+            m = self._plain.fullmatch(run) if len(run) <= self.LONGEST else None
+            if m and max(m[1]) < "\u0250" and "\u0130" not in m[1]:
+                words.append(m[1].lower().encode())
+                own.append(i)
+                ends.append(m[2])
+            else:
+                rest.append(i)
+        marks = list(set(ends) - self.marks.keys())
+        self.marks.update(zip(marks, self._slow(marks), strict=True))
+        out: list = [b""] * len(runs)
+        for i, ids, end in zip(own, self.merges.encode(words), ends, strict=True):
+            out[i] = ids + self.marks[end]
+        for i, ids in zip(rest, self._slow([runs[i] for i in rest]), strict=True):
+            out[i] = ids
+        if len(self.marks) > 10_000:
+            self.marks = {"": b""}
+        return out
+
     def _learn(self, runs: set[str]) -> dict[str, bytes]:
         old = self.old
         out = {r: old[r] for r in runs if r in old}
         new = [r for r in runs if r not in out]
-        for i in range(0, len(new), 4096):
-            out.update(zip(new[i : i + 4096], self._encode(new[i : i + 4096]), strict=True))
+        out.update(zip(new, self._encode(new), strict=True))
         if len(self.young) + len(out) > self.keep:
             self.old, self.young = self.young, {"": b""}
         self.young.update((r, x) for r, x in out.items() if len(r) <= self.LONGEST)
         return out
 
     def __call__(self, text: str) -> np.ndarray:
+        return next(self.many([text]))
+
+    def many(self, texts: list[str], together: int = 4 << 20) -> Iterator[np.ndarray]:
+        """Ids of each text; runs that are new are looked up for about ``together`` characters at once."""
         if not self.divides:
-            return np.frombuffer(self._encode([text])[0], dtype=np.uint32)
-        runs = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        got = list(map(self.young.get, runs))
-        if None in got:
-            new = self._learn({r for r, x in zip(runs, got, strict=True) if x is None})
-            got = [new[r] if x is None else x for r, x in zip(runs, got, strict=True)]
-        return np.frombuffer(b"".join(got), dtype=np.uint32)
+            for text in texts:
+                yield np.frombuffer(self._slow([text])[0], dtype=np.uint32)
+            return
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= together):
+                size += len(texts[hi])
+                hi += 1
+            rows = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[lo:hi]]
+            known = self.young
+            found = [list(map(known.get, runs)) for runs in rows]
+            missed = [None in got for got in found]
+            new = self._learn({r for runs, got, m in zip(rows, found, missed, strict=True) if m for r, x in zip(runs, got, strict=True) if x is None}) if any(missed) else {}
+            for runs, got, m in zip(rows, found, missed, strict=True):
+                own = [new[r] if x is None else x for r, x in zip(runs, got, strict=True)] if m else got
+                yield np.frombuffer(b"".join(own), dtype=np.uint32)
+            lo = hi
 
 
 @lru_cache(1)
@@ -196,8 +243,9 @@ def pack(
         key = 0
         for batch in batches:
             said = batch.column(2).to_pylist() if bears else [None] * len(batch)
-            for doc_id, text, which in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), said, strict=True):
-                own = np.append(encode(text or ""), np.uint32(end)).astype("<u4")
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for doc_id, ids_of, which in zip(batch.column(0).to_pylist(), encode.many(texts), said, strict=True):
+                own = np.append(ids_of, np.uint32(end)).astype("<u4")
                 ids[key] = [doc_id, own, len(own), None if which is None else loss_before(len(own), which)]
                 start, size = 0, len(own)
                 while start < size:
