@@ -19,6 +19,7 @@ Repeated rows each get a row. Extra columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import _text as tx
-from orrery.llm._store import small_batches, tidy
+from orrery.llm._store import give_back, small_batches, tidy
 
 STEPS = (2, 3, 4, 5, 6, 8, 10, 12, 15)
 _PARAMS = dict(
@@ -50,37 +51,95 @@ def _document_words(text: str) -> set[str]:
     return {w.decode("utf-8", "replace") for w in out}
 
 
-def _ngrams(word: str) -> list[tuple[str, int]]:
-    return [(word[i : i + n], i) for n in (5, 6) for i in range(len(word) - n + 1)]
-
-
-def telling_passages(toxic: Counter, ordinary: Counter, n_toxic: int, n_ordinary: int, least: float = 5.0, docs: int = 4) -> list[str]:
-    """Parts of toxic documents' words by how often they tell, most often first."""
-    in_toxic, in_ordinary = Counter(), Counter()
-    for counts, into in ((toxic, in_toxic), (ordinary, in_ordinary)):
-        for word, k in counts.items():
-            for g in {g for g, _ in _ngrams(f" {word} ")}:
-                into[g] += k
-    z = {}
-    for g, k in in_toxic.items():
-        if k >= docs:
-            p, q = k / n_toxic, in_ordinary[g] / n_ordinary
-            if q < 0.35 * p:
-                z[g] = (p - q) / np.sqrt((k + in_ordinary[g] + 1) / (n_toxic + n_ordinary) * (1 / n_toxic + 1 / n_ordinary))
+def _grams(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of characters of words between blanks, the index of each one's word, and its place there."""
+    codes = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    size = np.array([len(w) + 2 for w in words], dtype=np.int64)
+    first = np.cumsum(size) - size
+    word = np.repeat(np.arange(len(words)), np.maximum(size - n + 1, 0))
+    place = np.arange(len(word)) - np.repeat(np.cumsum(np.maximum(size - n + 1, 0)) - np.maximum(size - n + 1, 0), np.maximum(size - n + 1, 0))
+    h, at = np.full(len(word), n, dtype=np.uint64), first[word] + place
+    for k in range(n):
+        h = tx.mix(h * np.uint64(0xD1342543DE82EF95) + codes[at + k].astype(np.uint64))
+    return h, word, place
+
+
+def _once(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Where a gram stands in its word for the first time."""
+    return np.unique(tx.mix(h + tx.mix(word.astype(np.uint64))), return_index=True)[1]
+
+
+def _word_counts(texts: list[str], together: int = 500) -> Iterator[Counter]:
+    """How many documents have each word, by blocks of documents."""
+    for lo in range(0, len(texts), together):
+        out: Counter = Counter()
+        for text in texts[lo : lo + together]:
+            out.update(_document_words(text))
+        yield out
+
+
+def _gram_counts(texts: list[str], n: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams (of ``among``, if given) and the sum over their words of the documents that have the word."""
+    total, many = np.zeros(0, np.uint64), np.zeros(0)
+    for counts in _word_counts(texts):
+        h, word, _ = _grams(list(counts), n)
+        if among is not None:
+            hit = np.isin(h, among)
+            h, word = h[hit], word[hit]
+        at = _once(h, word)
+        times = np.array(list(counts.values()), dtype=float)[word[at]]
+        total, inverse = np.unique(np.concatenate([total, h[at]]), return_inverse=True)
+        many = np.bincount(inverse, weights=np.concatenate([many, times]), minlength=len(total))
+    return total, many
+
+
+def common_words(texts: list[str], most: int) -> list[str]:
+    """Words that most documents have, most frequent first."""
+    seen = [np.unique(np.concatenate([b.hashes() for b in tx.blocks(pa.array([t]), tx.ALNUM)] or [np.zeros(0, np.uint64)])) for t in texts]
+    keys, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_counts=True)
+    top = keys[np.lexsort((keys, -n))[:most]]
+    word: dict[int, str] = {}
+    for text, own in zip(texts, seen, strict=True):
+        if any(int(k) not in word for k in own[np.isin(own, top)]):
+            for block in tx.blocks(pa.array([text]), tx.ALNUM):
+                h = block.hashes()
+                for i in np.flatnonzero(np.isin(h, top)).tolist():
+                    word.setdefault(int(h[i]), block.word(i))
+    return [word[int(k)] for k in top]
+
+
+def telling_passages(toxic: list[str], ordinary: list[str], least: float = 5.0, docs: int = 4) -> list[str]:
+    """Parts of toxic texts' words by how often they tell, most often first."""
+    n_toxic, n_ordinary, telling = max(1, len(toxic)), max(1, len(ordinary)), {}
+    for n in (5, 6):
+        grams, seen = _gram_counts(toxic, n)
+        # Only grams that stand in enough toxic documents are asked for; the rest need no count.
+        grams, seen = grams[seen >= docs], seen[seen >= docs]
+        had, times = _gram_counts(ordinary, n, grams)
+        plain = np.zeros(len(grams))
+        plain[np.searchsorted(grams, had)] = times
+        p, q = seen / n_toxic, plain / n_ordinary
+        z = (p - q) / np.sqrt((seen + plain + 1) / (n_toxic + n_ordinary) * (1 / n_toxic + 1 / n_ordinary))
+        good = (q < 0.35 * p) & (z >= least)
+        telling[n] = grams[good], z[good]
     parts: Counter = Counter()
-    for word, k in toxic.items():
-        own = f" {word} "
-        grams = [(g, i) for g, i in _ngrams(own) if z.get(g, 0) >= least]
-        if not grams:
-            continue
-        best = max(z[g] for g, _ in grams)
-        told = np.zeros(len(own) + 2, dtype=bool)
-        for g, i in grams:
-            if z[g] >= 0.6 * best:
-                told[i + 1 : i + 1 + len(g)] = True
-        edge = np.diff(told.astype(int))
-        for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-            parts[own[a:b]] += k
+    for counts in _word_counts(toxic):
+        words, told = list(counts), {}
+        for n, (grams, z) in telling.items():
+            h, word, place = _grams(words, n) if len(grams) else (np.zeros(0, np.uint64),) * 3
+            j = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
+            for i in np.flatnonzero(grams[j] == h).tolist() if len(grams) else []:
+                told.setdefault(int(word[i]), []).append((int(place[i]), n, float(z[j[i]])))
+        for w in sorted(told):
+            own = f" {words[w]} "
+            best = max(x for *_, x in told[w])
+            mask = np.zeros(len(own) + 2, dtype=bool)
+            for i, n, x in told[w]:
+                if x >= 0.6 * best:
+                    mask[i + 1 : i + 1 + n] = True
+            edge = np.diff(mask.astype(int))
+            for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+                parts[own[a:b]] += counts[words[w]]
     return [p for p, _ in parts.most_common(1000)]
 
 
@@ -106,7 +165,7 @@ class CompressionModel:
             self._ready = (*made, {})
         return self._ready
 
-    def features(self, col: pa.Array, keep: int = 500_000) -> np.ndarray:
+    def features(self, col: pa.Array, keep: int = 300_000) -> np.ndarray:
         """One row a document, from the distances of all its words."""
         plain, toxic, known = self._compressors()
         out = []
@@ -163,29 +222,34 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000) -> Compressi
     rows = docs.select("doc_id", "text").join(F.broadcast(own.dropDuplicates(["doc_id"])), "doc_id").orderBy("doc_id").select("text", "toxic").toPandas()
     # Copies say nothing new; each text counts once.
     rows = rows.assign(text=rows["text"].fillna("")).drop_duplicates("text")
-    text, y = rows["text"].tolist(), rows["toxic"].to_numpy()
+    text, y = rows["text"].tolist(), rows["toxic"].to_numpy().copy()
+    del rows
+    give_back()
     if len(set(y.tolist())) < 2:
         return None
 
     def built(use: np.ndarray) -> CompressionModel:
-        dfs, n = (Counter(), Counter()), [max(1, int((use & (y == k)).sum())) for k in (0, 1)]
-        for i in np.flatnonzero(use):
-            dfs[y[i]].update(_document_words(text[i]))
+        own = [[text[i] for i in np.flatnonzero(use & (y == k))] for k in (0, 1)]
         # What is likeliest to be met stands last, nearest to the window.
-        common = " ".join(w for w, _ in reversed(dfs[0].most_common(4000))) + " "
-        return CompressionModel(common.encode(), " ".join(reversed(telling_passages(dfs[1], dfs[0], n[1], n[0]))).encode())
+        common = " ".join(reversed(common_words(own[0], 4000))) + " "
+        return CompressionModel(common.encode(), " ".join(reversed(telling_passages(own[1], own[0]))).encode())
 
     # The logistic model sees each document under dictionaries made without it.
     half, column = np.arange(len(y)) % 2 == 0, pa.array(text)
     x = np.zeros((len(y), 3 * len(STEPS) + 1))
     for use in (half, ~half):
-        x[~use] = built(use).features(column.filter(pa.array(~use)))
+        x[~use] = built(use).features(column.filter(pa.array(~use)), keep=50_000)
+        give_back()
     model = built(np.ones(len(y), dtype=bool))
     total = have[0] + have[1]
     prior = {k: have[k] / total for k in (0, 1)}
     size = {k: int((y == k).sum()) for k in (0, 1)}
     weight = np.array([prior[int(k)] * len(y) / size[int(k)] for k in y])
-    return model.fit(x, y, weight)
+    model.fit(x, y, weight)
+    model._ready = None
+    del text, column
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: CompressionModel | None, columns: list[str] | None = None, name: str = "score") -> DataFrame:
