@@ -374,3 +374,57 @@ def test_pipeline(spark):
         before = docs.count()
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.select("doc_id").distinct().count() == before
+
+
+@pytest.mark.parametrize("name", ["op5_decontaminate", "op7_line_dedup", "op8_ngram_join", "op10_chat_format"])
+def test_sql(spark, sf, name):
+    from orrery.llm.sql import ORACLES
+    from tests.oracle import connect, same
+
+    assert not same(spark, connect(sf), sf, getattr(queries, name), ORACLES[name])
+
+
+def test_merges():
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    path, r = queries.tokenizer_path("word_bpe_49k.json"), random.Random(2)
+    tok, own = Tokenizer.from_file(path), packing.WordTokens(path, keep=300)
+    assert own.divides and own.merges
+    letters = "aaeeiioouuttnnssrrhhldbcdfgjkmpqvwxyzABCXYZäöüßéèñçŁžŒÆ"
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 24))) + r.choice(["", "", ".", ",...", "***", "!?", "'s", "-x", "7", "\u0301", "İ", "_", "<|endoftext|>"]) for _ in range(4000)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 60))) + r.choice(["", "\n", " \t \r\n"]) for _ in range(200)]
+    for got, text in zip(own.many(texts, together=3000), texts, strict=True):
+        assert got.tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert np.array_equal(own("x" * 3000), tok.encode("x" * 3000, add_special_tokens=False).ids)
+    bytes_ = packing.WordTokens(queries.tokenizer_path("byte_bpe_50k.json"))
+    assert not bytes_.divides and bytes_("two words").tolist() == bytes_.tok.encode("two words", add_special_tokens=False).ids
+
+
+def test_role_with_brackets(spark):
+    rows = [(1, 0, "a] b", "x"), (1, 1, "[TURN q] ", "] y [/TURN]"), (1, 2, "assistant", "]")]
+    got = chat_format.digests(chat_format.prefix_target_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
+
+
+def test_stages_with_repeats_and_no_ids(spark):
+    near = " ".join(f"n{k}" for k in range(60))
+    rows = [(None, near, "a"), (None, near, "b"), (7, near + " end", "c"), (3, near, "d"), (3, "quite another text of its own", "e"), (4, "single", "f"), (4, "single", "g"), (None, None, "h"), (9, "", "i")]
+    made = spark.createDataFrame(rows, "doc_id long, text string, __gone string")
+    kept = sorted(r[2] for r in ngram_join.keep_one_of_each(made, spark).collect())
+    assert kept in (["d", "e", "f", "h", "i"], ["d", "e", "g", "h", "i"])
+    got = ngram_join.near_duplicate_classes(made, spark).collect()
+    assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in got if r["n_shingles"] > 50) == [(-1, 56, 3), (-1, 56, 3), (3, 56, 3), (7, 57, 3)]
+    assert ngram_join.keep_one_of_each(made.limit(0), spark).count() == 0
+    for columns in (["rank", "gone"], ["id", "th"], ["__rank", "at"]):
+        own = made.select("doc_id", "text", *[F.lit(k).alias(c) for k, c in enumerate(columns)])
+        assert line_dedup.drop_repeated_lines(own, spark, min_words=1).columns == own.columns
+
+
+def test_copied_documents(spark):
+    text = "first line of it\n\nsecond line of it"
+    rows = [(5, text), (2, text), (2, text), (9, text + "\nmore"), (1, "other words")]
+    got = sorted((r["doc_id"], r["n_removed"], r["text"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), spark, min_words=1).collect())
+    assert got == [(1, 0, "other words"), (2, 0, text), (2, 0, text), (5, 2, ""), (9, 2, "\nmore")]
