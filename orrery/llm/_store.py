@@ -64,6 +64,13 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def free(columns: list[str], name: str) -> str:
+    """``name``, or a longer one that no column has."""
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Texts can be long: hold fewer rows in an Arrow batch than Spark's default, unless the session set a number."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
@@ -80,10 +87,18 @@ def give_back() -> None:
         pass
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` for mapInArrow, giving the memory of a task back to the system at its end: workers outlive tasks."""
+#: What a worker keeps from task to task, and how to let go of it: tasks of other operators do so first.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def tidy(run: Callable[[Iterator], Iterator], keeps: str | None = None) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, giving the memory of a task back to the system at its end, as workers outlive tasks;
+    before it, also what other operators have kept in the worker (``keeps`` names what stays)."""
 
     def clean(batches):
+        for name, drop in _kept.items():
+            if name != keeps:
+                drop()
         yield from run(batches)
         give_back()
 

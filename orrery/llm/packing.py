@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm._merges import WordMerges
-from orrery.llm._store import small_batches, tidy
+from orrery.llm._store import _kept, small_batches, tidy
 
 #: Numbers that one task can give to its sequences.
 PER_TASK = 1 << 36
@@ -124,6 +124,7 @@ class WordTokens:
 def word_tokens(path: str) -> WordTokens:
     """One for all tasks of a process."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    _kept["tokens"] = word_tokens.cache_clear
     return WordTokens(path)
 
 
@@ -283,7 +284,7 @@ def pack(
                 yield flush()
         yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([bears] if bears else [])).mapInArrow(tidy(run), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([bears] if bears else [])).mapInArrow(tidy(run, keeps="tokens"), schema)
 
 
 def crc32(ids: bytes) -> int:

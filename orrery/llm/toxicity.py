@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import _text as tx
-from orrery.llm._store import give_back, small_batches, tidy
+from orrery.llm._store import free, give_back, small_batches, tidy
 
 STEPS = (2, 3, 4, 5, 6, 8, 10, 12, 15)
 _PARAMS = dict(
@@ -255,15 +255,18 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000) -> Compressi
 def score(docs: DataFrame, model: CompressionModel | None, columns: list[str] | None = None, name: str = "score") -> DataFrame:
     """``columns`` of ``docs`` (doc_id) and the score, 0 to 1, of each whole text."""
     columns = columns or ["doc_id"]
+    text_name = free([*columns, name], "text")
 
     def run(batches):
         for batch in batches:
             text = batch.column(len(columns))
             s = np.zeros(len(batch)) if model is None else model.scores(text)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(s, pa.float64())], names=[*columns, name])
+        if model is not None:
+            model._ready = None
 
-    kept = docs.select(*columns, F.col("text").alias("__text"))
-    schema = kept.drop("__text").schema.add(name, "double")
+    kept = docs.select(*columns, F.col("text").alias(text_name))
+    schema = docs.select(*columns).schema.add(name, "double")
     return kept.mapInArrow(tidy(run), schema)
 
 
@@ -277,4 +280,5 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, spark: SparkSession, at: fl
     """``docs`` without documents whose score is ``at`` or more, learnt from ``training`` (or ``docs``) and ``labels``;
     all columns stay as they are."""
     small_batches(spark)
-    return score(docs, train(docs if training is None else training, labels), docs.columns, "__toxic").where(F.col("__toxic") < at).drop("__toxic")
+    name = free(docs.columns, "toxic")
+    return score(docs, train(docs if training is None else training, labels), docs.columns, name).where(F.col(name) < at).drop(name)
