@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.llm import _text as tx
 from orrery.llm._merges import WordMerges
 from orrery.llm._store import _kept, small_batches, tidy
 
@@ -37,21 +38,68 @@ from orrery.llm._store import _kept, small_batches, tidy
 PER_TASK = 1 << 36
 
 
+class RunTable:
+    """What runs of characters become, by 64-bit hash: open addressing in arrays, so a million runs take some 40 MB. When
+    ``most`` are held it starts anew."""
+
+    def __init__(self, most: int):
+        self.most, self.slots = most, 1 << max(8, (2 * most - 1).bit_length())
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.own = np.zeros(self.slots, dtype=np.uint64), np.zeros(self.slots, dtype=np.int32)
+        self.start, self.ids = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+        self.held = 0
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (self.slots - 1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each run, -1 where it is not held."""
+        at = self._slot(h)
+        key = self.keys[at]
+        out = np.where(key == h, self.own[at], -1)
+        todo = np.flatnonzero((key != h) & (key != 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (self.slots - 1)
+            key = self.keys[at[todo]]
+            hit = key == h[todo]
+            out[todo[hit]] = self.own[at[todo[hit]]]
+            todo = todo[~hit & (key != 0)]
+        return out
+
+    def add(self, h: np.ndarray, ids: list[bytes]) -> None:
+        """Runs that are not held yet, each once."""
+        size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), dtype="<u4")])
+        left, at = np.arange(len(h)), self._slot(h)
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[left[free]]
+            mine = self.keys[at] == h[left]
+            self.own[at[mine]] = self.held + left[mine]
+            left, at = left[~mine], (at[~mine] + 1) & (self.slots - 1)
+        self.held += len(h)
+
+
 class WordTokens:
-    """Ids of texts under a tokenizer. Where it never joins what white space divides, ids of runs are kept and reused, in
-    two generations: when the young one is full it becomes the old one, and runs met again come back from there. So at
-    most twice ``keep`` runs are held, those in use among them. Other tokenizers get whole texts."""
+    """Ids of texts under a tokenizer. Where it never joins what white space divides and puts words in lower case, ids of
+    runs are kept (by hash) and reused, of at most ``keep`` runs. Other tokenizers get whole texts, and so do texts with
+    a special token's beginning."""
 
     LONGEST = 64
+    _solid = tx._lut(lambda b: b not in b" \n\t\r")
     #: Letters whose lower case and normal form depend on nothing around them, perhaps with ASCII marks behind.
     _plain = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 1_200_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.keep, self.young, self.old = Tokenizer.from_file(path), keep, {"": b""}, {}
+        self.tok, self.table = Tokenizer.from_file(path), RunTable(keep)
         parts = ("One two", "three", ", four. ", "5 six'")
         self.divides = all(self._slow([f"{a}{s}{b}"])[0] == b"".join(self._slow([a, b])) for a in parts for b in parts for s in " \n\t\r")
+        self.divides = self.divides and self._slow(["ABC aBc"]) == self._slow(["abc abc"])
         self.merges, self.marks = (WordMerges.load(path) if self.divides else None), {"": b""}
         probe = ["Words", "müssen", "être", "a", "ŽÀ", "xqzzkvw", "interoperability", "Don"]
         if self.merges and any(self._encode([w, w + ".)"]) != self._slow([w, w + ".)"]) for w in probe):
@@ -84,40 +132,44 @@ class WordTokens:
             self.marks = {"": b""}
         return out
 
-    def _learn(self, runs: set[str]) -> dict[str, bytes]:
-        old = self.old
-        out = {r: old[r] for r in runs if r in old}
-        new = [r for r in runs if r not in out]
-        out.update(zip(new, self._encode(new), strict=True))
-        if len(self.young) + len(out) > self.keep:
-            self.old, self.young = self.young, {"": b""}
-        self.young.update((r, x) for r, x in out.items() if len(r) <= self.LONGEST)
-        return out
-
     def __call__(self, text: str) -> np.ndarray:
-        return next(self.many([text]))
+        return next(self.many(pa.array([text], pa.string())))
 
-    def many(self, texts: list[str], together: int = 4 << 20) -> Iterator[np.ndarray]:
-        """Ids of each text; runs that are new are looked up for about ``together`` characters at once."""
+    def many(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text; null ones have none."""
         if not self.divides:
-            for text in texts:
-                yield np.frombuffer(self._slow([text])[0], dtype=np.uint32)
+            for text in texts.to_pylist():
+                yield np.frombuffer(self._slow([text or ""])[0], dtype=np.uint32)
             return
-        lo = 0
-        while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= together):
-                size += len(texts[hi])
-                hi += 1
-            rows = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[lo:hi]]
-            known = self.young
-            found = [list(map(known.get, runs)) for runs in rows]
-            missed = [None in got for got in found]
-            new = self._learn({r for runs, got, m in zip(rows, found, missed, strict=True) if m for r, x in zip(runs, got, strict=True) if x is None}) if any(missed) else {}
-            for runs, got, m in zip(rows, found, missed, strict=True):
-                own = [new[r] if x is None else x for r, x in zip(runs, got, strict=True)] if m else got
-                yield np.frombuffer(b"".join(own), dtype=np.uint32)
-            lo = hi
+        table = self.table
+        for block in tx.blocks(texts, self._solid):
+            h = np.maximum(block.hashes(), np.uint64(1))
+            own = table.find(h)
+            new, at = np.unique(h[own < 0], return_index=True)
+            if len(new):
+                if table.held + len(new) > table.most:
+                    table.clear()
+                    new, at = np.unique(h, return_index=True)
+                else:
+                    at = np.flatnonzero(own < 0)[at]
+                raw = block.data.tobytes()
+                runs = [raw[a:b].decode("utf-8", "replace") for a, b in zip(block.starts[at].tolist(), block.ends[at].tolist(), strict=True)]
+                if len(new) > table.most:  # more than can ever be held: look this block up by itself
+                    table = RunTable(len(new))
+                table.add(new, self._encode(runs))
+                own = table.find(h)
+            first, size = table.start[own], table.start[own + 1] - table.start[own]
+            upto = np.concatenate([[0], np.cumsum(size)])
+            ids = table.ids[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])]
+            table = self.table
+            special = np.flatnonzero((block.data[:-1] == 60) & (block.data[1:] == 124)) if len(block.data) else np.zeros(0, np.int64)
+            whole = set((np.searchsorted(block.offs, special, side="right") - 1).tolist())
+            for i, (a, b) in enumerate(zip(upto[block.first[:-1]].tolist(), upto[block.first[1:]].tolist(), strict=True)):
+                if i in whole:
+                    text = block.data[block.offs[i] : block.offs[i + 1]].tobytes().decode("utf-8", "replace")
+                    yield np.frombuffer(self._slow([text])[0], dtype=np.uint32)
+                else:
+                    yield ids[a:b]
 
 
 @lru_cache(1)
@@ -244,8 +296,7 @@ def pack(
         key = 0
         for batch in batches:
             said = batch.column(2).to_pylist() if bears else [None] * len(batch)
-            texts = [text or "" for text in batch.column(1).to_pylist()]
-            for doc_id, ids_of, which in zip(batch.column(0).to_pylist(), encode.many(texts), said, strict=True):
+            for doc_id, ids_of, which in zip(batch.column(0).to_pylist(), encode.many(batch.column(1)), said, strict=True):
                 own = np.append(ids_of, np.uint32(end)).astype("<u4")
                 ids[key] = [doc_id, own, len(own), None if which is None else loss_before(len(own), which)]
                 start, size = 0, len(own)

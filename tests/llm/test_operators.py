@@ -388,6 +388,7 @@ def test_merges():
     import random
 
     import numpy as np
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     path, r = queries.tokenizer_path("word_bpe_49k.json"), random.Random(2)
@@ -396,7 +397,7 @@ def test_merges():
     letters = "aaeeiioouuttnnssrrhhldbcdfgjkmpqvwxyzABCXYZäöüßéèñçŁžŒÆ"
     words = ["".join(r.choice(letters) for _ in range(r.randint(1, 24))) + r.choice(["", "", ".", ",...", "***", "!?", "'s", "-x", "7", "\u0301", "İ", "_", "<|endoftext|>"]) for _ in range(4000)]
     texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 60))) + r.choice(["", "\n", " \t \r\n"]) for _ in range(200)]
-    for got, text in zip(own.many(texts, together=3000), texts, strict=True):
+    for got, text in zip(own.many(pa.array(texts)), texts, strict=True):
         assert got.tolist() == tok.encode(text, add_special_tokens=False).ids
     assert np.array_equal(own("x" * 3000), tok.encode("x" * 3000, add_special_tokens=False).ids)
     bytes_ = packing.WordTokens(queries.tokenizer_path("byte_bpe_50k.json"))
