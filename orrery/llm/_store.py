@@ -96,8 +96,6 @@ def tidy(run: Callable[[Iterator], Iterator], keeps: str | None = None) -> Calla
     before it, also what other operators have kept in the worker (``keeps`` names what stays)."""
 
     def clean(batches):
-        # Arrow's own allocators hold on to what they have had.
-        pa.set_memory_pool(pa.system_memory_pool())
         for name, drop in _kept.items():
             if name != keeps:
                 drop()

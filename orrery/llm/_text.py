@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 2 << 20
 _SEED = 20240611
 _STEP = np.uint64(0x9E3779B97F4A7C13)
 
