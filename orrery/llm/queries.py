@@ -1,11 +1,13 @@
-"""The ten operators as queries over whole tables, and SQL for those that SQL expresses."""
+"""The operators as queries over whole tables, and SQL for those that SQL expresses."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat_format, decontaminate, fingerprints, language_id, license_scan, line_dedup, ngram_join, packing, secret_scan, toxicity
+from orrery.llm import (
+    chat_format, collocations, decontaminate, exact_dedup, fingerprints, language_id, license_scan, line_dedup, ngram_join, packing, secret_scan, spelling, toxicity,
+)
 from orrery.llm.sql import ORACLES  # noqa: F401
 
 
@@ -96,6 +98,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.prefix_target_examples(talks))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents").select("doc_id", "text"), spark)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("lang", "text"), spark)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_classes(read(spark, sf_dir, "documents").select("doc_id", "text"), spark)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -106,6 +120,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_toxicity, op3_secret_scan, op4_packing, op5_decontaminate, op6_license_scan, op7_line_dedup, op8_ngram_join,
-        op9_language_id, op10_chat_format, pipeline,
+        op9_language_id, op10_chat_format, op11_spelling_variants, op12_collocations, op13_exact_dedup, pipeline,
     )
 }

@@ -109,4 +109,83 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM summed GROUP BY conv_id
 """
 
-ORACLES = {"op5_decontaminate": OP5, "op7_line_dedup": OP7, "op8_ngram_join": OP8, "op10_chat_format": OP10}
+OP11 = f"""
+WITH crc AS MATERIALIZED (
+  SELECT list(list_reduce([i] || range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)
+),
+runs AS MATERIALIZED (
+  SELECT doc_id, w, count(*) AS c, hex(encode(concat(CAST(doc_id AS VARCHAR), ':', w))) AS x
+  FROM (SELECT doc_id, unnest({_words("text", "[A-Za-z\u00C0-\u00FF]+")}) AS w FROM documents) GROUP BY doc_id, w
+),
+hashed AS MATERIALIZED (
+  SELECT w, c, xor(4294967295, list_reduce(
+    [4294967295] || list_transform(range(CAST(length(x) / 2 AS BIGINT)), lambda k: CAST(('0x' || substr(x, 2 * k + 1, 2)) AS BIGINT)),
+    lambda s, b: xor(s >> 8, t[xor(s & 255, b) + 1]))) AS h
+  FROM runs, crc
+),
+edited AS (
+  SELECT CASE WHEN h % 97 = 0 THEN concat(substr(w, 1, h % length(w)), substr(w, h % length(w) + 2)) ELSE w END AS word, c FROM hashed
+),
+words AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM edited WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+holes AS MATERIALIZED (
+  SELECT word, n, length(word) AS size, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n AS m FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word
+),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m, list(other ORDER BY m DESC, other)[1] AS other FROM near GROUP BY word),
+formed AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN other END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word
+),
+ways(word, goes) AS (
+  SELECT word, word FROM formed
+  UNION ALL SELECT ways.word, f.form FROM ways JOIN formed f ON ways.goes = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, e.goes AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN (SELECT ways.word, ways.goes FROM ways JOIN formed g ON ways.goes = g.word WHERE g.form IS NULL) e ON f.word = e.word
+""".replace("WITH crc", "WITH RECURSIVE crc")
+
+OP12 = f"""
+WITH pieces AS MATERIALIZED (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)
+),
+grams AS MATERIALIZED (
+  SELECT lang, size, list_slice(w, i, i + size - 1) AS g, count(*) AS f
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3]) AS size) WHERE len(w) >= size)
+  GROUP BY lang, size, g
+),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE size = 1 GROUP BY lang),
+candidates AS MATERIALIZED (SELECT * FROM grams WHERE size > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.size, c.g, c.f AS a, k, x.f AS l, y.f AS r,
+    CAST((1000000 * CAST(c.f AS HUGEINT) * c.f) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+  JOIN grams x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, k) JOIN grams y ON y.lang = c.lang AND y.g = list_slice(c.g, k + 1, c.size)
+),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, unnest([list_slice(g, 1, 2), list_slice(g, 2, 3)]) AS g, f FROM candidates WHERE size = 3),
+longer AS (SELECT lang, g, max(f) AS most FROM inner_ GROUP BY lang, g),
+left_ AS (
+  SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score FROM best b LEFT JOIN longer o ON b.lang = o.lang AND b.g = o.g
+  WHERE most IS NULL OR 100 * most < 50 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM left_ JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+OP13 = """
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t ORDER BY doc_id)
+"""
+
+ORACLES = {
+    "op5_decontaminate": OP5, "op7_line_dedup": OP7, "op8_ngram_join": OP8, "op10_chat_format": OP10, "op11_spelling_variants": OP11,
+    "op12_collocations": OP12, "op13_exact_dedup": OP13,
+}

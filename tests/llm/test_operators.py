@@ -1,4 +1,4 @@
-"""The ten operators against brute force, on the smallest tables and on awkward rows."""
+"""The first ten operators against brute force, on the smallest tables and on awkward rows."""
 
 import hashlib
 import re
