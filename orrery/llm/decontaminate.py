@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import _text as tx
-from orrery.llm._store import small_batches, stored, tidy
+from orrery.llm._store import free, small_batches, stored, tidy
 
 #: Bits of the fixed-size filter of benchmark words.
 FILTER_BITS = 23
@@ -184,6 +184,6 @@ def contamination(docs: DataFrame, bench: DataFrame, spark: SparkSession, width:
 def decontaminate(docs: DataFrame, bench: DataFrame, spark: SparkSession, width: int = 13, share: int = 20) -> DataFrame:
     """``docs`` without contaminated documents, whether or not they have a doc_id; all columns stay as they are."""
     # Only the text decides, so its hash stands for the row: a doc_id may be null, or repeat with another text.
-    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    bad = contamination(texts, bench, spark, width, share).where("contaminated").select(F.col("doc_id").alias("__th")).distinct()
-    return docs.join(bad, F.xxhash64(docs["text"]) == F.col("__th"), "left_anti").select(docs.columns)
+    texts, th = docs.select(F.xxhash64("text").alias("doc_id"), "text"), free(docs.columns, "__th")
+    bad = contamination(texts, bench, spark, width, share).where("contaminated").select(F.col("doc_id").alias(th)).distinct()
+    return docs.join(bad, F.xxhash64(docs["text"]) == bad[th], "left_anti").select(docs.columns)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.llm import _text as tx
-from orrery.llm._store import BROADCAST_ROWS, discard, sized, small_batches, stored, tidy
+from orrery.llm._store import BROADCAST_ROWS, discard, free, sized, small_batches, stored, tidy
 from orrery.llm.components import connected_components
 
 CELLS = 1 << 16
@@ -350,12 +350,13 @@ def keep_one_of_each(docs: DataFrame, spark: SparkSession, n: int = 5, threshold
     placed = rows.join(classes, ["m1", "m2", "size"])
     first = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("th") == F.col("keeper.th"))
     count = placed.groupBy("doc_id", "th").agg(F.count("*").alias("n"), F.max(first).alias("first")).where("n > 1 or not first")
-    some = sized(stored(count.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "first"), spark, "copies"))
-    match = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th"))
+    own_id, th, stays = (free(docs.columns, c) for c in ("__id", "__th", "stays"))
+    some = sized(stored(count.select(F.col("doc_id").alias(own_id), F.col("th").alias(th), F.col("first").alias(stays)), spark, "copies"))
+    match = docs["doc_id"].cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(docs["text"]) == F.col(th))
     kept = docs.join(some, match, "left_anti").select(docs.columns)
-    again = some.where("first")
+    again = some.where(F.col(stays))
     if again.isEmpty():
         return kept
     # Whole rows repeat: one of each stays.
-    one = docs.join(again, match).dropDuplicates(["__id", "__th"]).select([docs[c] for c in docs.columns])
+    one = docs.join(again, match).dropDuplicates([own_id, th]).select([docs[c] for c in docs.columns])
     return kept.union(one)

@@ -1,6 +1,7 @@
 """The first ten operators against brute force, on the smallest tables and on awkward rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -362,20 +363,41 @@ def test_chat(spark, sf):
 
 
 def test_pipeline(spark):
+    """Each stage drops something of the table with copies added whose lines are broken elsewhere: the line stage finds
+    no line of them, the shingles are the same."""
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, before = docs.columns, docs.count()
+    columns = docs.columns
+    rng, vocabulary = random.Random(4), [f"{a}{b}{c}" for a in "bdfglmnrst" for b in "aeiou" for c in ("l", "nd", "rt", "sk", "m")]
+    own = []
+    for k in range(6):
+        words = [rng.choice(vocabulary) for _ in range(120)]
+        for copy, width in enumerate((10, 13)):
+            text = "\n".join(" ".join(words[i : i + width]) for i in range(0, 120, width))
+            own.append((10_000_000 + 2 * k + copy, text, "en", "own", len(text)))
+    docs = docs.unionByName(spark.createDataFrame(own, docs.schema))
+    before, left = docs.count(), {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf).persist()
         assert docs.columns == columns
         assert docs.count() < before, name
-        before = docs.count()
+        before, left[name] = docs.count(), {r["doc_id"] for r in docs.where("source = 'own'").collect()}
+    assert len(left["line_dedup"]) >= 10 and all(i % 2 == 0 for i in left["ngram_jaccard_join"]) and len(left["ngram_jaccard_join"]) >= 5
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.select("doc_id").distinct().count() == before
 
 
+def test_stages_with_clashing_columns(spark, sf):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    text = bench.first()["text"]
+    rows = [(1, text, 5, 6, 7, True), (2, "some other text of seven words here", 5, 6, 7, True), (3, "some other text of seven words here", 1, 2, 3, False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __th int, __id int, rid int, stays boolean")
+    for df, want in ((decontaminate.decontaminate(docs, bench, spark), {2, 3}), (ngram_join.keep_one_of_each(docs, spark), {1, 2})):
+        assert df.columns == docs.columns and {r["doc_id"] for r in df.collect()} == want
+
+
 @pytest.mark.parametrize("name", ["op5_decontaminate", "op7_line_dedup", "op8_ngram_join", "op10_chat_format"])
 def test_sql(spark, sf, name):
     from orrery.llm.sql import ORACLES
