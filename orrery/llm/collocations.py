@@ -249,7 +249,7 @@ def gram_counts(docs: DataFrame, spark: SparkSession, most: int = 3, min_count:
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(MOST_BUCKETS, max(1, -(-size // BUCKET_BYTES))))
-    dealt = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = lambda df: df.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
     sent = dealt(texts.mapInArrow(tidy(_send_pieces(buckets)), "bucket long, block binary"))
     grams_ = dealt(sent.mapInArrow(tidy(_send_grams(buckets, most)), "bucket long, block binary"))
     return grams_.mapInArrow(tidy(_count_grams(min_count)), "lang string, size long, gram string, f long")
