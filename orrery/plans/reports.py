@@ -86,7 +86,7 @@ both("bucket_metrics", "P31 G36", "SELECT CAST(least(floor(s / 500), 9) AS INT)
 both("aupro_fast", "E05 E07 E08", "WITH t AS (SELECT k / 20.0 * (SELECT max(s) FROM @cells) AS th, k FROM (SELECT DISTINCT p AS k FROM @cells WHERE p <= 20) x), a AS (SELECT vec_id, s, m FROM @cells), o AS (SELECT k, vec_id, avg(CASE WHEN s > th THEN 1e0 ELSE 0e0 END) AS ov FROM a JOIN t ON 1 = 1 WHERE m = 1 GROUP BY k, vec_id), f AS (SELECT k, avg(CASE WHEN s > th THEN 1e0 ELSE 0e0 END) AS fpr FROM a JOIN t ON 1 = 1 WHERE m = 0 GROUP BY k), j AS (SELECT f.k, f.fpr, avg(o.ov) AS pro FROM f JOIN o ON f.k = o.k GROUP BY f.k, f.fpr), l AS (SELECT fpr, pro, lag(fpr) OVER (ORDER BY fpr, k DESC) AS pf, lag(pro) OVER (ORDER BY fpr, k DESC) AS pp FROM j WHERE fpr < 0.3) SELECT @r(sum((fpr - pf) * (pro + pp) / 2) / nullif(max(fpr) - min(fpr), 0)) AS aupro FROM l")
 
 both("sign_test", "H03", "WITH d AS (SELECT seed, shot, avg(zv) - avg(zt) AS d FROM @z GROUP BY seed, shot), n AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS k FROM d), b AS (SELECT i, factorial(CAST(n AS INT)) / CAST(factorial(CAST(i AS INT)) * factorial(CAST(n - i AS INT)) AS DOUBLE) * power(0.5, n) AS p, k FROM n JOIN (SELECT DISTINCT p AS i FROM @cells WHERE p <= 20) x ON i <= n) SELECT CAST(max(k) AS BIGINT) AS positives, @r(sum(CASE WHEN i >= k THEN p ELSE 0 END)) AS p_value FROM b")
-_LCG = "((b.r * 1103515245 + g.d * 12345 + b.r * g.d * 7) % (SELECT count(*) FROM c))"
-both("cluster_bootstrap", "H07", f"WITH c AS (SELECT cat, row_number() OVER (ORDER BY cat) - 1 AS i, avg(zv) - avg(zt) AS d FROM @z GROUP BY cat), b AS (SELECT DISTINCT CAST(p AS BIGINT) AS r FROM @cells), g AS (SELECT i AS d FROM c), s AS (SELECT b.r, avg(c.d) AS m FROM b JOIN g ON 1 = 1 JOIN c ON c.i = {_LCG} GROUP BY b.r) SELECT @r(avg(m)) AS mean_delta, @r(@q(m; 0.025)) AS lo, @r(@q(m; 0.975)) AS hi, @r(avg(CASE WHEN m > 0 THEN 1e0 ELSE 0e0 END)) AS p_positive FROM s")
-both("bootstrap_ci", "H01 G28", f"WITH c AS (SELECT seed, shot, row_number() OVER (ORDER BY seed, shot) - 1 AS i, avg(zv) - avg(zt) AS d FROM @z GROUP BY seed, shot), b AS (SELECT DISTINCT CAST(p AS BIGINT) AS r FROM @cells), g AS (SELECT i AS d FROM c), s AS (SELECT b.r, avg(c.d) AS m FROM b JOIN g ON 1 = 1 JOIN c ON c.i = {_LCG} GROUP BY b.r) SELECT @r(avg(m)) AS mean_delta, @r(@q(m; 0.025)) AS lo, @r(@q(m; 0.975)) AS hi FROM s")
+_LCG = "((b.r * 1103515245 + g.d * 12345 + b.r * g.d * 7) % g.k)"
+both("cluster_bootstrap", "H07", f"WITH c AS (SELECT cat, row_number() OVER (ORDER BY cat) - 1 AS i, avg(zv) - avg(zt) AS d FROM @z GROUP BY cat), b AS (SELECT DISTINCT CAST(p AS BIGINT) AS r FROM @cells), g AS (SELECT i AS d, count(*) OVER () AS k FROM c), s AS (SELECT b.r, avg(c.d) AS m FROM b JOIN g ON 1 = 1 JOIN c ON c.i = {_LCG} GROUP BY b.r) SELECT @r(avg(m)) AS mean_delta, @r(@q(m; 0.025)) AS lo, @r(@q(m; 0.975)) AS hi, @r(avg(CASE WHEN m > 0 THEN 1e0 ELSE 0e0 END)) AS p_positive FROM s")
+both("bootstrap_ci", "H01 G28", f"WITH c AS (SELECT seed, shot, row_number() OVER (ORDER BY seed, shot) - 1 AS i, avg(zv) - avg(zt) AS d FROM @z GROUP BY seed, shot), b AS (SELECT DISTINCT CAST(p AS BIGINT) AS r FROM @cells), g AS (SELECT i AS d, count(*) OVER () AS k FROM c), s AS (SELECT b.r, avg(c.d) AS m FROM b JOIN g ON 1 = 1 JOIN c ON c.i = {_LCG} GROUP BY b.r) SELECT @r(avg(m)) AS mean_delta, @r(@q(m; 0.025)) AS lo, @r(@q(m; 0.975)) AS hi FROM s")
 both("conformal_p", "H05", "SELECT event_id, @r((1 + at_least) / CAST(n + 1 AS DOUBLE)) AS p FROM (SELECT event_id, ref, sum(ref) OVER (PARTITION BY cat ORDER BY vis DESC) AS at_least, sum(ref) OVER (PARTITION BY cat) AS n FROM @ev) t WHERE ref = 0")
