@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,36 +11,79 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 
+def label_maps(of: np.ndarray, r: np.ndarray, c: np.ndarray, reach8: bool = True) -> np.ndarray:
+    """Number of each cell's region, for cells of many maps (``of`` numbers the map): cells that touch, by sides or also by
+    corners, have one region. Neighbours are found by sorted places; regions are joined by their smallest number, again
+    and again, with the way to it shortened each time."""
+    n = len(r)
+    if not n:
+        return np.zeros(0, np.int64)
+    r, c = r - r.min() + 1, c - c.min() + 1
+    wide, high = int(c.max()) + 2, int(r.max()) + 2
+    place = (of.astype(np.int64) * high + r) * wide + c
+    order = np.argsort(place, kind="stable")
+    at = place[order]
+    one, other = [], []
+    for step in (1, wide, wide - 1, wide + 1) if reach8 else (1, wide):
+        k = np.minimum(np.searchsorted(at, at + step), n - 1)
+        hit = np.flatnonzero(at[k] == at + step)
+        one.append(order[hit])
+        other.append(order[k[hit]])
+    a, b = np.concatenate(one), np.concatenate(other)
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def label_grid(r: np.ndarray, c: np.ndarray, p: np.ndarray, reach8: bool = True) -> np.ndarray:
-    """Smallest position ``p`` of each cell's region, by relaxation over the cells' neighbours."""
-    at = {(a, b): i for i, (a, b) in enumerate(zip(r.tolist(), c.tolist(), strict=True))}
-    root, todo = p.copy(), []
-    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (reach8 or not (a and b))]
-    seen = np.zeros(len(p), dtype=bool)
-    for i in np.argsort(p, kind="stable").tolist():
-        if seen[i]:
+    """Smallest position ``p`` of each cell's region in one map."""
+    return _smallest(label_maps(np.zeros(len(r), np.int64), r, c, reach8), p)
+
+
+def _smallest(label: np.ndarray, p: np.ndarray) -> np.ndarray:
+    out = np.full(len(p), np.iinfo(np.int64).max)
+    np.minimum.at(out, label, p)
+    return out[label]
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``keys``, in parts that divide no key."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
             continue
-        seen[i], todo = True, [i]
-        while todo:
-            j = todo.pop()
-            root[j] = p[i]
-            for a, b in steps:
-                k = at.get((r[j] + a, c[j] + b))
-                if k is not None and not seen[k]:
-                    seen[k] = True
-                    todo.append(k)
-    return root
+        new = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
+        new[0] = not held or bool((pdf[keys].iloc[0] != held[-1][keys].iloc[-1]).any())
+        if (starts := np.flatnonzero(new)).size:
+            if held or starts[-1]:
+                yield pd.concat([*held, pdf.iloc[: starts[-1]]], ignore_index=True)
+            held, pdf = [], pdf.iloc[starts[-1] :]
+        held.append(pdf)
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def connected_regions(cells: DataFrame, keys: list[str], active: Column, reach8: bool = True) -> DataFrame:
-    """Active cells with ``root``, the smallest position of their region. A map is one group and must fit in memory."""
+    """Active cells with ``root``, the smallest position of their region. A map must fit in memory; many are labelled at
+    a time."""
     own = cells.where(active)
-    schema = StructType([*own.schema.fields, StructField("root", own.schema["p"].dataType)])
+    kind = own.schema["p"].dataType
+    schema = StructType([*own.schema.fields, StructField("root", kind)])
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(root=label_grid(pdf["r"].to_numpy(), pdf["c"].to_numpy(), pdf["p"].to_numpy(), reach8))
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, keys):
+            of = np.cumsum((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
+            p = pdf["p"].to_numpy()
+            yield pdf.assign(root=_smallest(label_maps(of, pdf["r"].to_numpy(), pdf["c"].to_numpy(), reach8), p).astype(p.dtype))
 
-    return own.groupBy(*keys).applyInPandas(label, schema)
+    return own.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(label, schema)
 
 
 def region_stats(regions: DataFrame, keys: list[str]) -> DataFrame:

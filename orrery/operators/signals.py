@@ -52,12 +52,12 @@ def scattered(peak: Column, mean: Column, area: Column, ratio: float = 0.5) -> C
     return F.when(area < 4, False).when(peak <= 0, True).otherwise(peak / F.greatest(mean, F.lit(1e-8)) < ratio)
 
 
-def spatial_stability(cells: DataFrame, regions: DataFrame, keys: list[str], value: str, around: int = 3) -> DataFrame:
+def spatial_stability(cells: DataFrame, regions: DataFrame, keys: list[str], value: str, around: int = 3, fill: str | None = None) -> DataFrame:
     """stability: .35 concentration, .35 compactness, .30 contrast of the peak with the cells up to ``around`` steps away
-    (steps go along rows and columns)."""
+    (steps go along rows and columns). ``fill``: a column of the regions that has their compactness."""
     size = regions.groupBy(*keys, "root").agg(
         F.count("*").alias("area"), F.max(value).alias("peak"), F.avg(value).alias("mean"),
-        (F.count("*") / ((F.max("r") - F.min("r") + 1) * (F.max("c") - F.min("c") + 1))).alias("compactness"),
+        (F.first(fill) if fill else F.count("*") / ((F.max("r") - F.min("r") + 1) * (F.max("c") - F.min("c") + 1))).alias("compactness"),
     )
     offsets = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-around, around + 1) for b in range(-around, around + 1) if 0 < abs(a) + abs(b) <= around]
     own = regions.select(*keys, "root", "r", "c")
