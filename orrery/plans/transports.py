@@ -30,7 +30,7 @@ def sinkhorn_log(spark, sf_dir):
     return got.groupBy("label", "row").agg(_r(F.sum(F.col("share") * F.col("c"))).alias("cost"), _r(F.max("share")).alias("most"))
 
 
-_OFF = "SELECT c.label, c.i, c.j, c.c + 0.1 * 0.5 * (ln(greatest({a}.share / 64, 1e-12)) - ln(greatest((greatest(u_s.share / 64, 1e-12) + greatest(w_s.share / 64, 1e-12)) / 2, 1e-12))) AS c FROM {x} c JOIN u_s ON u_s.label = c.label AND u_s.i = c.i AND u_s.j = c.j JOIN w_s ON w_s.label = c.label AND w_s.i = c.i AND w_s.j = c.j"
+_OFF = "SELECT c.label, c.i, c.j, least(greatest(c.c + 0.1 * 0.5 * (ln(greatest({a}.share / 64, 1e-12)) - ln(greatest((greatest(u_s.share / 64, 1e-12) + greatest(w_s.share / 64, 1e-12)) / 2, 1e-12))), 0), 50) AS c FROM {x} c JOIN u_s ON u_s.label = c.label AND u_s.i = c.i AND u_s.j = c.j JOIN w_s ON w_s.label = c.label AND w_s.i = c.i AND w_s.j = c.j"
 
 
 @frame(
