@@ -91,6 +91,32 @@ def knn_join(
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def nearest_with_ties(queries: DataFrame, bank: DataFrame, tol: float = 1e-6) -> DataFrame:
+    """query, bank, dist, ties: the nearest bank row by Euclidean distance (of several the smaller id) and how many rows
+    are no farther than ``tol`` beyond it. Each pair of blocks gives a query one row: its nearest, and the distances up to
+    ``tol`` beyond that with their counts, among which are all that count in the end; equal distances are one entry."""
+    q, b = (_blocks(df, name, -(-df.count() // BLOCK), [], None) for df, name in ((queries, "q"), (bank, "b")))
+
+    def search(frames):
+        for pdf in frames:
+            for qs, bs in zip(pdf["q_rows"], pdf["b_rows"], strict=True):
+                bv, bi = np.stack([r["vec"] for r in bs]), np.array([r["id"] for r in bs])
+                order = np.argsort(bi, kind="stable")
+                bv, bi = bv[order], bi[order]
+                for i in range(0, len(qs), 512):
+                    d = np.sqrt(2 * half_sq(np.stack([r["vec"] for r in qs[i : i + 512]]), bv))
+                    at = np.round(d, 9).argmin(1)
+                    dist = d[np.arange(len(d)), at]
+                    near = [np.unique(row[row <= x + tol], return_counts=True) for row, x in zip(d, d.min(1), strict=True)]
+                    yield pd.DataFrame({"query": [r["id"] for r in qs[i : i + 512]], "bank": bi[at], "dist": dist, "d": [x.tolist() for x, _ in near], "n": [n.tolist() for _, n in near]})
+
+    found = q.crossJoin(b).mapInPandas(search, "query long, bank long, dist double, d array<double>, n array<long>")
+    own = found.withColumn("least", F.min("dist").over(Window.partitionBy("query")))
+    count = F.aggregate(F.filter(F.arrays_zip("d", "n"), lambda x: x["d"] <= F.col("least") + tol), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    first = F.min(F.struct(F.round("dist", 9).alias("r"), "bank", "dist")).alias("first")
+    return own.groupBy("query").agg(first, F.sum(count).alias("ties")).select("query", "first.bank", "first.dist", "ties")
+
+
 def position_locked(queries: DataFrame, bank: DataFrame) -> DataFrame:
     """Nearest bank row among those at the query's own (row, col): an equi-join."""
     from orrery.functions.vectors import sq_l2

@@ -39,6 +39,12 @@ def knn_bank_score(spark, sf_dir):
     return knn.knn_join(q, b).select(F.col("query").alias("vec_id"), _r(F.col("dist")).alias("score"))
 
 
+@frame("exact_search_ties", "V45", "WITH ed AS (SELECT qid, bid, sqrt(2 * greatest(d, 0)) AS e FROM @pairs), m AS (SELECT qid, min(e) AS least FROM ed GROUP BY qid), bst AS (SELECT qid, bid, row_number() OVER (PARTITION BY qid ORDER BY round(e, 9), bid) AS k FROM ed) SELECT m.qid AS vec_id, any_value(bst.bid) AS bank, @r(any_value(least)) AS dist, CAST(sum(CASE WHEN e <= least + 0.03 THEN 1 ELSE 0 END) AS BIGINT) AS ties FROM m JOIN ed ON ed.qid = m.qid JOIN bst ON bst.qid = m.qid AND bst.k = 1 GROUP BY m.qid")
+def exact_search_ties(spark, sf_dir):
+    q, b = _sides(spark, sf_dir)
+    return knn.nearest_with_ties(q, b, 0.03).select(F.col("query").alias("vec_id"), "bank", _r(F.col("dist")).alias("dist"), "ties")
+
+
 _TOP = "SELECT qid, bid, d, bl, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), bid) AS k FROM @pairs"
 
 
