@@ -36,11 +36,14 @@ METRICS: dict[str, Callable] = {"half_sq": half_sq, "l1": l1, "chebyshev": cheby
 
 
 def _blocks(df: DataFrame, name: str, n: int, carried: list[str], same: str | None) -> DataFrame:
-    """Rows in ``n`` blocks, or blocks of each value of ``same``."""
+    """Rows in ``n`` blocks, or each value of ``same`` in as many as its own rows fill."""
     cols = [F.col(c).cast("long").alias(c) for c in ["id", *carried]]
     own = df.select(*cols, F.col("vec").cast("array<double>").alias("vec"))
-    part = F.pmod(F.xxhash64("id"), F.lit(max(1, n)))
-    by = [F.col(same).alias("same")] if same else []
+    if same:
+        many = own.groupBy(F.col(same).alias("same")).agg(F.ceil(F.count("*") / BLOCK).alias("of_value"))
+        own = own.withColumn("same", F.col(same)).join(many, "same")
+    part = F.pmod(F.xxhash64("id"), F.col("of_value") if same else F.lit(max(1, n)))
+    by = ["same"] if same else []
     return own.groupBy(part.alias(name), *by).agg(F.collect_list(F.struct("id", *carried, "vec")).alias(f"{name}_rows")).drop(name)
 
 
@@ -53,7 +56,7 @@ def knn_join(
     differ (leave-one-out); ``weight`` adds that multiple of the bank's column ``w`` to the distance.
     """
     carried = [c for c in (same, other) if c]
-    nq, nb = (-(-df.count() // BLOCK) for df in (queries, bank))
+    nq, nb = (0, 0) if same else (-(-df.count() // BLOCK) for df in (queries, bank))
     q = _blocks(queries, "q", nq, carried, same)
     b = _blocks(bank, "b", nb, carried + (["w"] if weight else []), same)
     measure = METRICS[metric]
