@@ -69,8 +69,7 @@ def conformal_p(df: DataFrame, keys: list[str], score: str, reference: str) -> D
     refs = df.where(F.col(reference) == 1).groupBy(*keys, score).agg(F.count("*").alias("k"))
     marks = refs.select(*keys, score, "k").unionByName(df.where(F.col(reference) == 0).select(*keys, score).distinct().withColumn("k", F.lit(0).cast("long")))
     own = marks.groupBy(*keys, score).agg(F.sum("k").alias("k"))
-    part = Window.partitionBy(*keys)
-    told = own.select(*keys, score, ((1 + F.sum("k").over(part.orderBy(F.col(score).desc()))) / (F.sum("k").over(part) + 1)).alias("p"))
+    told = running(own, keys, [F.col(score).desc()], score, {"above": "k"}).select(*keys, score, ((1 + F.col("above")) / (F.col("all_above") + 1)).alias("p"))
     return df.join(told, [*keys, score])
 
 
