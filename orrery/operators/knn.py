@@ -120,6 +120,29 @@ def nearest_with_ties(queries: DataFrame, bank: DataFrame, tol: float = 1e-6) ->
     return own.groupBy("query").agg(first, F.sum(count).alias("ties")).select("query", "first.bank", "first.dist", "ties")
 
 
+def nearest_per(queries: DataFrame, bank: DataFrame, by: str) -> DataFrame:
+    """query, ``by``, dist: half the squared distance to the nearest bank row of each value of the bank's integer column
+    ``by`` (rows where it is null take no part), all values in one search. A pair of blocks gives a query one row a value."""
+    bank = bank.where(F.col(by).isNotNull())
+    kind = bank.schema[by].dataType.simpleString()
+    q = _blocks(queries, "q", -(-queries.count() // BLOCK), [], None)
+    b = _blocks(bank.withColumn("__of", F.col(by).cast("long")), "b", -(-bank.count() // BLOCK), ["__of"], None)
+
+    def search(frames):
+        for pdf in frames:
+            for qs, bs in zip(pdf["q_rows"], pdf["b_rows"], strict=True):
+                bs = sorted(bs, key=lambda r: r["__of"])
+                bv = np.stack([r["vec"] for r in bs])
+                values, first = np.unique([r["__of"] for r in bs], return_index=True)
+                for i in range(0, len(qs), 512):
+                    part = qs[i : i + 512]
+                    d = np.minimum.reduceat(half_sq(np.stack([r["vec"] for r in part]), bv), first, axis=1)
+                    yield pd.DataFrame({"query": np.repeat([r["id"] for r in part], len(values)), by: np.tile(values, len(part)), "dist": d.ravel()})
+
+    found = q.crossJoin(b).mapInPandas(search, f"query long, {by} long, dist double")
+    return found.groupBy("query", F.col(by).cast(kind).alias(by)).agg(F.min("dist").alias("dist"))
+
+
 def position_locked(queries: DataFrame, bank: DataFrame) -> DataFrame:
     """Nearest bank row among those at the query's own (row, col): an equi-join."""
     from orrery.functions.vectors import sq_l2
