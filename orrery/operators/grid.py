@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from orrery.functions.vectors import normalised
+
 
 def stencil(cells: DataFrame, keys: list[str], reach: int, what: dict[str, tuple[str, str]]) -> DataFrame:
     """Aggregates over the (2 reach + 1) square around each cell, cells outside the map left out.
@@ -47,3 +49,53 @@ def bordered_stencil(cells: DataFrame, keys: list[str], shape: tuple[int, int],
         padded = padded.withColumn("__at", F.explode(_copies(at, size, reach, border))).withColumn(at, F.col("__at")).drop("__at")
     got = stencil(padded, keys, reach, what)
     return got.where("r = __r and c = __c").drop("__r", "__c")
+
+
+def _beside(vec: Column, window, step: int, border: str) -> Column:
+    """The vector ``step`` cells on (before, if negative), the map continued beyond its border."""
+    if border == "mirror":
+        return F.coalesce(F.lead(vec, step).over(window), F.lead(vec, -step).over(window))
+    towards = 1 if step > 0 else -1
+    return F.coalesce(*[F.lead(vec, k).over(window) for k in range(step, 0, -towards)], vec)
+
+
+def _along(keys: list[str]):
+    return Window.partitionBy(*keys, "r").orderBy("c"), Window.partitionBy(*keys, "c").orderBy("r")
+
+
+def vector_stencil(cells: DataFrame, keys: list[str], reach: int, border: str, name: str) -> DataFrame:
+    """``name``: the sum of ``vec`` over the (2 reach + 1) square around each cell of whole maps (every row and column has a
+    cell), continued by their border cell (``edge``) or turned back without it (``mirror``, reach 1 and two cells a side at
+    least; else null). Vectors stay whole: two sorts a map, no row for each dimension."""
+    if border == "mirror" and reach != 1:
+        raise ValueError("mirrored vector stencils reach one cell")
+    got = cells
+    for source, result, window in zip(("vec", "__along"), ("__along", name), _along(keys), strict=True):
+        parts = [_beside(F.col(source), window, k, border) for k in range(-reach, reach + 1) if k]
+        got = got.withColumns({f"__{i}": p for i, p in enumerate(parts)})
+        total = F.transform(F.col(source), lambda x, i: x + sum((F.col(f"__{k}")[i] for k in range(len(parts))), F.lit(0.0)))
+        got = got.withColumn(result, total).drop(*[f"__{k}" for k in range(len(parts))])
+    return got.drop("__along")
+
+
+def neighbour_contrast(cells: DataFrame, keys: list[str], reach: int = 2) -> DataFrame:
+    """``cells`` with contrast: the mean of one minus the cosine of a cell's unit ``vec`` with each other cell of the square
+    around it. As cosines are linear, it takes one product with the neighbours' sum."""
+    own = cells.withColumn("vec", F.col("vec").cast("array<double>"))
+    got = vector_stencil(own, keys, reach, "edge", "__sum")
+    product = F.aggregate(F.zip_with("vec", "__sum", lambda x, t: x * (t - x)), F.lit(0.0), lambda a, x: a + x)
+    return got.withColumn("contrast", 1 - product / ((2 * reach + 1) ** 2 - 1)).drop("__sum")
+
+
+def context_descriptor(cells: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """``cells`` with descriptor: the unit vector of a cell's ``vec`` followed by the mean of its eight neighbours (``mean``)
+    or by the neighbours above, below, left and right (``sides``); maps turn back at their borders."""
+    own = cells.withColumn("vec", F.col("vec").cast("array<double>"))
+    if kind == "mean":
+        got = vector_stencil(own, keys, 1, "mirror", "__sum")
+        return got.withColumn("descriptor", normalised(F.concat("vec", F.zip_with("vec", "__sum", lambda x, t: (t - x) / 8)))).drop("__sum")
+    if kind != "sides":
+        raise ValueError("descriptors are of kind mean or sides")
+    along, down = _along(keys)
+    sides = {f"__{i}": _beside(F.col("vec"), w, k, "mirror") for i, (w, k) in enumerate(((down, -1), (down, 1), (along, -1), (along, 1)))}
+    return own.withColumns(sides).withColumn("descriptor", normalised(F.concat("vec", *sides))).drop(*sides)
