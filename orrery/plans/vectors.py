@@ -75,8 +75,7 @@ _PER = "SELECT qid, ri, min(d) AS d FROM @pairs GROUP BY qid, ri"
 
 def _per_reference(spark, sf_dir):
     q, b = _sides(spark, sf_dir)
-    parts = [knn.knn_join(q, b.where(f"ri = {k}")).select("query", F.lit(k).alias("ri"), "dist") for k in range(4)]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return knn.nearest_per(q, b, "ri").withColumn("ri", F.col("ri").cast("int"))
 
 
 @frame("knn_per_reference", "V12 V14 V15", f"SELECT qid AS vec_id, CAST(ri AS INT) AS ref_image, @r(d) AS dist FROM ({_PER}) t")
