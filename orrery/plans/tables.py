@@ -45,6 +45,6 @@ def alignment_audit(spark, sf_dir):
     return align.audit(left, right, "id").select("duplicated_left", "missing_right", "extra_right")
 
 
-@frame("contract_report", "P01 P02 P03 P05 P07 P08 P09 P32 P33", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) - count(DISTINCT event_id) AS BIGINT) AS repeated_ids, CAST(sum(CASE WHEN value IS NULL OR isnan(value) OR isinf(value) THEN 1 ELSE 0 END) AS BIGINT) AS not_finite, CAST(0 AS BIGINT) AS out_of_range FROM {events}")
+@frame("contract_report", "P01 P02 P03 P05 P07 P08 P09 P32 P33", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) - count(DISTINCT event_id) AS BIGINT) AS repeated_ids, CAST(sum(CASE WHEN value IS NULL OR isnan(value) OR isinf(value) THEN 1 ELSE 0 END) AS BIGINT) AS not_finite, CAST(sum(CASE WHEN value >= 1 AND value <= 50 THEN 0 ELSE 1 END) AS BIGINT) AS out_of_range FROM {events}")
 def contract_report(spark, sf_dir):
-    return guards.report(table(spark, sf_dir, "events"), ids=["event_id"], finite=["value"], between={"value": (-1e12, 1e12)})
+    return guards.report(table(spark, sf_dir, "events"), ids=["event_id"], finite=["value"], between={"value": (1.0, 50.0)})
