@@ -166,6 +166,7 @@ def test_more_sources(spark, tmp_path):
 def test_every_pair_of_dimensions(spark, sf):
     import numpy as np
 
+    import __spark_entry__  # noqa: F401  (fills the catalogue)
     from orrery.plans.kit import CATALOG, table
 
     x = np.array([r["embedding"] for r in table(spark, sf, "embeddings").select("embedding").collect()], dtype=float)
