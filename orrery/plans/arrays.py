@@ -3,8 +3,9 @@
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from orrery.operators import arrays, regions
+from orrery.operators import arrays, matching, regions
 from orrery.plans.kit import frame, spark_sql, table
 from orrery.plans.vectors import _r
 
@@ -62,12 +63,12 @@ def aupro_official(spark, sf_dir):
 
 @frame("chain_assignment", "L23 M03")
 def chain_assignment(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("label"), "vec_id", "embedding")
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(v, dtype=float) for v in pdf.sort_values("vec_id")["embedding"]])
-        n = len(x) // 2
-        cost = ((x[:n, None] - x[None, n : 2 * n]) ** 2).sum(2)
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "cost": [cost[np.arange(n), arrays.assignment(cost)].sum() if n else 0.0]})
-
-    return rows.groupBy("label").applyInPandas(match, "label long, cost double").select("label", _r(F.col("cost")).alias("cost"))
+    """The first half of a label's rows (by id) matched with the second at the least sum of squared distances."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("label"), "vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    # Rows without label are a label of their own; -2^63 stands for it, which no int is.
+    rows = rows.withColumn("cell", F.coalesce("label", F.lit(-(1 << 63)).cast("long")))
+    n = rows.groupBy("cell").agg(F.max("label").alias("label"), F.expr("count(*) div 2").alias("n"))
+    placed = rows.select("cell", "vec", (F.row_number().over(Window.partitionBy("cell").orderBy("vec_id")) - 1).cast("long").alias("at")).join(n.select("cell", "n"), "cell")
+    first, second = placed.where("at < n"), placed.where("at >= n and at < 2 * n").withColumn("at", F.expr("at - n"))
+    cost = matching.cheapest_matching(first.select("cell", "at", "vec"), second.select("cell", "at", "vec"))
+    return n.join(cost, "cell", "left").select("label", _r(F.coalesce("cost", F.lit(0.0))).alias("cost"))
