@@ -30,6 +30,21 @@ def test_transport():
     assert np.allclose(plan.sum(1), a) and np.allclose(plan.sum(0), b, atol=1e-3)
 
 
+def test_transport_on_a_line():
+    r = np.random.default_rng(3)
+    for n, m, far in ((1, 1, 0), (30, 12, 0), (40, 55, 1e3), (7, 1, -3)):
+        x, y = np.round(r.random(n), 1) + far, np.round(r.random(m), 1) + far
+        c = np.abs(x[:, None] - y[None])
+        want = (arrays.semi_relaxed_ot(c, np.full(n, 1 / n), np.full(m, 1 / m), 0.05, 0.5) * c).sum()
+        assert np.isclose(arrays.semi_relaxed_line_cost(x, y, 0.05, 0.5, cells=64), want, rtol=1e-8, atol=1e-10)
+    # 60,000 by 20,000 points: the matrix would take 10 GB in each of 2000 rounds.
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert 0 < arrays.semi_relaxed_line_cost(r.random(60_000), r.random(20_000), 0.05, 0.5, rounds=20) < 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
 def test_assignment():
     r = np.random.default_rng(2)
     for n, m in ((1, 1), (3, 5), (6, 6)):
