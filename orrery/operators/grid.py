@@ -43,8 +43,9 @@ def _copies(at: str, size: int, reach: int, border: str) -> Column:
 
 def bordered_stencil(cells: DataFrame, keys: list[str], shape: tuple[int, int], reach: int, border: str, what: dict[str, tuple[str, str]]) -> DataFrame:
     """``stencil`` with maps of ``shape`` continued beyond their borders: ``edge`` repeats the border cell, ``symmetric``
-    turns back with it, ``mirror`` without it. Maps must be larger than ``reach`` for the last two."""
-    padded = cells.withColumns({"__r": F.col("r"), "__c": F.col("c")})
+    turns back with it, ``mirror`` without it. Maps must be larger than ``reach`` for the last two. Maps are dealt out once,
+    before they are continued, so that neither the copies nor the two windows need a shuffle."""
+    padded = cells.repartition(*keys).withColumns({"__r": F.col("r"), "__c": F.col("c")})
     for at, size in (("r", shape[0]), ("c", shape[1])):
         padded = padded.withColumn("__at", F.explode(_copies(at, size, reach, border))).withColumn(at, F.col("__at")).drop("__at")
     got = stencil(padded, keys, reach, what)

@@ -16,7 +16,13 @@ SHAPE, KEYS, IMAGE = (8, 8), ["g"], ["g", "vec_id"]
 
 
 def _pair(spark, sf_dir):
-    return spark_sql(spark, sf_dir, "SELECT * FROM @pair")
+    """Rows of @pair. Its join of cells is one of vectors: cell p of one meets cell 63 - p of the other."""
+    return spark_sql(
+        spark, sf_dir,
+        "SELECT vec_id, label, vec_id % 3 AS g, p, p div 8 AS r, p % 8 AS c, CASE WHEN label IN (3, 7, 9) AND (vec_id * 7 + p) % 11 = 0 THEN 1 ELSE 0 END AS m, "
+        "abs(CAST(x AS DOUBLE)) AS v, abs(CAST(get(other, 63 - p) AS DOUBLE)) AS t, CASE WHEN label IN (3, 7, 9) THEN 0 ELSE 1 END AS ref "
+        "FROM (SELECT vec_id, label, other, posexplode(embedding) AS (p, x) FROM (SELECT a.vec_id, a.label, a.embedding, b.embedding AS other FROM {embeddings} a JOIN {embeddings} b ON a.vec_id = b.vec_id) w) y WHERE 63 - p BETWEEN 0 AND size(other) - 1",
+    )
 
 
 def _r(x):
