@@ -120,6 +120,32 @@ def nearest_with_ties(queries: DataFrame, bank: DataFrame, tol: float = 1e-6) ->
     return own.groupBy("query").agg(first, F.sum(count).alias("ties")).select("query", "first.bank", "first.dist", "ties")
 
 
+def banded(queries: DataFrame, bank: DataFrame) -> DataFrame:
+    """id, dw, dg: half the squared distance to the nearest bank row whose (row, col) is at most one off the query's in
+    each (null if there is none), and to the nearest of all, in one search: a pair of blocks is one product, whose minima
+    by the bank's cells serve both, and gives a query one row."""
+    q = _blocks(queries, "q", -(-queries.count() // BLOCK), ["row", "col"], None)
+    b = _blocks(bank, "b", -(-bank.count() // BLOCK), ["row", "col"], None)
+
+    def search(frames):
+        for pdf in frames:
+            for qs, bs in zip(pdf["q_rows"], pdf["b_rows"], strict=True):
+                place = np.array([(r["row"], r["col"]) for r in bs])
+                order = np.lexsort(place.T)
+                cells, first = np.unique(place[order][:, ::-1], axis=0, return_index=True)  # by column, then row
+                bv = np.stack([bs[i]["vec"] for i in order])
+                for i in range(0, len(qs), 512):
+                    part = qs[i : i + 512]
+                    d = np.minimum.reduceat(half_sq(np.stack([r["vec"] for r in part]), bv), first, axis=1)
+                    at = np.array([(r["col"], r["row"]) for r in part])
+                    near = (np.abs(at[:, None] - cells[None]) <= 1).all(2)
+                    yield pd.DataFrame({"id": [r["id"] for r in part], "dw": np.where(near, d, np.inf).min(1), "dg": d.min(1)})
+
+    found = q.crossJoin(b).mapInPandas(search, "id long, dw double, dg double")
+    least = found.groupBy("id").agg(F.min("dw").alias("dw"), F.min("dg").alias("dg"))
+    return least.withColumn("dw", F.when(F.col("dw") < float("inf"), F.col("dw")))
+
+
 def nearest_per(queries: DataFrame, bank: DataFrame, by: str) -> DataFrame:
     """query, ``by``, dist: half the squared distance to the nearest bank row of each value of the bank's integer column
     ``by`` (rows where it is null take no part), all values in one search. A pair of blocks gives a query one row a value."""

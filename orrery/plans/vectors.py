@@ -124,12 +124,8 @@ def knn_mutual_pairs(spark, sf_dir):
 def knn_band_window(spark, sf_dir):
     place = lambda df: df.withColumn("row", F.expr("(id div 8) % 8")).withColumn("col", F.expr("id % 8"))
     q, b = _sides(spark, sf_dir)
-    # Each query looks up the cells of its band: an equi-join on the cell.
-    cells = F.explode(F.array(*[F.struct((F.col("row") + i).alias("row"), (F.col("col") + j).alias("col")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    asked = place(q).select("id", "vec", cells.alias("cell")).select("id", "vec", "cell.row", "cell.col")
-    local = knn.position_locked(asked, place(b)).withColumnRenamed("dist", "dw")
-    world = knn.knn_join(q, b).select(F.col("query").alias("id"), F.col("dist").alias("dg"))
-    return world.join(local, "id", "left").select(F.col("id").alias("vec_id"), _r(F.coalesce("dw", "dg")).alias("score"), F.col("dw").isNull().cast("int").alias("fell_back"))
+    got = knn.banded(place(q), place(b))
+    return got.select(F.col("id").alias("vec_id"), _r(F.coalesce("dw", "dg")).alias("score"), F.col("dw").isNull().cast("int").alias("fell_back"))
 
 
 @frame("knn_position_locked", "V40b J09", "SELECT qid AS vec_id, @r(min(d)) AS score FROM @pairs WHERE qid % 8 = bid % 8 AND (qid // 8) % 8 = (bid // 8) % 8 GROUP BY qid")

@@ -196,3 +196,22 @@ def test_midpoint_bank_score(spark, sf):
     got = {r["vec_id"]: r["score"] for r in CATALOG["midpoint_bank_score"].run(spark, sf).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in want)
     assert (fine < plain - 1e-9).any() and any(coarse[c] < d for d, c in zip(fine, cell[~ref], strict=True))
+
+
+def test_banded_search(spark, monkeypatch):
+    """Several blocks a side, band and whole in one search, no row for a pair; a query far from any cell has no band."""
+    import numpy as np
+
+    from orrery.operators import knn
+
+    monkeypatch.setattr(knn, "BLOCK", 8)
+    r = np.random.default_rng(8)
+    sides = [[(i, int(r.integers(0, 8)) if i else 20, int(r.integers(0, 8)), r.normal(size=4).tolist()) for i in range(n)] for n in (30, 21)]
+    sides[1][0] = (0, 3, 3, [0.5] * 4)
+    q, b = (spark.createDataFrame(s, "id long, row long, col long, vec array<double>") for s in sides)
+    got = {t["id"]: (t["dw"], t["dg"]) for t in knn.banded(q, b).collect()}
+    for i, row, col, vec in sides[0]:
+        d = {(x[1], x[2], x[0]): 0.5 * ((np.array(vec) - np.array(x[3])) ** 2).sum() for x in sides[1]}
+        near = [v for (y, x, _), v in d.items() if abs(y - row) <= 1 and abs(x - col) <= 1]
+        assert np.isclose(got[i][1], min(d.values())) and (np.isclose(got[i][0], min(near)) if near else got[i][0] is None)
+    assert got[0][0] is None
