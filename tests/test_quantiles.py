@@ -23,3 +23,13 @@ def test_quantiles(spark):
     assert all(np.allclose(coarse[k], want[k], rtol=1e-12, atol=0) for k in want)
     whole = calibration.quantiles(df.where("g = 'many'"), [], "v", {"a": 0.5}).collect()
     assert np.isclose(whole[0]["a"], want["many"][0])
+
+
+def test_router_statistics_of_many_rows(spark):
+    """What the safe router calibrates with, where quantiles are found in narrow ranges, and no aggregate holds a key's values."""
+    x = np.random.default_rng(7).normal(size=20_000)
+    got = calibration.rank_preserving_stats(spark.createDataFrame([(1, float(v)) for v in x], "g int, v double"), ["g"], "v")
+    assert "percentile(" not in got._jdf.queryExecution().toString() and "median(" not in got._jdf.queryExecution().toString()
+    r, q = got.collect()[0], np.quantile(x, [0.25, 0.75, 0.01, 0.99])
+    scale = max(1.4826 * np.median(np.abs(x - np.median(x))), (q[1] - q[0]) / 1.349)
+    assert np.allclose([r["center"], r["scale"], r["lower"], r["upper"]], [np.median(x), scale, q[2], q[3]], rtol=1e-12)
