@@ -39,7 +39,7 @@ PER_TASK = 1 << 36
 
 
 class RunTable:
-    """What runs of characters become, by 64-bit hash: open addressing in arrays, so a million runs take some 40 MB. When
+    """What runs of characters become, by 64-bit hash: open addressing in arrays, so half a million runs take some 25 MB. When
     ``most`` are held it starts anew."""
 
     def __init__(self, most: int):
@@ -93,7 +93,7 @@ class WordTokens:
     #: Letters whose lower case and normal form depend on nothing around them, perhaps with ASCII marks behind.
     _plain = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, keep: int = 1_200_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tok, self.table = Tokenizer.from_file(path), RunTable(keep)
@@ -106,7 +106,9 @@ class WordTokens:
             self.merges = None
 
     def _slow(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        # An encoding holds far more than its ids: few at a time.
+        parts = (texts[i : i + 512] for i in range(0, len(texts), 512))
+        return [np.array(e.ids, dtype="<u4").tobytes() for part in parts for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
 
     def _encode(self, runs: list[str]) -> list[bytes]:
         """Ids of runs: plain words by their merges, anything else by the tokenizer itself."""
@@ -262,12 +264,14 @@ def pack(
     def run(batches):
         encode = word_tokens(tokenizer)
         waiting, next_id = Pool((limit, segments, loss)), TaskContext.get().partitionId() * PER_TASK
-        ids: dict[int, list] = {}  # of documents that wait: doc_id, ids, ids left, loss before each (None: all bear it)
+        # Of documents that wait: doc_id, ids, ids left, loss before each (None: all bear it), place of the first id held, all ids.
+        ids: dict[int, list] = {}
         rows: list[tuple] = []
 
         def cost(what, n):
             """Loss-bearing ids of a piece."""
             (key, start), before = what, ids[what[0]][3]
+            start -= ids[key][4]
             return n - 1 if before is None else int(before[start + n] - before[start + 1])
 
         def most(what, tokens, room):
@@ -275,13 +279,14 @@ def pack(
             (key, start), before = what, ids[what[0]][3]
             if before is None:
                 return min(tokens, room + 1)
+            start -= ids[key][4]
             return min(tokens, int(np.searchsorted(before, before[start + 1] + room, side="right")) - 1 - start)
 
         def put(parts, sequence):
             offset = 0
             for n, (key, start) in parts:
-                doc_id, own = ids[key][:2]
-                rows.append((doc_id, start, n, own[start : start + n].tobytes(), len(own), sequence, offset))
+                doc_id, own, _, _, held, whole = ids[key]
+                rows.append((doc_id, start, n, own[start - held : start - held + n].tobytes(), whole, sequence, offset))
                 offset += n
                 ids[key][2] -= n
                 if not ids[key][2]:
@@ -298,13 +303,17 @@ def pack(
             said = batch.column(2).to_pylist() if bears else [None] * len(batch)
             for doc_id, ids_of, which in zip(batch.column(0).to_pylist(), encode.many(batch.column(1)), said, strict=True):
                 own = np.append(ids_of, np.uint32(end)).astype("<u4")
-                ids[key] = [doc_id, own, len(own), None if which is None else loss_before(len(own), which)]
+                ids[key] = [doc_id, own, len(own), None if which is None else loss_before(len(own), which), 0, len(own)]
                 start, size = 0, len(own)
                 while start < size:
                     n = most((key, start), min(limit, size - start), loss)
                     rest = start + n == size and n < limit and cost((key, start), n) < loss
                     if rest:
                         waiting.add(n, cost((key, start), n), (key, start))
+                        if start:  # what is placed already need not wait
+                            _, _, _, before, _, _ = ids[key]
+                            ids[key][1], ids[key][4] = own[start:].copy(), start
+                            ids[key][3] = None if before is None else before[start:].copy()
                     else:
                         put([(n, (key, start))], next_id)
                         next_id += 1
@@ -313,7 +322,7 @@ def pack(
                 while waiting.size > pool:
                     put(waiting.fill(cut, most, cost), next_id)
                     next_id += 1
-                if len(rows) >= 2048:
+                if len(rows) >= 512:
                     yield flush()
         while waiting.size:
             parts = waiting.fill(cut, most, cost)
@@ -331,7 +340,7 @@ def pack(
                         parts.pop(0)
                 put(mine, next_id)
                 next_id += 1
-            if len(rows) >= 2048:
+            if len(rows) >= 512:
                 yield flush()
         yield flush()
 

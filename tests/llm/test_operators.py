@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -451,3 +453,40 @@ def test_copied_documents(spark):
     rows = [(5, text), (2, text), (2, text), (9, text + "\nmore"), (1, "other words")]
     got = sorted((r["doc_id"], r["n_removed"], r["text"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), spark, min_words=1).collect())
     assert got == [(1, 0, "other words"), (2, 0, text), (2, 0, text), (5, 2, ""), (9, 2, "\nmore")]
+
+
+def test_hashes_in_chunks(monkeypatch):
+    """Words have the same hashes wherever chunks end, also words longer than a chunk; no array is a block's size."""
+    import tracemalloc
+
+    from orrery.llm import _text as tx
+
+    texts = pa.array(["a bb ccc", None, "", " ", "x" * 300 + " y", "ein Häuschen, " * 50, "end"])
+    want = [b.hashes() for b in tx.blocks(texts, tx.ALNUM)]
+    for chunk in (1, 7, 64):
+        monkeypatch.setattr(tx, "CHUNK", chunk)
+        assert all((a == b.hashes()).all() for a, b in zip(want, tx.blocks(texts, tx.ALNUM), strict=True))
+    monkeypatch.undo()
+    block = next(tx.blocks(pa.array([("word " * 400_000)[: tx.BLOCK]]), tx.ALNUM))
+    tracemalloc.start()
+    block.hashes()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * tx.BLOCK
+
+
+def test_packing_holds_the_rest_only(spark):
+    """Long documents whose ends wait in the pool, with and without a column of loss: every id in one piece, in order."""
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    rows = [(k, " ".join(f"w{(k * 7 + j) % 50}" for j in range(900 + 400 * k)), 40 * k) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own long").coalesce(1)
+    encode = packing.WordTokens(path)
+    for bears in (None, "own"):
+        got = {}
+        for r in packing.pack(docs, spark, path, limit=512, loss=300, bears=bears).collect():
+            got.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids"], r["doc_tokens"]))
+        for k, text, _ in rows:
+            want = np.append(encode(text), np.uint32(1)).astype("<u4")
+            pieces = sorted(got[k])
+            assert b"".join(p[2] for p in pieces) == want.tobytes() and {p[3] for p in pieces} == {len(want)}
+            assert [p[0] for p in pieces] == [0, *np.cumsum([p[1] for p in pieces])[:-1].tolist()]
