@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -169,6 +171,216 @@ def nearest_per(queries: DataFrame, bank: DataFrame, by: str) -> DataFrame:
     return found.groupBy("query", F.col(by).cast(kind).alias(by)).agg(F.min("dist").alias("dist"))
 
 
+#: Rows of a packed block of queries, of one side of a unit of pairs, and queries of a product.
+QUERIES, SIDE, STRIP = 8192, 2048, 512
+#: Groups of at most so many pairs give their midpoints as rows; so do pairs whose sum is that much shorter (squared) than its parts.
+FEW, SHORT = 64, 1e-3
+#: Pairs of a query that are looked at one by one in a unit, and rows of pairs that are tried first where there are more.
+CROSS, PROBES = 4096, 4
+
+
+def _matrix(ids: pa.Array, vecs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of one length each, as numpy arrays."""
+    lengths = np.unique(pc.list_value_length(vecs).to_numpy(zero_copy_only=False))
+    if vecs.null_count or len(lengths) > 1:
+        raise ValueError("vectors must be of one length and not null")
+    return ids.to_numpy(zero_copy_only=False), vecs.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+
+def _packed_rows(df: DataFrame, size: int) -> DataFrame:
+    """n, ids, vecs: at most ``size`` rows of a partition as bytes."""
+
+    def pack(batches):
+        for batch in batches:
+            ids, vecs = _matrix(batch["id"], batch["vec"]) if len(batch) else ([], [])
+            for i in range(0, len(ids), size):
+                part = ids[i : i + size]
+                yield pa.RecordBatch.from_pydict({"n": pa.array([len(part)], pa.int32()), "ids": [part.tobytes()], "vecs": [vecs[i : i + size].tobytes()]})
+
+    own = df.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    return own.mapInArrow(pack, "n int, ids binary, vecs binary")
+
+
+def _packed_units(bank: DataFrame, first: str, second: str) -> DataFrame:
+    """Units of pairs as bytes: rows of one value of ``first`` beside rows whose ``second`` has that value, at most SIDE a
+    side, or no rows; small units lie together in a row. Every bank row is on the first side of a unit."""
+
+    def sides(key, name):
+        own = bank.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.col(key).alias("key"))
+        many = own.groupBy(F.col("key").alias("value")).agg(F.ceil(F.count("*") / SIDE).alias("of_value"))
+        dealt = own.join(many, F.col("key").eqNullSafe(F.col("value")))
+        return dealt.groupBy("key", F.pmod(F.xxhash64("id"), F.col("of_value")).alias("part")).agg(F.collect_list(F.struct("id", "vec")).alias(name)).drop("part")
+
+    def pack(batches):
+        held, rows = [], 0
+
+        def row():
+            a, b = ([x[i : i + 2] for x in held] for i in (0, 2))
+            one = {f"{name}{k}": [b"".join(x[i].tobytes() for x in side)] for k, side in (("a", a), ("b", b)) for i, name in enumerate(("ids_", "vecs_"))}
+            return pa.RecordBatch.from_pydict({"na": pa.array([[len(x[0]) for x in a]], pa.list_(pa.int32())), "nb": pa.array([[len(x[0]) for x in b]], pa.list_(pa.int32())), **one})
+
+        for batch in batches:
+            for k in range(len(batch)):
+                unit = []
+                for side in (batch["a"][k].values, batch["b"][k].values):
+                    unit += _matrix(side.field("id"), side.field("vec")) if side is not None else (np.zeros(0, np.int64), np.zeros((0, 0)))
+                held.append(unit)
+                rows += len(unit[0]) + len(unit[2])
+                if rows >= SIDE:
+                    yield row()
+                    held, rows = [], 0
+        if held:
+            yield row()
+
+    units = sides(first, "a").join(sides(second, "b").where("key IS NOT NULL"), "key", "left").select("a", "b")
+    return units.mapInArrow(pack, "na array<int>, nb array<int>, ids_a binary, vecs_a binary, ids_b binary, vecs_b binary")
+
+
+class _Unit:
+    """Pairs (a, b) of two sides, id of a before that of b: what one over the length of a + b is, 0 for no pair."""
+
+    def __init__(self, ids_a, a, ids_b, b):
+        sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None]
+        n2 = sq + 2 * (a @ b.T)
+        ok = ids_a[:, None] < ids_b[None]
+        near = ok & (n2 < SHORT * sq)  # their length must come from the sum itself
+        if ok.sum() <= FEW:
+            near = ok
+        ok = ok & ~near
+        self.as_rows = (a, b, *np.nonzero(near)) if near.any() else None
+        self.w = np.where(ok, 1 / np.sqrt(np.where(ok, n2, 1)), 0)
+        self.most = self.w.max(1, initial=0)
+        self.least_a, self.least_b = (1 / np.maximum(most, 1e-300) for most in (self.most, self.w.max(0, initial=0)))
+
+    def rows(self):
+        """Midpoints of the pairs that are taken as rows, in parts."""
+        a, b, i, j = self.as_rows
+        for k in range(0, len(i), SIDE):
+            m = (a[i[k : k + SIDE]] + b[j[k : k + SIDE]]) / 2
+            n = np.sqrt((m * m).sum(1))
+            yield m[n > 0] / n[n > 0, None]
+
+    def better(self, sa: np.ndarray, sb: np.ndarray, best: np.ndarray, ranks: int | None = PROBES) -> None:
+        """Raise ``best`` to the largest product of a query with a midpoint, (sa + sb) / length, where it is larger.
+
+        A pair can only do so if sa + the largest sb is above ``best`` times the least length of a sum with its a, and the
+        same for its b; where few rows of either side can, all their pairs are looked at, else see ``_by_rows``."""
+        top_a, top_b = sa.max(1), sb.max(1)
+        of_a, of_b = (np.divmod(np.flatnonzero(side > best[:, None] * least - top[:, None]), side.shape[1]) for side, least, top in ((sa, self.least_a, top_b), (sb, self.least_b, top_a)))
+        na, nb = (np.bincount(of[0], minlength=len(best)) for of in (of_a, of_b))
+        many = (na * nb > CROSS) | (best < 0)
+        (qa, a), (qb, b) = of_a, of_b
+        own = ~many[qa] & (nb[qa] > 0)
+        qa, a = qa[own], a[own]
+        if len(qa):
+            sum_b, n = sb[qb, b], nb[qa]
+            one = np.repeat(np.arange(len(qa)), n)
+            two = np.arange(len(one)) + np.repeat((np.cumsum(nb) - nb)[qa] - (np.cumsum(n) - n), n)
+            both = sa[qa, a][one] + sum_b[two]
+            go = np.flatnonzero(both > (best[qa] * self.least_a[a])[one])
+            one, two, both = one[go], two[go], both[go]
+            np.maximum.at(best, qa[one], both * self.w[a[one], b[two]])
+        if many.any():
+            more, left = np.flatnonzero(many), best[many]
+            self._by_rows(sa[more], sb[more], left, ranks)
+            if ranks:
+                self.better(sa[more], sb[more], left, None)
+            best[more] = left
+
+    def _by_rows(self, sa: np.ndarray, sb: np.ndarray, best: np.ndarray, ranks: int | None) -> None:
+        """The same by whole rows of pairs, of the ``ranks`` most promising a of a query, or until none can do better: no
+        pair of a exceeds (sa + the largest sb) times its largest w (0, if that is negative)."""
+        top = sb.max(1)
+        may = sa + top[:, None] > best[:, None] * self.least_a
+        may[best < 0] = self.most > 0
+        q, a = np.divmod(np.flatnonzero(may), sa.shape[1])
+        bound = np.maximum((sa[q, a] + top[q]) * self.most[a], 0)
+        order = np.lexsort((-bound, q))
+        q, a, bound = q[order], a[order], bound[order]
+        own, at, n = np.unique(q, return_index=True, return_counts=True)
+        end = at + (np.minimum(n, ranks) if ranks else n)
+        while len(own):
+            go = bound[at] > best[own]
+            own, at, end = own[go], at[go], end[go]
+            w = self.w[a[at]]
+            got = sb[own]
+            got += sa[own, a[at]][:, None]
+            got *= w
+            most = got.max(1, initial=-np.inf)
+            low = most <= 0  # may be of no pair
+            if low.any():
+                most[low] = np.where(w[low] > 0, got[low], -np.inf).max(1)
+            best[own] = np.maximum(best[own], most)
+            at = at + 1
+            go = at < end
+            own, at, end = own[go], at[go], end[go]
+
+
+def _least(queries: DataFrame, units: DataFrame, bank_rows: int) -> DataFrame:
+    """query, dist over packed blocks of both sides. A task holds one block of queries at a time and what it has found for
+    them so far, and passes a slice of the units by it."""
+    n = queries.count()
+    parts = -(-n // (QUERIES * 3 // 4)) or 1
+    slices = max(-(-bank_rows // (16 * SIDE)), -(-3 * queries.sparkSession.sparkContext.defaultParallelism // parts))
+    blocks = _packed_rows(queries.repartition(parts, "id"), QUERIES)
+
+    def search(batches):
+        ids, x, best = None, None, None
+
+        def found():
+            return pa.RecordBatch.from_pydict({"query": ids, "dist": np.maximum(0, 0.5 * (x * x).sum(1) - best)})
+
+        for batch in batches:
+            for k in range(len(batch)):
+                get = lambda name, kind: np.frombuffer(batch[name][k].as_buffer(), kind)  # noqa: E731, B023
+                if ids is None or not np.array_equal(ids, get("ids", np.int64)):
+                    if ids is not None:
+                        yield found()
+                    ids = get("ids", np.int64).copy()
+                    x = get("vecs", float).reshape(len(ids), -1).copy()
+                    best = np.full(len(ids), -np.inf)
+                na, nb = (np.concatenate([[0], np.cumsum(batch[c][k].values.to_numpy())]) for c in ("na", "nb"))
+                ia, ib = get("ids_a", np.int64), get("ids_b", np.int64)
+                a, b = (get(c, float).reshape(-1, x.shape[1]) for c in ("vecs_a", "vecs_b"))
+                pairs = [(slice(*na[u : u + 2]), slice(*nb[u : u + 2])) for u in range(len(na) - 1) if nb[u + 1] > nb[u]]
+                pairs = [(i, j, _Unit(ia[i], a[i], ib[j], b[j])) for i, j in pairs]
+                half = 0.5 * (a * a).sum(1)
+                for i in range(0, len(x), STRIP):
+                    part, most = x[i : i + STRIP], best[i : i + STRIP]
+                    sa = part @ a.T
+                    np.maximum(most, (sa - half).max(1), out=most)
+                    most += 0.5  # a midpoint has length one
+                    for of_a, of_b, unit in pairs:
+                        if unit.most.any():
+                            unit.better(sa[:, of_a], part @ b[of_b].T, most)
+                    most -= 0.5
+                for m in (m for _, _, unit in pairs if unit.as_rows for m in unit.rows() if len(m)):
+                    for i in range(0, len(x), STRIP):
+                        best[i : i + STRIP] = np.maximum(best[i : i + STRIP], (x[i : i + STRIP] @ m.T).max(1) - 0.5)
+        if ids is not None:
+            yield found()
+
+    met = blocks.hint("shuffle_replicate_nl").crossJoin(units.repartition(slices))
+    return met.mapInArrow(search, "query long, dist double").groupBy("query").agg(F.min("dist").alias("dist"))
+
+
+def nearest(queries: DataFrame, bank: DataFrame) -> DataFrame:
+    """query, dist: half the squared distance to the nearest bank row, whichever that is."""
+    rows = _packed_rows(bank, SIDE).select(F.array("n").alias("na"), F.array(F.lit(0)).alias("nb"), F.col("ids").alias("ids_a"), F.col("vecs").alias("vecs_a"), F.lit(b"").alias("ids_b"), F.lit(b"").alias("vecs_b"))
+    return _least(queries, rows, bank.count())
+
+
+def nearest_midpoint(queries: DataFrame, bank: DataFrame, first: str, second: str) -> DataFrame:
+    """query, dist: half the squared distance to the nearest of the bank's rows and of the midpoints, at length one, of any
+    two of them where ``first`` of the one with the smaller id equals ``second`` of the other (null: equals none).
+
+    Midpoints are not made: a query's product with one is the sum of its products with the two rows over the length of
+    their sum, so a block of queries is multiplied with the rows only, and pairs whose bound is below what was found are
+    left out.
+    """
+    return _least(queries, _packed_units(bank, first, second), bank.count())
+
+
 def position_locked(queries: DataFrame, bank: DataFrame) -> DataFrame:
     """Nearest bank row among those at the query's own (row, col): an equi-join."""
     from orrery.functions.vectors import sq_l2

@@ -211,18 +211,18 @@ def midpoint_bank_score(spark, sf_dir):
     8 x 8 consecutive ids)."""
     q, b = _sides(spark, sf_dir, F.col("embedding").cast("array<double>"))
     unit = lambda v: F.expr(f"transform({v}, x -> x / sqrt(aggregate({v}, 0D, (s, y) -> s + y * y)))")
-    one, two = (b.select(F.col("id").alias(f"i{k}"), "label", F.col("vec").alias(f"v{k}")) for k in (1, 2))
-    pairs = one.join(two, "label").where("i1 < i2 and (i1 * 7919 + i2) % 13 = 0")
-    mids = pairs.select(F.xxhash64("i1", "i2").alias("id"), F.zip_with("v1", "v2", lambda x, y: (x + y) / 2).alias("m")).select("id", unit("m").alias("vec"))
-    fine = knn.knn_join(q, b.select("id", "vec").union(mids)).select(F.col("query").alias("vec_id"), F.col("dist").alias("fine"))
+    # (i1 * 7919 + i2) % 13 = 0 says that i1 and 6 * i2 leave the same remainder by 13, as 7919 leaves 2, and 2 * 6 is -1.
+    left = lambda x: F.when(F.col("label").isNotNull(), F.struct("label", F.pmod(x, F.lit(13)).alias("k")))
+    keyed = b.select("id", "vec", left(F.col("id")).alias("first"), left(6 * F.pmod("id", F.lit(13))).alias("second"))
+    fine = knn.nearest_midpoint(q, keyed, "first", "second").select(F.col("query").alias("vec_id"), F.col("dist").alias("fine"))
     cell = lambda name: F.expr(_CELL.replace("vec_id", name).replace("//", "div"))
 
     def pooled(side):
-        means = side.select(cell("id").alias("id"), F.posexplode("vec").alias("p", "x")).groupBy("id", "p").agg(F.avg("x").alias("x"))
-        whole = means.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("m"))
-        return whole.select("id", unit("m").alias("vec"))
+        whole = side.groupBy(cell("id").alias("id")).agg(F.collect_list("vec").alias("of"))
+        mean = F.expr("transform(sequence(0, size(of[0]) - 1), p -> aggregate(of, 0D, (s, v) -> s + v[p]) / size(of))")
+        return whole.select("id", mean.alias("m")).select("id", unit("m").alias("vec"))
 
-    coarse = knn.knn_join(pooled(q), pooled(b)).select(F.col("query").alias("cell"), F.col("dist").alias("coarse"))
+    coarse = knn.nearest(pooled(q), pooled(b)).select(F.col("query").alias("cell"), F.col("dist").alias("coarse"))
     return fine.join(coarse, cell("vec_id") == F.col("cell")).select("vec_id", _r(F.least("fine", "coarse")).alias("score"))
 
 

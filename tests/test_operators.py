@@ -198,6 +198,67 @@ def test_midpoint_bank_score(spark, sf):
     assert (fine < plain - 1e-9).any() and any(coarse[c] < d for d, c in zip(fine, cell[~ref], strict=True))
 
 
+def test_midpoints_of_one_label(spark, tmp_path, monkeypatch):
+    """One large label in several units, rows without a label, rows that are or nearly are each other's opposite (their
+    midpoint has no direction, or one that only the sum itself tells)."""
+    import duckdb
+    import numpy as np
+    import pandas as pd
+
+    from orrery.operators import knn
+    from __spark_entry__ import CATALOG
+
+    monkeypatch.setattr(knn, "SIDE", 16, raising=False)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, 8)).astype(np.float32)
+    x[65], x[650] = -x[0], -x[0] + np.float32(1e-3) * x[1]
+    pd.DataFrame({"vec_id": range(3000), "embedding": list(x), "label": [None if i % 35 == 30 else 1 if i % 50 else 2 for i in range(3000)]}).astype({"label": "Int32"}).to_parquet(tmp_path / "embeddings.parquet")
+    embeddings = duckdb.read_parquet(str(tmp_path / "embeddings.parquet"))  # noqa: F841
+    want = dict(duckdb.sql(CATALOG["midpoint_bank_score"].sql.replace("range(64)", "range(8)")).fetchall())
+    got = {t["vec_id"]: t["score"] for t in CATALOG["midpoint_bank_score"].run(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in want)
+
+
+def test_midpoints_are_not_made(spark):
+    """600 rows of one key have 179,700 midpoints; what meets the queries are the rows, once a side."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from orrery.operators import knn
+
+    x = np.random.default_rng(7).normal(size=(600, 4))
+    bank = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").withColumn("key", F.lit(1))
+    units = knn._packed_units(bank, "key", "key").collect()
+    assert sum(len(u["vecs_a"]) + len(u["vecs_b"]) for u in units) == 2 * x.nbytes
+    got = {t["query"]: t["dist"] for t in knn.nearest_midpoint(bank.where("id < 20"), bank.where("id >= 20"), "key", "key").collect()}
+    i, j = np.triu_indices(580, 1)
+    mids = x[20:][i] + x[20:][j]
+    all_ = np.concatenate([x[20:], mids / np.linalg.norm(mids, axis=1, keepdims=True)])
+    assert all(abs(got[k] - (0.5 * ((all_ - x[k]) ** 2).sum(1)).min()) < 1e-9 for k in range(20))
+
+
+@pytest.mark.parametrize("cross", [0, 40, 10**6])
+def test_pairs_by_bounds(monkeypatch, cross):
+    """Single pairs and whole rows of pairs find the same largest product, from any value to beat; no pair, no change."""
+    import numpy as np
+
+    from orrery.operators import knn
+
+    monkeypatch.setattr(knn, "CROSS", cross)
+    r = np.random.default_rng(6)
+    q, a, b = (r.normal(size=(n, 5)) for n in (40, 30, 35))
+    q[:3] = -abs(q[:3]) * 9  # all products below 0
+    a, b = abs(a), abs(b)
+    unit = knn._Unit(np.arange(30), a, np.arange(35) - 3, b)
+    sums = a[:, None] + b[None]
+    value = np.where(np.arange(30)[:, None] < np.arange(35)[None] - 3, (q[:, None, None] * (sums / np.linalg.norm(sums, axis=2, keepdims=True))).sum(3), -np.inf)
+    most = value.max((1, 2))
+    for start in (np.full(40, -np.inf), most - 0.2, np.zeros(40), most + 0.1):
+        best = start.copy()
+        unit.better(q @ a.T, q @ b.T, best)
+        assert np.allclose(best, np.maximum(start, most), atol=1e-9)
+
+
 def test_banded_search(spark, monkeypatch):
     """Several blocks a side, band and whole in one search, no row for a pair; a query far from any cell has no band."""
     import numpy as np
