@@ -172,11 +172,11 @@ def nearest_per(queries: DataFrame, bank: DataFrame, by: str) -> DataFrame:
 
 
 #: Rows of a packed block of queries, of one side of a unit of pairs, and queries of a product.
-QUERIES, SIDE, STRIP = 8192, 2048, 512
+QUERIES, SIDE, STRIP = 12288, 1536, 256
 #: Groups of at most so many pairs give their midpoints as rows; so do pairs whose sum is that much shorter (squared) than its parts.
 FEW, SHORT = 64, 1e-3
 #: Pairs of a query that are looked at one by one in a unit, and rows of pairs that are tried first where there are more.
-CROSS, PROBES = 4096, 4
+CROSS, PROBES = 16384, 4
 
 
 def _matrix(ids: pa.Array, vecs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +249,7 @@ class _Unit:
         ok = ok & ~near
         self.as_rows = (a, b, *np.nonzero(near)) if near.any() else None
         self.w = np.where(ok, 1 / np.sqrt(np.where(ok, n2, 1)), 0)
-        self.most = self.w.max(1, initial=0)
+        self.a, self.b, self.most = a, b, self.w.max(1, initial=0)
         self.least_a, self.least_b = (1 / np.maximum(most, 1e-300) for most in (self.most, self.w.max(0, initial=0)))
 
     def rows(self):
@@ -260,32 +260,49 @@ class _Unit:
             n = np.sqrt((m * m).sum(1))
             yield m[n > 0] / n[n > 0, None]
 
-    def better(self, sa: np.ndarray, sb: np.ndarray, best: np.ndarray, ranks: int | None = PROBES) -> None:
-        """Raise ``best`` to the largest product of a query with a midpoint, (sa + sb) / length, where it is larger.
+    def better(self, x: np.ndarray, sa: np.ndarray, sb: np.ndarray, best: np.ndarray, slack: np.ndarray, ranks: int | None = PROBES) -> None:
+        """Raise ``best`` to the largest product of a query with a midpoint, (sa + sb) / length, where it is larger; the
+        products ``sa`` and ``sb`` with the rows may be off by ``slack``, so what can be larger is computed anew.
 
-        A pair can only do so if sa + the largest sb is above ``best`` times the least length of a sum with its a, and the
+        A pair can only be if sa + the largest sb is above ``best`` times the least length of a sum with its a, and the
         same for its b; where few rows of either side can, all their pairs are looked at, else see ``_by_rows``."""
-        top_a, top_b = sa.max(1), sb.max(1)
-        of_a, of_b = (np.divmod(np.flatnonzero(side > best[:, None] * least - top[:, None]), side.shape[1]) for side, least, top in ((sa, self.least_a, top_b), (sb, self.least_b, top_a)))
-        na, nb = (np.bincount(of[0], minlength=len(best)) for of in (of_a, of_b))
+        kind, off = sa.dtype, 2 * slack
+        with np.errstate(all="ignore"):
+            (qa, a), (qb, b) = (
+                np.divmod(np.flatnonzero(side > best.astype(kind)[:, None] * least.astype(kind) - (other.max(1) + off).astype(kind)[:, None]), side.shape[1])
+                for side, least, other in ((sa, self.least_a, sb), (sb, self.least_b, sa))
+            )
+        na, nb = (np.bincount(q, minlength=len(best)) for q in (qa, qb))
         many = (na * nb > CROSS) | (best < 0)
-        (qa, a), (qb, b) = of_a, of_b
         own = ~many[qa] & (nb[qa] > 0)
         qa, a = qa[own], a[own]
         if len(qa):
-            sum_b, n = sb[qb, b], nb[qa]
+            # Of a query's b, sorted by product, those go with an a that are above what is still needed; in units of slack.
+            need = (best[qa] * self.least_a[a] - off[qa] - sa[qa, a]) / slack[qa]
+            have = sb[qb, b] / slack[qb]
+            span = 1 + 2 * max(np.abs(need).max(), np.abs(have).max(initial=0))
+            key = qb * span - have
+            order = np.argsort(key)
+            start = (np.cumsum(nb) - nb)[qa]
+            n = np.searchsorted(key[order], qa * span - need, "right") - start
             one = np.repeat(np.arange(len(qa)), n)
-            two = np.arange(len(one)) + np.repeat((np.cumsum(nb) - nb)[qa] - (np.cumsum(n) - n), n)
-            both = sa[qa, a][one] + sum_b[two]
-            go = np.flatnonzero(both > (best[qa] * self.least_a[a])[one])
-            one, two, both = one[go], two[go], both[go]
-            np.maximum.at(best, qa[one], both * self.w[a[one], b[two]])
+            two = order[np.arange(len(one)) + np.repeat(start - (np.cumsum(n) - n), n)]
+            q, i, j = qa[one], a[one], b[two]
+            both = sa[q, i].astype(float) + sb[q, j]
+            w = self.w[i, j]
+            most = best.copy()
+            np.maximum.at(most, q, (both - off[q]) * w)
+            go = np.flatnonzero((both + off[q]) * w > most[q])
+            for k in range(0, len(go), 4 * SIDE):
+                at = go[k : k + 4 * SIDE]
+                np.maximum.at(best, q[at], ((self.a[i[at]] + self.b[j[at]]) * x[q[at]]).sum(1) * w[at])
         if many.any():
-            more, left = np.flatnonzero(many), best[many]
-            self._by_rows(sa[more], sb[more], left, ranks)
+            x, left = x[many], best[many]
+            exact = x @ self.a.T, x @ self.b.T
+            self._by_rows(*exact, left, ranks)
             if ranks:
-                self.better(sa[more], sb[more], left, None)
-            best[more] = left
+                self.better(x, *exact, left, slack[many], None)
+            best[many] = left
 
     def _by_rows(self, sa: np.ndarray, sb: np.ndarray, best: np.ndarray, ranks: int | None) -> None:
         """The same by whole rows of pairs, of the ``ranks`` most promising a of a query, or until none can do better: no
@@ -321,7 +338,7 @@ def _least(queries: DataFrame, units: DataFrame, bank_rows: int) -> DataFrame:
     them so far, and passes a slice of the units by it."""
     n = queries.count()
     parts = -(-n // (QUERIES * 3 // 4)) or 1
-    slices = max(-(-bank_rows // (16 * SIDE)), -(-3 * queries.sparkSession.sparkContext.defaultParallelism // parts))
+    slices = max(-(-bank_rows // (40 * SIDE)), -(-3 * queries.sparkSession.sparkContext.defaultParallelism // parts))
     blocks = _packed_rows(queries.repartition(parts, "id"), QUERIES)
 
     def search(batches):
@@ -338,21 +355,27 @@ def _least(queries: DataFrame, units: DataFrame, bank_rows: int) -> DataFrame:
                         yield found()
                     ids = get("ids", np.int64).copy()
                     x = get("vecs", float).reshape(len(ids), -1).copy()
-                    best = np.full(len(ids), -np.inf)
+                    best, x_long = np.full(len(ids), -np.inf), np.sqrt((x * x).sum(1))
                 na, nb = (np.concatenate([[0], np.cumsum(batch[c][k].values.to_numpy())]) for c in ("na", "nb"))
                 ia, ib = get("ids_a", np.int64), get("ids_b", np.int64)
                 a, b = (get(c, float).reshape(-1, x.shape[1]) for c in ("vecs_a", "vecs_b"))
                 pairs = [(slice(*na[u : u + 2]), slice(*nb[u : u + 2])) for u in range(len(na) - 1) if nb[u + 1] > nb[u]]
                 pairs = [(i, j, _Unit(ia[i], a[i], ib[j], b[j])) for i, j in pairs]
                 half = 0.5 * (a * a).sum(1)
+                # Products are screened in single precision where its range allows, by what they can be off at most.
+                long = np.sqrt(max(2 * half.max(initial=0), (b * b).sum(1).max(initial=0)))
+                kind = np.float32 if 1e-12 < long < 1e12 and (x_long < 1e12).all() and (x_long[x_long > 0] > 1e-12).all() else float
+                slack = (x.shape[1] + 16) * 1.2e-7 * (x_long + long) * long
+                xk, ak, bk, hk = (z.astype(kind) for z in (x, a, b, half))
                 for i in range(0, len(x), STRIP):
-                    part, most = x[i : i + STRIP], best[i : i + STRIP]
-                    sa = part @ a.T
-                    np.maximum(most, (sa - half).max(1), out=most)
+                    part, most, off = xk[i : i + STRIP], best[i : i + STRIP], slack[i : i + STRIP]
+                    sa = part @ ak.T
+                    go = np.flatnonzero((sa - hk).max(1) > most - off)
+                    most[go] = np.maximum(most[go], (x[i + go] @ a.T - half).max(1))
                     most += 0.5  # a midpoint has length one
                     for of_a, of_b, unit in pairs:
                         if unit.most.any():
-                            unit.better(sa[:, of_a], part @ b[of_b].T, most)
+                            unit.better(x[i : i + STRIP], sa[:, of_a], part @ bk[of_b].T, most, off)
                     most -= 0.5
                 for m in (m for _, _, unit in pairs if unit.as_rows for m in unit.rows() if len(m)):
                     for i in range(0, len(x), STRIP):

@@ -254,9 +254,10 @@ def test_pairs_by_bounds(monkeypatch, cross):
     value = np.where(np.arange(30)[:, None] < np.arange(35)[None] - 3, (q[:, None, None] * (sums / np.linalg.norm(sums, axis=2, keepdims=True))).sum(3), -np.inf)
     most = value.max((1, 2))
     for start in (np.full(40, -np.inf), most - 0.2, np.zeros(40), most + 0.1):
-        best = start.copy()
-        unit.better(q @ a.T, q @ b.T, best)
-        assert np.allclose(best, np.maximum(start, most), atol=1e-9)
+        for off in (1e-9, 0.01):  # products that are not exact
+            best = start.copy()
+            unit.better(q, *(q @ s.T + r.uniform(-off, off, (40, len(s))) for s in (a, b)), best, np.full(40, off))
+            assert np.allclose(best, np.maximum(start, most), atol=1e-9)
 
 
 def test_banded_search(spark, monkeypatch):
