@@ -339,7 +339,7 @@ def _least(queries: DataFrame, units: DataFrame, bank_rows: int) -> DataFrame:
     n = queries.count()
     parts = -(-n // (QUERIES * 3 // 4)) or 1
     slices = max(-(-bank_rows // (40 * SIDE)), -(-3 * queries.sparkSession.sparkContext.defaultParallelism // parts))
-    blocks = _packed_rows(queries.repartition(parts, "id"), QUERIES)
+    blocks = _packed_rows(queries.repartition(parts), QUERIES)
 
     def search(batches):
         ids, x, best = None, None, None
